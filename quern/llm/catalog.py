@@ -5,11 +5,13 @@ from __future__ import annotations
 from quern.llm.bpe import op2_byte_bpe
 from quern.llm.media import op6_netpbm_media
 from quern.llm.ring import op5_ring_sharding
+from quern.llm.rules import op7_decision_list
 
 QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
     "op5_ring_sharding": op5_ring_sharding,
     "op6_netpbm_media": op6_netpbm_media,
+    "op7_decision_list": op7_decision_list,
 }
 
 ORACLE_SQL: dict[str, str] = {}
