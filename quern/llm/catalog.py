@@ -6,12 +6,14 @@ from quern.llm.bpe import op2_byte_bpe
 from quern.llm.media import op6_netpbm_media
 from quern.llm.ring import op5_ring_sharding
 from quern.llm.rules import op7_decision_list
+from quern.llm.toxicity import op10_toxic_gbdt
 
 QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
     "op5_ring_sharding": op5_ring_sharding,
     "op6_netpbm_media": op6_netpbm_media,
     "op7_decision_list": op7_decision_list,
+    "op10_toxic_gbdt": op10_toxic_gbdt,
 }
 
 ORACLE_SQL: dict[str, str] = {}
