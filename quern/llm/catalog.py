@@ -6,6 +6,7 @@ from quern.llm.bpe import op2_byte_bpe
 from quern.llm.media import op6_netpbm_media
 from quern.llm.ring import op5_ring_sharding
 from quern.llm.rules import op7_decision_list
+from quern.llm.secrets import op8_random_secrets
 from quern.llm.toxicity import op10_toxic_gbdt
 
 QUERIES = {
@@ -13,6 +14,7 @@ QUERIES = {
     "op5_ring_sharding": op5_ring_sharding,
     "op6_netpbm_media": op6_netpbm_media,
     "op7_decision_list": op7_decision_list,
+    "op8_random_secrets": op8_random_secrets,
     "op10_toxic_gbdt": op10_toxic_gbdt,
 }
 
