@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quern.llm.bpe import op2_byte_bpe
+from quern.llm.jaccard import op3_ngram_jaccard
 from quern.llm.media import op6_netpbm_media
 from quern.llm.ring import op5_ring_sharding
 from quern.llm.rules import op7_decision_list
@@ -11,6 +12,7 @@ from quern.llm.toxicity import op10_toxic_gbdt
 
 QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_ngram_jaccard": op3_ngram_jaccard,
     "op5_ring_sharding": op5_ring_sharding,
     "op6_netpbm_media": op6_netpbm_media,
     "op7_decision_list": op7_decision_list,
