@@ -9,10 +9,12 @@ from quern.llm.ring import op5_ring_sharding
 from quern.llm.rules import op7_decision_list
 from quern.llm.secrets import op8_random_secrets
 from quern.llm.toxicity import op10_toxic_gbdt
+from quern.llm.warc import op4_warc_index
 
 QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_ngram_jaccard": op3_ngram_jaccard,
+    "op4_warc_index": op4_warc_index,
     "op5_ring_sharding": op5_ring_sharding,
     "op6_netpbm_media": op6_netpbm_media,
     "op7_decision_list": op7_decision_list,
@@ -20,4 +22,13 @@ QUERIES = {
     "op10_toxic_gbdt": op10_toxic_gbdt,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_warc_index": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n FROM pages),
+             g AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS top FROM p)
+        SELECT page_id, n::BIGINT AS payload_bytes, sha1(html) AS payload_digest,
+               CASE WHEN n >= 1000 AND page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN n >= 1000 AND page_id < top THEN top END AS refers_to
+        FROM g
+    """,
+}
