@@ -5,6 +5,7 @@ from __future__ import annotations
 from quern.llm.bpe import op2_byte_bpe
 from quern.llm.jaccard import op3_ngram_jaccard
 from quern.llm.media import op6_netpbm_media
+from quern.llm.packing import op1_lexical_packing
 from quern.llm.ring import op5_ring_sharding
 from quern.llm.rules import op7_decision_list
 from quern.llm.secrets import op8_random_secrets
@@ -12,6 +13,7 @@ from quern.llm.toxicity import op10_toxic_gbdt
 from quern.llm.warc import op4_warc_index
 
 QUERIES = {
+    "op1_lexical_packing": op1_lexical_packing,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_warc_index": op4_warc_index,
