@@ -9,6 +9,7 @@ from quern.llm.packing import op1_lexical_packing
 from quern.llm.ring import op5_ring_sharding
 from quern.llm.rules import op7_decision_list
 from quern.llm.secrets import op8_random_secrets
+from quern.llm.toolcalls import op9_tool_links
 from quern.llm.toxicity import op10_toxic_gbdt
 from quern.llm.warc import op4_warc_index
 
@@ -21,10 +22,38 @@ QUERIES = {
     "op6_netpbm_media": op6_netpbm_media,
     "op7_decision_list": op7_decision_list,
     "op8_random_secrets": op8_random_secrets,
+    "op9_tool_links": op9_tool_links,
     "op10_toxic_gbdt": op10_toxic_gbdt,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op9_tool_links": """
+        WITH m AS (
+            SELECT conv_id, turn, role, coalesce(text, '') AS body,
+                   CASE role WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'result' ELSE 'text' END AS kind,
+                   CASE role WHEN 'user' THEN 'call-' || turn WHEN 'assistant' THEN 'call-' || (turn - 1) END AS call_id
+            FROM conversations),
+        o AS (SELECT conv_id, call_id, min(turn) AS call_turn FROM m WHERE kind = 'call' GROUP BY ALL),
+        a AS (SELECT DISTINCT conv_id, call_id FROM m WHERE kind = 'result'),
+        r AS (
+            SELECT m.*, o.call_turn,
+                   CASE WHEN kind = 'call' AND turn > o.call_turn THEN 'duplicate_id'
+                        WHEN kind = 'call' AND a.call_id IS NULL THEN 'unanswered'
+                        WHEN kind = 'result' AND o.call_turn IS NULL THEN 'orphan'
+                        WHEN kind = 'text' THEN 'text' ELSE 'linked' END AS status,
+                   CASE kind
+                        WHEN 'call' THEN '{"arguments":{"prompt":' || to_json(body) || ',"role":"user","turn":' || turn
+                            || '},"id":"' || m.call_id || '","kind":"call","name":"reply"}'
+                        WHEN 'result' THEN '{"content":' || to_json(body) || ',"id":"' || m.call_id || '","kind":"result"}'
+                        ELSE '{"content":' || to_json(body) || ',"kind":"text"}' END AS json
+            FROM m LEFT JOIN o USING (conv_id, call_id) LEFT JOIN a USING (conv_id, call_id))
+        SELECT conv_id,
+               row_number() OVER (PARTITION BY conv_id ORDER BY
+                   CASE WHEN kind = 'result' AND call_turn IS NOT NULL THEN call_turn ELSE turn END,
+                   CASE WHEN kind = 'result' AND call_turn IS NOT NULL THEN 1 ELSE 0 END, turn, kind, json) - 1 AS position,
+               turn, kind, call_id, status, CAST(NULL AS VARCHAR) AS error, json
+        FROM r
+    """,
     "op4_warc_index": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n FROM pages),
              g AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS top FROM p)
