@@ -2,15 +2,74 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quern.llm import jaccard, packing, rules, secrets, toxicity
+from quern.llm.common import discard, materialize, table, tracked
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+_made: list[str] = []
+
+
+def _stage(fn: Stage) -> Stage:
+    """A stage's input was written, so what earlier stages of the same run wrote for themselves goes before it starts."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if fn is quality_rules:
+            _made.clear()
+        else:
+            discard(spark, _made, docs)
+        with tracked(_made):
+            return fn(spark, docs, sf_dir)
+
+    return run
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and the learned decision list."""
+    return rules.judge(spark, docs, table(spark, sf_dir, "labels"), whole=True).where("kept").select("row.*")
+
 
-STAGES: list = []
+def toxic_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score under one half."""
+    return toxicity.keep_clean(spark, docs, toxicity.fit(spark, docs, table(spark, sf_dir, "labels")))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one with the smallest id; of rows with that id, one."""
+    found = materialize(spark, jaccard.join(spark, docs), "groups").select("doc_id", "component_id")
+    gone = found.where("not (doc_id <=> component_id)").select(F.col("doc_id").alias("gone")).distinct()
+    kept = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
+    repeated = found.groupBy("doc_id").count().where("count > 1").limit(1).count()
+    return kept.dropDuplicates(["doc_id"]) if repeated else kept
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with the secrets in their texts masked."""
+    return secrets.redact(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences."""
+    return packing.pack(spark, docs)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_rules", _stage(quality_rules)),
+    ("toxicity", _stage(toxic_texts)),
+    ("ngram_jaccard", _stage(near_duplicates)),
+    ("secret_scans", _stage(secret_scans)),
+    ("packing", _stage(packed)),
+]
+
+#: Tokenizers, trees and similarity joins are beyond SQL; tests/llm hold the stages against plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quern.llm.common import materialize, table
-
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

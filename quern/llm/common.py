@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
@@ -11,6 +12,7 @@ from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 _ROOT = Path(__file__).resolve().parents[2]
 _shipped: set[str] = set()
@@ -32,8 +34,35 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+_tracked: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def tracked(made: list[str]):
+    """While this holds, ``made`` gets the paths of what is written to the shared folder."""
+    _tracked.append(made)
+    try:
+        yield made
+    finally:
+        _tracked.pop()
+
+
 def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/quern-{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/quern-{tag}-{uuid.uuid4().hex}"
+    for made in _tracked[-1:]:
+        made.append(path)
+    return path
+
+
+def discard(spark: SparkSession, made: list[str], needed: DataFrame) -> None:
+    """Delete the written tables of ``made`` that ``needed`` doesn't read."""
+    read = needed.inputFiles()
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in list(made):
+        if not any(path.rpartition("/")[2] in f for f in read):
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(conf).delete(p, True)
+            made.remove(path)
 
 
 def materialize(spark: SparkSession, df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
@@ -63,14 +92,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict]], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict]], schema: str | StructType) -> DataFrame:
     """``mapInArrow`` over slices of few rows, so that a worker holds little at a time."""
     spark = df.sparkSession
     ship(spark)
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
 
-    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    arrow = to_arrow_schema(StructType.fromDDL(schema) if isinstance(schema, str) else schema)
 
     def run(batches):
         for batch in batches:

@@ -57,12 +57,12 @@ Rule = tuple[Condition, ...]
 
 
 def measures(docs: DataFrame) -> DataFrame:
-    """doc_id, the base counts and the learner's measures of every whole text."""
+    """doc_id, the base counts and the learner's measures of every whole text, and the row itself as a struct ``row``."""
     text = F.coalesce(F.col("text"), F.lit(""))
     bare = F.btrim(text, F.lit(SPACE))
     nothing = F.array().cast("array<string>")
     step = docs.select(
-        "doc_id",
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
         text.alias("text"),
         F.when(bare == "", nothing).otherwise(F.split(bare, SPACES)).alias("words"),
         F.filter(F.split(text, "\n"), lambda line: F.btrim(line, F.lit(SPACE)) != "").alias("lines"),
@@ -73,7 +73,8 @@ def measures(docs: DataFrame) -> DataFrame:
 
     n = F.size("words")
     step = step.select(
-        "doc_id",
+        "row",
+        "row.doc_id",
         n.cast("long").alias("n_words"),
         F.char_length(F.translate("text", SPACE, "")).cast("long").alias("word_chars"),
         kept_out(SYMBOLS).alias("n_symbols"),
@@ -212,9 +213,12 @@ def verdict(rules: list[Rule]) -> Column:
     return F.lit(None).cast("int") if out is None else out
 
 
-def judge(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, the counts, base_failed, rule (the first rule that rejects, or null) and kept, one row a document."""
-    counts = materialize(spark, measures(docs), "measures")
+def judge(spark: SparkSession, docs: DataFrame, labels: DataFrame, whole: bool = False) -> DataFrame:
+    """doc_id, the counts, base_failed, rule (the first rule that rejects, or null) and kept, one row a document.
+
+    With ``whole``, also the document itself as a struct ``row``."""
+    counts = measures(docs)
+    counts = materialize(spark, counts if whole else counts.drop("row"), "measures")
     rows = shares(counts)
     taught = labels.where("quality is not null and doc_id is not null").select("doc_id", (F.col("quality") == 0).alias("bad"))
     labelled = rows.join(taught, "doc_id").where("not base_failed")

@@ -215,7 +215,6 @@ def mask(text: str, spans: list[tuple[int, int, int]], mark: str = "[secret]") -
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every span of ``text`` masked and ``n_chars`` counted anew; all rows and columns stay."""
-    schema = docs.schema
 
     def run(batch):
         cols = {name: batch.column(name) for name in batch.schema.names}
@@ -225,7 +224,7 @@ def redact(docs: DataFrame) -> DataFrame:
             cols["n_chars"] = [n if a is b or a == b else len(b) for n, a, b in zip(cols["n_chars"].to_pylist(), texts, new, strict=True)]
         yield cols
 
-    return map_batches(docs, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema))
+    return map_batches(docs, run, docs.schema)
 
 
 def op8_random_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,6 +20,7 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -265,6 +266,18 @@ def score_documents(spark: SparkSession, docs: DataFrame, model: Model) -> DataF
     return map_batches(docs.select("doc_id", "text", held_out().alias("held_out")), run, f"doc_id {kind}, held_out boolean, score double, predicted int")
 
 
+def keep_clean(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs`` that score under one half, with all their columns."""
+    held = spark.sparkContext.broadcast(model)
+
+    def run(batch):
+        scores = held.value.score([t or "" for t in batch.column("text").to_pylist()])
+        kept = batch.filter(pa.array(scores < 0.5))
+        yield {name: kept.column(name) for name in kept.schema.names}
+
+    return map_batches(docs, run, docs.schema)
+
+
 def op10_toxic_gbdt(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return score_documents(spark, docs, fit(spark, docs, table(spark, sf_dir, "labels")))
