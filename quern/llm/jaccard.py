@@ -9,7 +9,7 @@ is at least 80 times the union. The join is exact:
    go last in every document's order, so that common lines and passages don't bring documents together.
 2. Sets of n shingles can only link if they share one of the first n - ceil(0.8 n) + 1 in that order. A second pass
    deals these out by column blocks. In each block, the sets that hold a shingle are paired where sizes and
-   positions allow it, and bitmaps that differ in more bits than the sizes allow discard a pair. Long columns
+   positions allow it, and parity bitmaps that differ in more bits than the sizes allow discard a pair. Long columns
    give a chain over sizes instead of all pairs.
 3. Components of these pairs are the row blocks: no link leaves one. A third pass fetches the sets of their members
    only, and each block is multiplied in tiles of rows and column stripes: overlaps accumulate in a dense tile, a pair is
@@ -46,9 +46,9 @@ ROWS_PER_BLOCK = 2000
 MIN_BLOCKS = 16
 FLUSH = 1 << 20
 PAIRED = 64
-BITMAP = 512
+BITMAP, BITMAP_MAX = 512, 1 << 16
 BLOOM_BITS = 1 << 26
-TASK_TOKENS = 2_000_000
+TASK_TOKENS = 3_000_000
 TASK_ROWS = 2048
 TILE, STRIPE = 256, 4096
 NULL_ID = -(1 << 63)
@@ -78,6 +78,21 @@ def shingles(text: str) -> np.ndarray:
     return h[np.r_[True, h[1:] != h[:-1]]] if len(h) > 1 else h
 
 
+def parity(h: np.ndarray) -> bytes:
+    """Bit b: whether an odd number of the hashes end in b. As many bits as shingles, about, and a power of two.
+
+    Sets that differ in d shingles have bitmaps that differ in d bits at most, also after both are folded."""
+    size = min(max(BITMAP, 1 << (len(h) - 1).bit_length()), BITMAP_MAX) if len(h) else BITMAP
+    return np.packbits(np.bincount((h & _U(size - 1)).astype(np.int64), minlength=size) & 1).tobytes()
+
+
+def bits_apart(a: bytes, b: bytes) -> int:
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    size = min(len(x), len(y))
+    x, y = (np.bitwise_xor.reduce(z.reshape(-1, size), axis=0) for z in (x, y))
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def prefix_length(n: np.ndarray | int) -> np.ndarray | int:
     return n - -(-n * PERCENT // 100) + 1
 
@@ -152,7 +167,7 @@ def _first_pass(docs: DataFrame, blocks: int) -> DataFrame:
             h = shingles(text or "")
             n = len(h)
             k1, k2 = (int.from_bytes(d, "little", signed=True) for d in _halves(h)) if n else (0, 0)
-            bits = np.packbits(np.bincount((h & _U(BITMAP - 1)).astype(np.int64), minlength=BITMAP) & 1).tobytes() if n else b""
+            bits = parity(h)
             for name, v in (("rid", rid), ("n", n), ("k1", k1), ("k2", k2), ("bits", bits)):
                 out[name].append(v)
             if n and k1 not in seen:
@@ -254,6 +269,19 @@ def _pairs(blob: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "chained": chained}).groupby(["a", "b"], as_index=False)["chained"].any()
 
 
+def _near(batches):
+    """Pairs whose bitmaps differ in no more bits than linked sets of their sizes may, and chained ones."""
+    for batch in batches:
+        cols = [batch.column(c).to_pylist() for c in ("a", "b", "chained", "na", "nb", "bits_a", "bits_b")]
+        kept = [
+            (a, b)
+            for a, b, chained, na, nb, x, y in zip(*cols, strict=True)
+            if chained or bits_apart(x, y) <= na + nb - 2 * overlap_bound(na, nb)
+        ]
+        if kept:
+            yield pa.RecordBatch.from_pydict({"a": [k[0] for k in kept], "b": [k[1] for k in kept]})
+
+
 class _Forest:
     def __init__(self, n: int):
         self.up = list(range(n))
@@ -393,16 +421,18 @@ def _tasks(members: DataFrame) -> DataFrame:
     A component that fits goes to one task. A larger one is cut into R parts by hash, and by size class, where
     sizes of linked sets are in the same or in neighbouring classes; two pieces meet in one task.
     """
-    totals = members.groupBy("component").agg(F.sum("n").alias("tokens"), F.count("*").alias("rows"))
-    parts = F.greatest(F.ceil(F.col("tokens") * 2 / TASK_TOKENS), F.ceil(F.col("rows") * 2 / TASK_ROWS)).cast("int")
-    fits = (F.col("tokens") <= TASK_TOKENS) & (F.col("rows") <= TASK_ROWS)
-    rows = members.join(totals.select("component", F.when(fits, 1).otherwise(parts).alias("parts")), "component")
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int"))
     # A little over the ratio of two linked sizes, so that rounding can't part them by two classes.
-    rows = rows.withColumn("class", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / PERCENT * 1.0001))).cast("int"))
-    whole = rows.where("parts = 1").select("rid", "k1", F.xxhash64("component").alias("task"), F.lit(0).alias("side"), F.lit(False).alias("crossed"))
+    members = members.withColumn("class", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / PERCENT * 1.0001))).cast("int"))
+    totals = members.groupBy("component", "class").agg(F.sum("n").alias("tokens"), F.count("*").alias("rows"))
+    totals = totals.groupBy("component").agg(*[f(c).alias(f"{g}_{c}") for c in ("tokens", "rows") for g, f in (("all", F.sum), ("most", F.max))])
+    parts = F.greatest(F.ceil(F.col("most_tokens") * 2 / TASK_TOKENS), F.ceil(F.col("most_rows") * 2 / TASK_ROWS)).cast("int")
+    fits = (F.col("all_tokens") <= TASK_TOKENS) & (F.col("all_rows") <= TASK_ROWS)
+    # 0 parts: the component is one piece, which classes don't cut either.
+    rows = members.join(totals.select("component", F.when(fits, 0).otherwise(parts).alias("parts")), "component")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("rid"), F.greatest("parts", F.lit(1))).cast("int"))
+    whole = rows.where("parts = 0").select("rid", "k1", F.xxhash64("component").alias("task"), F.lit(0).alias("side"), F.lit(False).alias("crossed"))
     others = F.sequence(F.lit(0), F.col("parts") - 1)
-    cut = rows.where("parts > 1").select("rid", "k1", "component", "part", "class", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))).alias("step"), others.alias("others"))
+    cut = rows.where("parts > 0").select("rid", "k1", "component", "part", "class", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))).alias("step"), others.alias("others"))
     cut = cut.select("*", F.explode("others").alias("other"))
     mine, theirs = F.struct("class", "part"), F.struct((F.col("class") + F.col("step")).alias("class"), F.col("other").alias("part"))
     low, high = F.when(mine <= theirs, mine).otherwise(theirs), F.when(mine <= theirs, theirs).otherwise(mine)
@@ -427,13 +457,7 @@ def join(spark: SparkSession, docs: DataFrame) -> DataFrame:
     pairs = materialize(spark, pairs.groupBy("a", "b").agg(F.max("chained").alias("chained")), "pairs")
     sides = classes.select("k1", "n", "bits")
     met = pairs.join(sides.toDF("a", "na", "bits_a"), "a").join(sides.toDF("b", "nb", "bits_b"), "b")
-    differ = F.lit(0)
-    for k in range(0, BITMAP // 8, 8):
-        word = [F.conv(F.hex(F.substring(c, k + 1, 8)), 16, -10).cast("long") for c in ("bits_a", "bits_b")]
-        differ = differ + F.bit_count(word[0].bitwiseXOR(word[1]))
-    both = F.col("na") + F.col("nb")
-    least = F.ceil(both * PERCENT / (100 + PERCENT))
-    near = met.where(F.col("chained") | (differ <= both - 2 * least)).select("a", "b")
+    near = met.mapInArrow(_near, "a long, b long")
 
     groups = components(spark, near)
     members = classes.join(groups.toDF("k1", "component"), "k1").select("rid", "k1", "n", "component")
