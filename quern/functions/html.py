@@ -11,6 +11,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, StringType
 
 Root = tuple[str, ...]
 #: Content roots, the best first; each is a path of simple selectors (fixed values).
@@ -125,7 +126,7 @@ def main_text(html: str | None, roots: tuple[Root, ...] = ROOTS, unwanted: tuple
 
 
 def extract_text(column: Column, roots: tuple[Root, ...] = ROOTS, unwanted: tuple[str, ...] = UNWANTED) -> Column:
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def run(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in pages:
             yield s.map(lambda h: main_text(h, roots, unwanted))
@@ -136,7 +137,7 @@ def extract_text(column: Column, roots: tuple[Root, ...] = ROOTS, unwanted: tupl
 def links(column: Column, roots: tuple[Root, ...] | None = None) -> Column:
     """hrefs in document order: of the whole page, or inside the last of ``roots``."""
 
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf(ArrayType(StringType()))
     def run(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in pages:
             yield s.map(lambda h: [x for x, at, _ in read_page(h, roots or ROOTS).links if roots is None or len(roots) - 1 in at])
@@ -145,7 +146,7 @@ def links(column: Column, roots: tuple[Root, ...] | None = None) -> Column:
 
 
 def is_missing(column: Column) -> Column:
-    @F.pandas_udf("boolean")
+    @F.pandas_udf(BooleanType())
     def run(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in pages:
             yield s.map(lambda h: read_page(h).missing)

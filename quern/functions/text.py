@@ -8,15 +8,17 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 WS = "[\\x09-\\x0d\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
 LINE_BREAK = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]"
+NO_BREAK = "[^\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]"
 SPACES = "[ \\t\\xa0\\u1680\\u2000-\\u200a\\u202f\\u205f\\u3000]+"
 #: Characters that cleaning removes; U+200C and U+200D stay, spelling needs them (fixed values).
 REMOVED = "\ufeff\u200b\u2060\u00ad\u180e\ufffd"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfc(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in texts:
         yield s.map(lambda t: t if t.isascii() else unicodedata.normalize("NFC", t))
@@ -41,20 +43,12 @@ def clean(column: Column) -> Column:
     return strip(F.regexp_replace(text, "\\n{3,}", "\n\n"))
 
 
-def lines(column: Column) -> Column:
-    """As Python's splitlines: a break at the end opens no line."""
-    parts = F.split(column, LINE_BREAK, -1)
-    trimmed = F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
-    return F.when(column == "", F.array().cast("array<string>")).otherwise(trimmed)
-
-
 def strip_heading(text: Column, heading: Column) -> Column:
-    """Without the first line, if that only repeats the heading; the rest's lines are joined and stripped."""
-    of = lines(text)
-    first = strip(nfc(F.try_element_at(of, F.lit(1))))
+    """Without the first line, if that only repeats the heading; the rest's lines are joined by line feeds and stripped."""
     wanted = F.coalesce(heading, F.lit(""))
-    rest = strip(F.array_join(F.slice(of, 2, F.greatest(F.size(of) - 1, F.lit(0))), "\n"))
-    return F.when((text == "") | (wanted == "") | (F.size(of) == 0), text).when(first == strip(nfc(wanted)), rest).otherwise(text)
+    first = F.regexp_extract(text, f"^{NO_BREAK}*", 0)
+    rest = F.regexp_replace(F.regexp_replace(text, f"^{NO_BREAK}*(?:{LINE_BREAK})?", ""), LINE_BREAK, "\n")
+    return F.when((text == "") | (wanted == ""), text).when(strip(nfc(first)) == strip(nfc(wanted)), strip(rest)).otherwise(text)
 
 
 def words(column: Column) -> Column:

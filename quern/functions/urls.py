@@ -8,6 +8,7 @@ from urllib.parse import parse_qs, quote, unquote, urljoin, urlsplit
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Title prefixes of pages that are never prose (fixed values).
 SKIPPED_NAMESPACES = (
@@ -52,24 +53,24 @@ def canonical(url: str | None, base: str | None) -> str:
 
 
 def title_from_url(column: Column, page_path: str = PAGE_PATH) -> Column:
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def run(urls: pd.Series) -> pd.Series:
         return urls.map(lambda u: page_title(u, page_path))
 
     return run(column)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def canonical_url(urls: pd.Series, bases: pd.Series) -> pd.Series:
     return pd.Series([canonical(u, b) for u, b in zip(urls, bases, strict=True)], dtype=object)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unquoted(urls: pd.Series) -> pd.Series:
     return urls.map(lambda u: None if u is None else unquote(u))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def quoted(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: quote(t or ""))
 

@@ -10,6 +10,7 @@ from typing import Protocol
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from quern.config import NO_ANSWER, SETTINGS
 from quern.functions import text as T
@@ -97,7 +98,7 @@ def prompts(found: DataFrame, questions: DataFrame) -> DataFrame:
 
 
 def generate(column: Column, make: Callable[..., Generator] = Extractive, *args) -> Column:
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = make(*args)
         for s in parts:

@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from quern.config import PASSAGE_PREFIX, QUERY_PREFIX, SETTINGS
 from quern.functions import text as T
@@ -83,7 +84,7 @@ def loaded(make: Callable[..., Embedder], *args) -> Embedder:
 
 
 def _embed(column: Column, prefix: str, make: Callable[..., Embedder], args: tuple) -> Column:
-    @F.pandas_udf("array<double>")
+    @F.pandas_udf(ArrayType(DoubleType()))
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = loaded(make, *args)
         for s in parts:

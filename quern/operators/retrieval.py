@@ -53,7 +53,7 @@ def nearest(questions: DataFrame, index: DataFrame, k: int, place: tuple[str, ..
 def _search(block: DataFrame, k: int, place: tuple[str, ...], max_score: float | None):
     rows = block.select("query_id", "embedding").toPandas()
     ids = rows["query_id"].to_numpy(np.int64)
-    matrix = np.array(rows["embedding"].tolist(), dtype=np.float64).reshape(len(ids), -1)
+    matrix = np.array(rows["embedding"].tolist(), dtype=np.float64).reshape(len(ids), -1 if len(ids) else 0)
     held = block.sparkSession.sparkContext.broadcast((ids, matrix, (matrix**2).sum(1)))
 
     def run(batches):
