@@ -15,6 +15,7 @@ empty result; other columns are ignored.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 
 import numpy as np
@@ -28,31 +29,88 @@ WINDOW = 4096
 END = 2
 SHARD_BYTES = 3 << 20
 K1, B = 1.2, 0.75
-REMEMBERED = 500_000
+#: Words and other stretches of text that a worker remembers.
+WORDS, OTHERS = 800_000, 150_000
+_LETTERS = bytes(c for c in range(256) if chr(c).isalpha())
+_LOWER = bytes(ord(low) if len(low := chr(c).lower()) == 1 and ord(low) < 256 else c for c in range(256))
+_STOPS = (b"..", b".,", b",.", b",,")
+_SPACE = b" \t\n\x0b\x0c\r"
+#: An apostrophe may begin a contraction, so texts with one aren't cut here.
+_SIGNS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_CUT = re.compile(b"[" + re.escape(_LETTERS) + b"]+|[0-9]|[" + re.escape(_SIGNS) + b"]+").findall
+
+
+def plain_words(text: str) -> list[bytes] | None:
+    """Words, digits and runs of signs of a text of Latin-1 letters, ASCII signs and white space, in lower case; None for others.
+
+    These are the tokenizer's own pre-tokens. Where the only signs are single stops, spaces around these cut as well."""
+    try:
+        raw = text.encode("latin-1")
+    except UnicodeEncodeError:
+        return None
+    odd = raw.translate(None, _LETTERS + _SPACE)
+    low = raw.translate(_LOWER)
+    if not odd.translate(None, b".,") and not any(s in raw for s in _STOPS):
+        return low.replace(b",", b" , ").replace(b".", b" . ").split()
+    if odd.translate(None, b"0123456789" + _SIGNS) or b"<|" in raw:
+        return None
+    return _CUT(low)
 
 
 class Tokens:
-    """Ids of whole texts by a tokenizer that drops white space: what stands between spaces is encoded on its own."""
+    """Ids of whole texts by a tokenizer that lower-cases, drops white space and marks the ends of words.
+
+    Words are remembered. New ones are encoded many at a time, with spaces between, and told apart by the marks.
+    Texts with anything else are cut at spaces, and what stands between goes to the tokenizer as it is.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.memory: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.kind = np.dtype("<u2" if max(vocabulary.values()) < 1 << 16 else "<u4")
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.words: dict[bytes, bytes] = {}
+        self.others: dict[str, bytes] = {}
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, self.kind).tobytes() for e in encoded]
+
+    def _learn(self, new: list[bytes]) -> None:
+        for at in range(0, len(new), 20_000):
+            part = new[at : at + 20_000]
+            (data,) = self._ids([b" ".join(part).decode("latin-1")])
+            width = self.kind.itemsize
+            last = ((np.flatnonzero(self.ends[np.frombuffer(data, self.kind)]) + 1) * width).tolist()
+            if len(last) == len(part):
+                ids = [data[a:b] for a, b in zip([0, *last], last, strict=False)]
+            else:  # a tokenizer without such marks
+                ids = self._ids([w.decode("latin-1") for w in part])
+            self.words.update(zip(part, ids, strict=True))
+
+    @staticmethod
+    def _missing(split: list[list], memory: dict, bound: int) -> list:
+        wanted = set().union(*split)
+        new = wanted.difference(memory)
+        if len(memory) + len(new) > bound:
+            memory.clear()
+            new = wanted
+        return list(new)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        memory = self.memory
-        new = {c for chunks in split for c in chunks if c not in memory}
-        if len(memory) + len(new) > REMEMBERED:
-            memory.clear()
-            new = {c for chunks in split for c in chunks}
-        fresh = list(new)
-        for c, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            memory[c] = np.array(e.ids, self.kind).tobytes()
-        return [b"".join(map(memory.__getitem__, chunks)) for chunks in split]
+        split = [plain_words(t) for t in texts]
+        plain = [w for w in split if w is not None]
+        chunks = [t.replace("\n", " ").split(" ") for t, w in zip(texts, split, strict=True) if w is None]
+        self._learn(self._missing(plain, self.words, WORDS))
+        new = self._missing(chunks, self.others, OTHERS)
+        self.others.update(zip(new, self._ids(new), strict=True))
+        rest = iter(chunks)
+        words, others = self.words.__getitem__, self.others.__getitem__
+        return [b"".join(map(words, w)) if w is not None else b"".join(map(others, next(rest))) for w in split]
 
 
 _tokens: dict[str, Tokens] = {}
