@@ -12,6 +12,7 @@ from pyspark.sql.types import StringType
 
 WS = "[\\x09-\\x0d\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
 LINE_BREAK = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]"
+WS_CHARACTERS = "".join(map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 NO_BREAK = "[^\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]"
 SPACES = "[ \\t\\xa0\\u1680\\u2000-\\u200a\\u202f\\u205f\\u3000]+"
 #: Characters that cleaning removes; U+200C and U+200D stay, spelling needs them (fixed values).
@@ -30,16 +31,19 @@ def nfc(column: Column) -> Column:
 
 
 def strip(column: Column) -> Column:
-    """Without white space at both ends; Spark's trim takes U+0020 only."""
-    return F.regexp_replace(column, f"^{WS}+|{WS}+$", "")
+    """Without white space at both ends; Spark's trim takes U+0020 only, unless told the characters."""
+    return F.btrim(column, F.lit(WS_CHARACTERS))
 
 
 def clean(column: Column) -> Column:
-    """NFC, one kind of line break, no invisible characters, single spaces, at most one blank line, stripped."""
-    text = F.regexp_replace(nfc(column), "\\r\\n?", "\n")
+    """NFC, one kind of line break, no invisible characters, single spaces, at most one blank line, stripped.
+
+    Each step names the one before once, so nothing is evaluated twice."""
+    text = F.replace(F.replace(nfc(column), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
     text = F.translate(text, REMOVED, "")
     text = F.regexp_replace(text, SPACES, " ")
-    text = F.regexp_replace(text, "[ \\t]*\\n[ \\t]*", "\n")
+    # Runs of spaces are single by now.
+    text = F.replace(F.replace(text, F.lit(" \n"), F.lit("\n")), F.lit("\n "), F.lit("\n"))
     return strip(F.regexp_replace(text, "\\n{3,}", "\n\n"))
 
 

@@ -13,6 +13,7 @@ from quern.functions import text as T
 from quern.functions import urls as U
 from quern.operators import answering, chunking, citations, discovery, embedding, evaluation, retrieval
 from quern.plans import fixtures as X
+from quern.shared import spread
 from quern.shipping import ship
 from quern.sources.tables import table
 
@@ -42,12 +43,12 @@ _odd = X.lit(X.ODD)
 
 @query(f"SELECT doc_id, nfc_normalize(text || {_odd}) AS nfc FROM documents")
 def nfc_text(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", T.nfc(F.concat("text", F.lit(X.ODD))).alias("nfc"))
+    return spread(table(spark, folder, "documents")).select("doc_id", T.nfc(F.concat("text", F.lit(X.ODD))).alias("nfc"))
 
 
 @query(f"SELECT doc_id, {X.clean(f'({_odd} || text || {_odd})')} AS clean FROM documents")
 def clean_text(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", T.clean(F.concat(F.lit(X.ODD), "text", F.lit(X.ODD))).alias("clean"))
+    return spread(table(spark, folder, "documents")).select("doc_id", T.clean(F.concat(F.lit(X.ODD), "text", F.lit(X.ODD))).alias("clean"))
 
 
 _headed = "(CASE WHEN doc_id % 3 = 0 THEN doc_id::VARCHAR || ' ' || chr(10) ELSE '' END || CASE WHEN doc_id % 2 = 0 THEN source || chr(10) ELSE '' END || text)"
@@ -65,7 +66,7 @@ def strip_heading(spark, folder):
         F.when(F.col("doc_id") % 2 == 0, F.concat("source", F.lit("\n"))).otherwise(""),
         "text",
     )
-    rows = table(spark, folder, "documents").select("doc_id", "source", headed.alias("text"))
+    rows = spread(table(spark, folder, "documents")).select("doc_id", "source", headed.alias("text"))
     rows = rows.withColumn("text", T.strip_heading(F.col("text"), chapter))
     return rows.select("doc_id", T.strip_heading(F.col("text"), F.col("source")).alias("stripped"))
 
@@ -73,7 +74,7 @@ def strip_heading(spark, folder):
 @query(f"SELECT doc_id, len({X.words(f'(text || {_odd})')})::INTEGER AS n_words, array_to_string({X.words(f'(text || {_odd})')}, '|') AS words FROM documents")
 def tokenize_words(spark, folder):
     words = T.words(F.concat("text", F.lit(X.ODD)))
-    return table(spark, folder, "documents").select("doc_id", F.size(words).alias("n_words"), F.array_join(words, "|").alias("words"))
+    return spread(table(spark, folder, "documents")).select("doc_id", F.size(words).alias("n_words"), F.array_join(words, "|").alias("words"))
 
 
 _asked = "(CASE item_id % 3 WHEN 0 THEN ' query: ' WHEN 1 THEN 'passage:' ELSE chr(160) END || text)"
@@ -95,7 +96,7 @@ def e5_prefix(spark, folder):
 @query(f"SELECT doc_id, unnest({X.starts('n', 50, 20)})::INTEGER AS start_word FROM (SELECT doc_id, len({X.words('text')}) AS n FROM documents)")
 def window_starts(spark, folder):
     n = F.size(T.words(F.col("text")))
-    return table(spark, folder, "documents").select("doc_id", F.explode(chunking.window_starts(n, 50, 20)).alias("start_word"))
+    return spread(table(spark, folder, "documents")).select("doc_id", F.explode(chunking.window_starts(n, 50, 20)).alias("start_word"))
 
 
 def _windows_sql(size: int, overlap: int) -> str:
@@ -328,8 +329,8 @@ _eval = f"""{_hits}, {X.GOLD}, rows_ AS (SELECT g.query_id, g.type, g.expected_c
     eval_ AS (SELECT *, CASE WHEN type = 'answerable' THEN list_contains(chapters, coalesce(expected_chapter, '')) END AS hit FROM rows_)"""
 
 
-def _evaluated(spark, folder, size=500, overlap=100):
-    return evaluation.eval_rows(X.gold(spark, folder), X.hits(spark, folder, size, overlap))
+def _evaluated(spark, folder):
+    return evaluation.eval_rows(X.gold(spark, folder), X.hits(spark, folder))
 
 
 @query(f"{_eval} SELECT query_id, hit FROM eval_ WHERE type = 'answerable'")
@@ -370,7 +371,11 @@ _parts = [_strategy(*s) for s in evaluation.STRATEGIES]
 
 @query(f"WITH {X.PAGES}, {X.GOLD}, {', '.join(p[0] for p in _parts)} {' UNION ALL '.join(p[1] for p in _parts)}")
 def compare_chunking(spark, folder):
-    parts = {s[0]: (_evaluated(spark, folder, *s[2:]), X.chunks(spark, folder, *s[2:])) for s in evaluation.STRATEGIES}
+    asked, gold = X.questions(spark, folder), X.gold(spark, folder)
+    parts = {}
+    for name, _, size, overlap in evaluation.STRATEGIES:
+        index = X.index(spark, folder, size, overlap)
+        parts[name] = (evaluation.eval_rows(gold, retrieval.retrieve(asked, index, X.K, X.THRESHOLD)), index)
     return evaluation.compare(parts)
 
 
@@ -391,22 +396,22 @@ _title = f"nullif(trim(replace(substr({_path}, 2), '_', ' ')), '')"
 
 @query(f"SELECT page_id, {_origin} || '/w/index.php?title=Special:PrefixIndex&namespace=0&prefix=' || replace(url_encode(url || ' é'), '%2F', '/') AS listing FROM pages")
 def prefix_index_url(spark, folder):
-    return table(spark, folder, "pages").select("page_id", U.prefix_listing_url(F.col("url"), F.concat("url", F.lit(" é"))).alias("listing"))
+    return spread(table(spark, folder, "pages")).select("page_id", U.prefix_listing_url(F.col("url"), F.concat("url", F.lit(" é"))).alias("listing"))
 
 
 @query(f"SELECT page_id, {_title} AS title FROM pages")
 def title_from_url(spark, folder):
-    return table(spark, folder, "pages").select("page_id", U.title_from_url(F.col("url"), X.PAGE_PATH).alias("title"))
+    return spread(table(spark, folder, "pages")).select("page_id", U.title_from_url(F.col("url"), X.PAGE_PATH).alias("title"))
 
 
 @query("SELECT page_id, regexp_replace(url, '[?#].*$', '') AS canonical FROM pages")
 def canonical_url(spark, folder):
-    return table(spark, folder, "pages").select("page_id", U.canonical_url(F.col("url"), F.lit("http://base.example/")).alias("canonical"))
+    return spread(table(spark, folder, "pages")).select("page_id", U.canonical_url(F.col("url"), F.lit("http://base.example/")).alias("canonical"))
 
 
 @query("SELECT page_id, url_decode(replace(replace(url, '?', '%3F'), '+', '%2B')) AS shown FROM pages")
 def display_url(spark, folder):
-    return table(spark, folder, "pages").select("page_id", U.unquoted(F.replace("url", F.lit("?"), F.lit("%3F"))).alias("shown"))
+    return spread(table(spark, folder, "pages")).select("page_id", U.unquoted(F.replace("url", F.lit("?"), F.lit("%3F"))).alias("shown"))
 
 
 _host = "ltrim(lower(regexp_extract({u}, '^[^:/?#]+://([^/?#]*)', 1)), 'w.')"
@@ -417,7 +422,7 @@ _other = "(CASE page_id % 3 WHEN 0 THEN replace(url, '://', '://www.') WHEN 1 TH
 def host_allowed(spark, folder):
     kind = F.col("page_id") % 3
     other = F.when(kind == 0, F.replace("url", F.lit("://"), F.lit("://www."))).when(kind == 1, F.upper("url")).otherwise("https://other.example/x")
-    return table(spark, folder, "pages").select("page_id", U.host_allowed(F.col("url"), other).alias("allowed"))
+    return spread(table(spark, folder, "pages")).select("page_id", U.host_allowed(F.col("url"), other).alias("allowed"))
 
 
 _prefixes = [*U.SKIPPED_NAMESPACES, "special:", "", "Special"]
@@ -434,7 +439,7 @@ def skip_reason(spark, folder):
     names = F.array(*[F.lit(p) for p in _prefixes])
     title = F.when(id_ % 13 != 2, F.concat(F.get(names, (id_ % len(_prefixes)).cast("int")), F.lit("X")))
     url = F.concat("url", F.when(id_ % 11 == 0, "&Action=Edit").when(id_ % 11 == 1, "&redlink=1").otherwise(""))
-    return table(spark, folder, "pages").select("page_id", U.skip_reason(title, url).alias("reason"))
+    return spread(table(spark, folder, "pages")).select("page_id", U.skip_reason(title, url).alias("reason"))
 
 
 _root = "'en'"
@@ -443,7 +448,7 @@ _root = "'en'"
 @query(f"SELECT page_id, {_title} = {_root} OR starts_with({_title}, {_root} || '/') AS belongs FROM pages")
 def belongs_to_root(spark, folder):
     title = U.title_from_url(F.col("url"), X.PAGE_PATH)
-    return table(spark, folder, "pages").select("page_id", title.alias("title")).select("page_id", U.belongs_to(F.col("title"), F.lit("en")).alias("belongs"))
+    return spread(table(spark, folder, "pages")).select("page_id", title.alias("title")).select("page_id", U.belongs_to(F.col("title"), F.lit("en")).alias("belongs"))
 
 
 @query(
@@ -454,7 +459,7 @@ def belongs_to_root(spark, folder):
 def chapter_section(spark, folder):
     kind = F.col("page_id") % 3
     title = U.title_from_url(F.col("url"), X.PAGE_PATH)
-    rows = table(spark, folder, "pages").select("page_id", title.alias("t"))
+    rows = spread(table(spark, folder, "pages")).select("page_id", title.alias("t"))
     rows = rows.select("page_id", F.concat("t", F.when(kind == 0, "//a/b").when(kind == 1, "").otherwise("/z")).alias("title"), F.substring_index("t", "/", 1).alias("root"))
     chapter, section = U.chapter_and_section(F.col("title"), F.col("root"))
     return rows.select("page_id", chapter.alias("chapter"), section.alias("section"))
@@ -464,8 +469,9 @@ def chapter_section(spark, folder):
 
 _article = "regexp_extract(html, '(?s)<article>(.*)</article>', 1)"
 _text_of = f"regexp_replace(regexp_replace({_article}, '(?s)<(script|style|nav)[^>]*>.*?</(script|style|nav)>', chr(10), 'g'), '(?s)<!--.*?-->|<[^>]*>', chr(10), 'g')"
-for _a, _b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&nbsp;", " "), ("&#39;", "''"), ("&amp;", "&")):
-    _text_of = f"replace({_text_of}, '{_a}', '{_b}')"
+# Old entities count without their semicolon too.
+for _a, _b in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("copy", "©"), ("middot", "·"), ("nbsp", " "), ("amp", "&")):
+    _text_of = f"regexp_replace({_text_of}, '&{_a};?', '{_b}', 'g')"
 _lines = f"list_filter(list_transform(string_split({_text_of}, chr(10)), lambda x: {X.strip('''regexp_replace(x, '[ \\t]+', ' ', 'g')''')}), lambda x: x <> '')"
 _extracted = f"array_to_string({_lines}, chr(10))"
 
@@ -476,13 +482,13 @@ def _fixture_text(column):
 
 @query(f"SELECT page_id, {_extracted} AS text FROM pages")
 def extract_text(spark, folder):
-    return table(spark, folder, "pages").select("page_id", _fixture_text(F.col("html")).alias("text"))
+    return spread(table(spark, folder, "pages")).select("page_id", _fixture_text(F.col("html")).alias("text"))
 
 
 @query("SELECT page_id, page_id % 4 = 0 AS missing FROM pages")
 def missing_page(spark, folder):
     marked = F.when(F.col("page_id") % 4 == 0, F.replace("html", F.lit("<footer>"), F.lit('<p class="x noarticletext">gone</p><footer>'))).otherwise(F.col("html"))
-    return table(spark, folder, "pages").select("page_id", H.is_missing(marked).alias("missing"))
+    return spread(table(spark, folder, "pages")).select("page_id", H.is_missing(marked).alias("missing"))
 
 
 _href = "regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)"
@@ -490,7 +496,7 @@ _href = "regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)"
 
 @query(f"SELECT page_id, url, unnest(range(0, len({_href}))) AS link_no, unnest({_href}) AS href FROM pages")
 def page_links(spark, folder):
-    return discovery.page_links(table(spark, folder, "pages"))
+    return discovery.page_links(spread(table(spark, folder, "pages")))
 
 
 _host_of = "regexp_extract(url, '^([^:/?#]+://[^/?#]*)', 1)"
@@ -502,7 +508,7 @@ _links = f"""links_ AS (SELECT page_id, url, unnest(range(0, len({_href}))) AS l
 
 def _judged(spark, folder):
     """A link's root is the first letter of what it names, so that one-letter names are roots and others lie outside."""
-    links = discovery.page_links(table(spark, folder, "pages"))
+    links = discovery.page_links(spread(table(spark, folder, "pages")))
     links = links.withColumn("root", F.substring(F.regexp_replace(F.ltrim("href", F.lit("/")), "[?#].*$", ""), 1, 1))
     return discovery.judge_links(links, X.PAGE_PATH)
 
@@ -523,7 +529,7 @@ _toc = "regexp_replace(ltrim(href, '/'), '[?#].*$', '')"
 )
 def toc_links(spark, folder):
     """The pages' links as a table of contents of the root ``en``."""
-    links = discovery.page_links(table(spark, folder, "pages")).withColumn("root", F.lit("en"))
+    links = discovery.page_links(spread(table(spark, folder, "pages"))).withColumn("root", F.lit("en"))
     # The fixture's links name no root, so one is put before each.
     links = links.withColumn("href", F.when(F.ltrim("href", F.lit("/")) != "", F.concat(F.lit("/en/"), F.ltrim("href", F.lit("/")))).otherwise("/"))
     titles, skipped = discovery.toc_titles(discovery.judge_links(links, X.PAGE_PATH))
@@ -536,14 +542,14 @@ def toc_links(spark, folder):
     SELECT source_no::BIGINT AS source_no, place, title FROM a WHERE title IS NOT NULL QUALIFY row_number() OVER (PARTITION BY title ORDER BY source_no, place) = 1"""
 )
 def ordered_union_distinct(spark, folder):
-    first = table(spark, folder, "pages").select(F.col("page_id").alias("place"), U.title_from_url(F.col("url"), X.PAGE_PATH).alias("title")).where("title is not null")
+    first = spread(table(spark, folder, "pages")).select(F.col("page_id").alias("place"), U.title_from_url(F.col("url"), X.PAGE_PATH).alias("title")).where("title is not null")
     second = table(spark, folder, "benchmark").select(F.col("item_id").alias("place"), F.concat(F.lit("en/"), (F.col("item_id") * 7 % 1000).cast("string")).alias("title"))
     return discovery.ordered_union([first, second], "title", "place")
 
 
 def _listed(spark, folder):
     """Titles of all pages, and their roots as pages of their own."""
-    titles = table(spark, folder, "pages").select(U.title_from_url(F.col("url"), X.PAGE_PATH).alias("title")).where("title is not null")
+    titles = spread(table(spark, folder, "pages")).select(U.title_from_url(F.col("url"), X.PAGE_PATH).alias("title")).where("title is not null")
     return titles.unionByName(titles.select(F.substring_index("title", "/", 1).alias("title")))
 
 
@@ -557,7 +563,7 @@ def choose_root(spark, folder):
 
 def _crawled(spark, folder):
     """Pages as fetched: some failed, some refused, some marked missing, some outside, some empty."""
-    rows = table(spark, folder, "pages")
+    rows = spread(table(spark, folder, "pages"))
     id_ = F.col("page_id")
     html = F.when(id_ % 5 == 1, F.replace("html", F.lit("<article>"), F.lit('<article><i class="noarticletext"></i>')))
     html = html.when(id_ % 7 == 2, F.lit("<article></article>")).otherwise(F.col("html"))
@@ -597,7 +603,7 @@ def crawl_summary(spark, folder):
 )
 def discover_pages(spark, folder):
     """The chosen root's pages in listing order, as URLs."""
-    titles = table(spark, folder, "pages").select("page_id", U.title_from_url(F.col("url"), X.PAGE_PATH).alias("title")).where("title is not null")
+    titles = spread(table(spark, folder, "pages")).select("page_id", U.title_from_url(F.col("url"), X.PAGE_PATH).alias("title")).where("title is not null")
     root = discovery.choose_root(_listed(spark, folder), "no such title")
     mine = titles.join(F.broadcast(root), U.belongs_to(F.col("title"), F.col("root")) & (F.col("title") != F.col("root")))
     kept = discovery.ordered_distinct(mine, "title", ["page_id"])

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.text import REMOVED
 from quern.operators import chunking, embedding, retrieval
+from quern.shared import materialize, spread
 from quern.shipping import ship
 from quern.sources.index import vectors
 from quern.sources.tables import table
@@ -21,7 +22,7 @@ ODD = " é  \tx\r\n \n\n\n​y­z 　 w\u001cv \n"
 
 
 def pages(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select(
+    return spread(table(spark, folder, "documents")).select(
         (F.col("doc_id") + 1).alias("page_no"),
         F.col("lang").alias("book"),
         F.col("doc_id").cast("string").alias("chapter"),
@@ -36,7 +37,8 @@ def chunks(spark: SparkSession, folder: str, size: int = 500, overlap: int = 100
 
 
 def index(spark: SparkSession, folder: str, size: int = 500, overlap: int = 100) -> DataFrame:
-    return vectors(chunking.nonempty(chunks(spark, folder, size, overlap)))
+    """The vector index, built once and read from the shared folder."""
+    return materialize(spark, vectors(chunking.nonempty(chunks(spark, folder, size, overlap))), "index")
 
 
 def questions(spark: SparkSession, folder: str) -> DataFrame:
@@ -45,8 +47,8 @@ def questions(spark: SparkSession, folder: str) -> DataFrame:
     return asked.withColumn("embedding", embedding.questions(F.col("question")))
 
 
-def hits(spark: SparkSession, folder: str, size: int = 500, overlap: int = 100, only_passing: bool = False) -> DataFrame:
-    return retrieval.retrieve(questions(spark, folder), index(spark, folder, size, overlap), K, THRESHOLD, only_passing)
+def hits(spark: SparkSession, folder: str, only_passing: bool = False) -> DataFrame:
+    return retrieval.retrieve(questions(spark, folder), index(spark, folder), K, THRESHOLD, only_passing)
 
 
 def occurrences(documents: DataFrame, items: DataFrame, block: int = retrieval.BLOCK) -> DataFrame:
@@ -89,7 +91,7 @@ def occurrences(documents: DataFrame, items: DataFrame, block: int = retrieval.B
 def gold(spark: SparkSession, folder: str) -> DataFrame:
     """query_id, question, type, expected_chapter: an item is answerable if a document holds its text; the first is the gold."""
     items = table(spark, folder, "benchmark")
-    found = occurrences(table(spark, folder, "documents"), items).groupBy("item_id").agg(F.min("doc_id").cast("string").alias("expected_chapter"))
+    found = occurrences(spread(table(spark, folder, "documents")), items).groupBy("item_id").agg(F.min("doc_id").cast("string").alias("expected_chapter"))
     rows = items.join(found, "item_id", "left")
     kind = F.when(F.col("expected_chapter").isNull(), "unanswerable").otherwise("answerable")
     return rows.select(F.col("item_id").alias("query_id"), F.col("text").alias("question"), kind.alias("type"), "expected_chapter")
