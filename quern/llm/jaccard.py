@@ -54,7 +54,7 @@ TILE, STRIPE = 256, 4096
 NULL_ID = -(1 << 63)
 
 _U = np.uint64
-_word = Remembered(xxhash.xxh64_intdigest, 500_000)
+_word = Remembered(xxhash.xxh64_intdigest, 100_000)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:

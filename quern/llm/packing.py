@@ -30,7 +30,7 @@ END = 2
 SHARD_BYTES = 3 << 20
 K1, B = 1.2, 0.75
 #: Words and other stretches of text that a worker remembers.
-WORDS, OTHERS = 800_000, 150_000
+WORDS, OTHERS = 500_000, 100_000
 _LETTERS = bytes(c for c in range(256) if chr(c).isalpha())
 _LOWER = bytes(ord(low) if len(low := chr(c).lower()) == 1 and ord(low) < 256 else c for c in range(256))
 _STOPS = (b"..", b".,", b",.", b",,")
