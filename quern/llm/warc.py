@@ -42,12 +42,16 @@ _ENTRY = "key string, url string, page_id long, record_type string, refers_to lo
 _COLUMNS = ("key", "url", "page_id", "record_type", "refers_to", "file", "at", "length")
 
 
+def one_line(url: str) -> str:
+    """As a header holds it: a line break in a URL would end the header."""
+    return url.replace("\r", "%0D").replace("\n", "%0A").strip()
+
+
 def url_key(url: str | None) -> str:
     """Host reversed and lower-cased, port unless usual, then path and query; no scheme and no fragment."""
-    if not url:
-        return ""
+    url = one_line(url or "")
     try:
-        parts = urlsplit(url.strip())
+        parts = urlsplit(url)
         host, port = (parts.hostname or "").rstrip("."), parts.port
     except ValueError:
         return url.lower()
@@ -79,8 +83,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
         f"WARC-Type: {'revisit' if revisit else 'response'}",
         f"WARC-Record-ID: {record_id(page_id, sha1.hexdigest())}",
         f"WARC-Date: {DATE}",
-        # A line break in a URL would end the header.
-        f"WARC-Target-URI: {(url or '').replace(chr(13), '%0D').replace(chr(10), '%0A')}",
+        f"WARC-Target-URI: {one_line(url or '')}",
         f"WARC-Payload-Digest: sha1:{digest}",
         "Content-Type: application/http; msgtype=response",
         f"Content-Length: {len(body)}",

@@ -1,0 +1,150 @@
+import base64
+import hashlib
+import re
+import secrets as source
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from quern.llm import rules, secrets, toxicity
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def base(text):
+    words = WORD.findall(text or "")
+    windows = Counter(zip(words, words[1:], words[2:], strict=False))
+    held = {k + j for k in range(len(words) - 2) if windows[tuple(words[k : k + 3])] > 1 for j in range(3)}
+    lines = [x for x in (text or "").split("\n") if WORD.search(x)]
+    n = len(words)
+    return n, sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(held), n < 50 or 100 * len(held) > 50 * n
+
+
+def test_rule_counts(spark, docs, none, rows):
+    labels = spark.createDataFrame([(5, 1), (9, 0), (None, 0), (77, 1), (5, None), (5, 1)], "doc_id long, quality int")
+    got = rules.judge(spark, docs, labels)
+    names = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    assert Counter(tuple(r[c] for c in names) for r in got.collect()) == Counter((i, *base(t)) for i, t in rows)
+    assert all(r["kept"] == (not r["base_failed"]) for r in got.collect())  # too few labels for a rule
+    assert rules.judge(spark, none, labels).count() == 0
+
+
+def test_rules_are_learned_and_precise(spark):
+    rng = np.random.default_rng(5)
+    rows, labels = [], []
+    for k in range(900):
+        words = [f"word{rng.integers(0, 5000)}" for _ in range(80)]
+        bad = k % 3 == 0
+        if bad and k % 2:
+            words = [w + "###" for w in words]
+        elif bad:
+            words = [w.upper() for w in words]
+        rows.append((k, " ".join(words)))
+        labels.append((k, int(not bad)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in rules.judge(spark, docs, spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+    assert all(got[k]["kept"] == bool(good) for k, good in labels)
+    assert {got[k]["rule"] for k, good in labels if not good} == {0, 1}
+
+
+def test_plan_runs_no_python(spark, docs):
+    labels = spark.createDataFrame([(5, 1)], "doc_id long, quality int")
+    plan = rules.judge(spark, docs, labels)._jdf.queryExecution().toString() + rules.measures(docs)._jdf.queryExecution().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def spans(text):
+    out = []
+    for kind, pattern, fits in (
+        ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), lambda m: len(m[2]) >= 6),
+        ("access", re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 20),
+        ("hex", re.compile("[0-9a-f]+"), lambda m: len(m[0]) >= 24),
+    ):
+        out += [(m.start(), ("assign", "access", "hex").index(kind), m.end(), kind) for m in pattern.finditer(text) if fits(m)]
+    return ",".join(f"{k}:{s}:{e}" for s, _, e, k in sorted(out))
+
+
+def test_base_spans(docs, none, rows):
+    got = secrets.scan(docs).collect()
+    assert Counter((r["doc_id"], r["base_sha256"]) for r in got) == Counter((i, hashlib.sha256(spans(t or "").encode()).hexdigest()) for i, t in rows)
+    assert secrets.scan(none).count() == 0
+    texts = ['Token: "abcdef" secret=token:abcdef', "é api_key=' 123 apikey= 1234567", "ſecret=abcdefgh pasſword=abcdefgh", "deadbeef" * 4, "AKIA" * 6, "passwd==" * 3 + "x" * 9]
+    for t in texts:
+        assert secrets.joined(secrets.base_spans(t)) == spans(t)
+
+
+def test_battery_tells_random_strings_from_words():
+    rng = np.random.default_rng(6)
+    hits = 0
+    for _ in range(200):
+        token = base64.urlsafe_b64encode(rng.bytes(27)).decode()
+        hits += any(k == 3 for _, k, _ in secrets.all_spans(f"see {token} there")[1])
+    assert hits >= 190
+    for w in ("internationalisation-of-many-things", "snake_case_name_of_a_long_kind", "CamelCaseIdentifierNameForClass", "0123456789012345678901", "a" * 40, "=" * 30):
+        assert not [s for s in secrets.all_spans(f"see {w} there")[1] if s[1] == 3]
+
+
+def test_discovery_rate_weighs_length():
+    assert secrets.accepted([]) == []
+    assert secrets.accepted([(0, 40, 0.0001), (50, 90, 0.5)]) == [(0, 40)]
+    assert secrets.accepted([(0, 40, 0.2)] * 3) == []
+
+
+def test_redaction(spark, docs, rows):
+    got = secrets.redact(docs)
+    assert got.columns == docs.columns
+    texts = {r["doc_id"]: r["text"] for r in got.collect()}
+    assert texts[14] == "[secret] [secret]" and texts[0] is None and texts[12] == dict(rows)[12]
+    assert secrets.mask("abcdef", [(1, 0, 3), (2, 1, 4)]) == "a[secret]ef"
+    key = source.token_hex(20)
+    one = spark.createDataFrame([(1, f"x {key} y", 44)], "doc_id long, text string, n_chars long")
+    assert secrets.redact(one).first()[1:] == ("x [secret] y", 12)
+
+
+@pytest.fixture(scope="module")
+def toxic_table(spark):
+    rng = np.random.default_rng(7)
+    bad = ["zorkish", "blumphy", "grantoid"]
+    rows = []
+    for k in range(900):
+        words = [f"plain{rng.integers(0, 800)}" for _ in range(60)]
+        toxic = k % 4 == 0
+        if toxic:
+            for _ in range(3):
+                words[rng.integers(0, 60)] = bad[rng.integers(0, 3)]
+        rows.append((k, " ".join(words), int(toxic)))
+    return rows
+
+
+def test_toxicity_on_held_out_rows(spark, toxic_table):
+    docs = spark.createDataFrame([r[:2] for r in toxic_table], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in toxic_table], "doc_id long, toxic int")
+    model = toxicity.fit(spark, docs, labels)
+    got = {r["doc_id"]: r for r in toxicity.score_documents(spark, docs, model).collect()}
+    import zlib
+
+    held = [r for r in toxic_table if zlib.crc32(str(r[0]).encode()) % 5 == 0]
+    assert {k for k, r in got.items() if r["held_out"]} == {r[0] for r in held}
+    assert np.mean([got[r[0]]["predicted"] == r[2] for r in held]) >= 0.98
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in got.values())
+    assert {r["doc_id"] for r in toxicity.keep_clean(spark, docs, model).collect()} == {k for k, r in got.items() if not r["predicted"]}
+
+
+def test_toxicity_edge_cases(spark, docs, none, rows):
+    labels = spark.createDataFrame([(5, 1), (None, 1), (6, None), (99, 0)], "doc_id long, toxic int")
+    model = toxicity.fit(spark, docs, labels)
+    got = toxicity.score_documents(spark, docs, model)
+    assert got.count() == len(rows)
+    assert toxicity.score_documents(spark, none, toxicity.fit(spark, none, labels.limit(0))).count() == 0
+    assert toxicity.keep_clean(spark, docs, toxicity.Model({}, {}, None, None, 0.0)).columns == docs.columns
+
+
+def test_trees_and_isotonic():
+    rng = np.random.default_rng(8)
+    x = rng.random((800, 4))
+    y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.3)).astype(float)
+    trees = toxicity.fit_trees(x, y)
+    assert ((trees.raw(x) > 0) == y).mean() > 0.97
+    at, share = toxicity.fit_isotonic(np.arange(10.0), np.array([0, 0, 1, 0, 0, 1, 1, 0, 1, 1.0]))
+    assert (np.diff(share) >= 0).all() and (np.diff(at) >= 0).all()
