@@ -48,8 +48,7 @@ def canonical(url: str | None, base: str | None) -> str:
         return url or ""
     own = _path(whole)
     tail = parts.path[len(own) :]
-    own = unquote(own.replace("&#58;", ":").replace("&#95;", "_"))
-    return parts._replace(path=own + tail, query="", fragment="").geturl()
+    return parts._replace(path=unquote(own) + tail, query="", fragment="").geturl()
 
 
 def title_from_url(column: Column, page_path: str = PAGE_PATH) -> Column:
