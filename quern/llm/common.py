@@ -1,38 +1,18 @@
-"""What the operators of this subpackage share: the shared folder, written tables and shipping of code."""
+"""What the operators of this subpackage share: written tables, their removal, and batches of rows."""
 
 from __future__ import annotations
 
 import contextlib
-import os
-import tempfile
-import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-_ROOT = Path(__file__).resolve().parents[2]
-_shipped: set[str] = set()
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: ``spark.checkpoint.dir``.
-
-    Only where no such folder is set (a local test session) one is made and set.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if held.isDefined():
-        return held.get().rstrip("/")
-    made = "file://" + tempfile.mkdtemp(prefix="quern-shared-")
-    spark.sparkContext.setCheckpointDir(made)
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
+from quern import shared
+from quern.shipping import ship
 
+__all__ = ["discard", "fresh_path", "map_batches", "materialize", "ship", "table", "tracked"]
 
 _tracked: list[list[str]] = []
 
@@ -47,8 +27,15 @@ def tracked(made: list[str]):
         _tracked.pop()
 
 
+def materialize(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
+    """A written table in the shared folder, noted where paths are tracked."""
+    path = fresh_path(spark, tag)
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def fresh_path(spark: SparkSession, tag: str) -> str:
-    path = f"{shared_dir(spark)}/quern-{tag}-{uuid.uuid4().hex}"
+    path = shared.fresh_path(spark, tag)
     for made in _tracked[-1:]:
         made.append(path)
     return path
@@ -65,29 +52,6 @@ def discard(spark: SparkSession, made: list[str], needed: DataFrame) -> None:
             made.remove(path)
 
 
-def materialize(spark: SparkSession, df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends here and survives lost executors."""
-    path = fresh_path(spark, tag)
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def ship(spark: SparkSession) -> None:
-    """Make this package importable on the executors, once per application, if PYTHONPATH doesn't do so."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    _shipped.add(app)
-    held = [os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if str(_ROOT) in held:
-        return
-    out = Path(tempfile.mkdtemp(prefix="quern-code-")) / "quern_code.zip"
-    with zipfile.ZipFile(out, "w") as z:
-        for f in sorted((_ROOT / "quern").rglob("*.py")):
-            z.write(f, f.relative_to(_ROOT))
-    spark.sparkContext.addPyFile(str(out))
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
