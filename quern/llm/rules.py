@@ -3,8 +3,8 @@
 Everything here is DataFrame and SQL work. The measures of a text are built-in expressions over its words and
 lines; they are written once to the shared folder, and both learning and judging read that small table.
 
-Learning: candidates for a condition are thresholds at quantiles of each measure. Each step asks one aggregate
-over all labelled rows of the growing part: how many good and bad rows would every candidate keep. The rule takes
+Learning: candidates for a condition are thresholds at quantiles of each measure, and halfway between good and bad ones.
+Each step counts, over all labelled rows of the growing part, how many good and bad rows every candidate would keep. The rule takes
 the condition with the best gain until it covers no good row; then trailing conditions are cut as long as that
 doesn't lower its worth on the pruning part. A rule enters the list if it is precise on both parts; the rows it
 covers leave, and the next rule is grown. The list ends where no such rule is found. Labels only teach; a verdict
@@ -32,6 +32,8 @@ SYMBOLS = "#*$%&|<>"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 MARKS = "!?.,;:"
 QUANTILES = 24
+BAD_CUTS = [0.02, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.98]
+GOOD_ENDS = [0.0, 0.005, 0.995, 1.0]
 MAX_RULES = 8
 MAX_CONDITIONS = 4
 MIN_COVER = 20
@@ -154,43 +156,64 @@ def _gain(before: tuple[int, int], after: tuple[int, int]) -> float:
     return bad * (math.log2(bad / (bad + good)) - math.log2(before[0] / (before[0] + before[1])))
 
 
-def learn(labelled: DataFrame, max_rules: int = MAX_RULES, min_precision: float = MIN_PRECISION) -> list[Rule]:
-    """The decision list for ``bad`` rows of ``labelled`` (MEASURES, bad, part: true for growing, false for pruning)."""
+def learn(spark: SparkSession, labelled: DataFrame, max_rules: int = MAX_RULES, min_precision: float = MIN_PRECISION) -> list[Rule]:
+    """The decision list for ``bad`` rows of ``labelled`` (MEASURES, bad, part: true for growing, false for pruning).
+
+    Each row is reduced to the bins of its measures once, so a step counts bins and sums them up to candidates."""
 
     def totals(rows: Column, wanted: list[Column]) -> list[tuple[int, int]]:
         cols = []
         for k, c in enumerate(wanted):
             cols += [F.count_if(rows & c & F.col("bad")).alias(f"b{k}"), F.count_if(rows & c & ~F.col("bad")).alias(f"g{k}")]
-        got = labelled.agg(*cols).first()
+        got = binned.agg(*cols).first()
         return [(got[f"b{k}"], got[f"g{k}"]) for k in range(len(wanted))]
 
-    cuts = labelled.where("part").agg(
-        *[F.percentile_approx(m, [q / QUANTILES for q in range(1, QUANTILES)], 10_000).alias(m) for m in MEASURES]
-    ).first()
-    bad_cuts = labelled.where("part and bad").agg(
-        *[F.percentile_approx(m, [0.02, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.98], 10_000).alias(m) for m in MEASURES]
-    ).first()
-    candidates = [
-        Condition(m, above, float(t))
-        for m in MEASURES
-        for t in sorted({*(cuts[m] or []), *(bad_cuts[m] or [])})
-        for above in (True, False)
-    ]
+    def quantiles(kind: str, at: list[float]) -> dict[str, list[float]]:
+        got = labelled.where(kind).agg(*[F.percentile_approx(m, at, 10_000).alias(m) for m in MEASURES]).first()
+        return {m: [float(t) for t in got[m] or []] for m in MEASURES}
+
+    cuts = quantiles("part", [q / QUANTILES for q in range(1, QUANTILES)])
+    bad, good = quantiles("part and bad", BAD_CUTS), quantiles("part and not bad", GOOD_ENDS)
+    # Halfway between where good rows end and where bad rows are leaves both a margin.
+    steps = {m: sorted({*cuts[m], *bad[m], *((g + b) / 2 for g in good[m] for b in bad[m])}) for m in MEASURES}
+
+    def bin_of(m: str) -> Column:
+        return F.size(F.filter(F.array(*map(F.lit, steps[m])).cast("array<double>"), lambda t: t <= F.col(m)))
+
+    bins = F.array(*[F.struct(F.lit(k).alias("m"), bin_of(m).alias("bin")) for k, m in enumerate(MEASURES)])
+    binned = materialize(spark, labelled.withColumn("bins", bins), "binned")
+
+    def counted(rows: Column) -> list[tuple[Condition, tuple[int, int]]]:
+        """Each candidate with the bad and good rows that it would keep."""
+        cells = binned.where(rows).select("bad", F.explode("bins").alias("c")).groupBy("c.m", "c.bin")
+        got = cells.agg(F.count_if("bad").alias("b"), F.count_if(~F.col("bad")).alias("g")).collect()
+        out = []
+        for k, m in enumerate(MEASURES):
+            own = {r["bin"]: (r["b"], r["g"]) for r in got if r["m"] == k}
+            all_b, all_g = (sum(v[j] for v in own.values()) for j in (0, 1))
+            low_b = low_g = 0
+            for j, t in enumerate(steps[m]):
+                b, g = own.get(j, (0, 0))
+                low_b, low_g = low_b + b, low_g + g
+                out.append((Condition(m, True, t), (all_b - low_b, all_g - low_g)))
+                out.append((Condition(m, False, t), (low_b, low_g)))
+        return out
+
     rules: list[Rule] = []
-    while len(rules) < max_rules and candidates:
+    while len(rules) < max_rules:
         left = _not_covered(rules)
         rule: list[Condition] = []
         now = totals(left & F.col("part"), [F.lit(True)])[0]
         if now[0] < MIN_COVER:
             break
         while now[1] and len(rule) < MAX_CONDITIONS:
-            counts = totals(left & F.col("part") & _covers(tuple(rule)), [c.column() for c in candidates])
-            gains = [_gain(now, x) if x[0] >= MIN_COVER else -math.inf for x in counts]
-            best = max(range(len(gains)), key=gains.__getitem__)
-            if gains[best] <= 0:
+            candidates = counted(left & F.col("part") & _covers(tuple(rule)))
+            gains = [_gain(now, x) if x[0] >= MIN_COVER else -math.inf for _, x in candidates]
+            best = max(range(len(gains)), key=gains.__getitem__, default=None)
+            if best is None or gains[best] <= 0:
                 break
-            rule.append(candidates[best])
-            now = counts[best]
+            rule.append(candidates[best][0])
+            now = candidates[best][1]
         if not rule:
             break
         # Prune: the shortest beginning of the rule that is worth most on rows that it wasn't grown on.
@@ -223,7 +246,7 @@ def judge(spark: SparkSession, docs: DataFrame, labels: DataFrame, whole: bool =
     taught = labels.where("quality is not null and doc_id is not null").select("doc_id", (F.col("quality") == 0).alias("bad"))
     labelled = rows.join(taught, "doc_id").where("not base_failed")
     labelled = labelled.select(*MEASURES, "bad", (F.pmod(F.xxhash64("doc_id"), F.lit(3)) != 0).alias("part"))
-    rules = learn(materialize(spark, labelled, "labelled"))
+    rules = learn(spark, materialize(spark, labelled, "labelled"))
     return rows.withColumn("rule", verdict(rules)).withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
 
 
