@@ -98,3 +98,23 @@ def report(rows: DataFrame) -> DataFrame:
 
 def percent(rate: Column) -> Column:
     return F.when(rate.isNull(), "n/a").otherwise(F.format_string("%.2f%%", rate * 100))
+
+
+def _of(part: Column, whole: Column) -> Column:
+    return F.concat(part.cast("string"), F.lit("/"), whole.cast("string"))
+
+
+def summary_lines(summary: DataFrame) -> DataFrame:
+    """line_no and a line of text for each part of a summary."""
+    c = F.col
+    lines = [
+        F.concat(F.lit("hit rate: "), _of(c("hits"), c("answerable")), F.lit(" = "), percent(c("hit_rate"))),
+        F.concat(F.lit("threshold passes: "), _of(c("threshold_passes"), c("answerable")), F.lit(" = "), percent(c("threshold_pass_rate"))),
+        F.concat(F.lit("unanswerable gated: "), _of(c("unanswerable_gated"), c("unanswerable"))),
+    ]
+    return summary.select(F.posexplode(F.array(*lines)).alias("line_no", "line"))
+
+
+def comparison_line() -> Column:
+    c = F.col
+    return F.concat(c("id"), F.lit(" "), c("label"), F.lit(": "), c("n_chunks").cast("string"), F.lit(" chunks, "), _of(c("hits"), c("answerable")), F.lit(" = "), percent(c("hit_rate")))

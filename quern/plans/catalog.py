@@ -22,15 +22,14 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
+def query(sql: str, name: str | None = None):
     def add(fn: Query) -> Query:
         def run(spark: SparkSession, folder: str) -> DataFrame:
             ship(spark)
             return fn(spark, folder)
 
-        QUERIES[fn.__name__] = run
-        if sql:
-            SQL[fn.__name__] = sql
+        QUERIES[name or fn.__name__] = run
+        SQL[name or fn.__name__] = sql
         return fn
 
     return add
@@ -315,7 +314,7 @@ def source_records(spark, folder):
     return citations.source_records(X.hits(spark, folder))
 
 
-@query(f"{_records} SELECT query_id, position, {_citation} AS citation FROM records_")
+@query(f"{_records} SELECT query_id, position, {_citation} AS citation FROM records_", "citations")
 def cited_sources(spark, folder):
     return citations.citations(X.hits(spark, folder))
 
@@ -387,6 +386,17 @@ def eval_report(spark, folder):
     return evaluation.report(_evaluated(spark, folder))
 
 
+@query(
+    f"""{_eval}, s_ AS (SELECT count_if(type = 'answerable') AS a, count_if(coalesce(hit, false)) AS h, count_if(type = 'answerable' AND passes_threshold) AS p,
+    count_if(type = 'unanswerable') AS u, count_if(type = 'unanswerable' AND NOT passes_threshold) AS g FROM eval_)
+    SELECT 0::INTEGER AS line_no, 'hit rate: ' || h || '/' || a || ' = ' || CASE WHEN a = 0 THEN 'n/a' ELSE printf('%.2f%%', h / a * 100) END AS line FROM s_
+    UNION ALL SELECT 1, 'threshold passes: ' || p || '/' || a || ' = ' || CASE WHEN a = 0 THEN 'n/a' ELSE printf('%.2f%%', p / a * 100) END FROM s_
+    UNION ALL SELECT 2, 'unanswerable gated: ' || g || '/' || u FROM s_"""
+)
+def summary_report(spark, folder):
+    return evaluation.summary_lines(evaluation.eval_summary(_evaluated(spark, folder), X.K, X.THRESHOLD))
+
+
 # --- URLs ---
 
 _origin = "regexp_extract(url, '^([^:/?#]+://[^/?#]*)', 1)"
