@@ -42,6 +42,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Of each group of linked documents the one with the smallest id; of rows with that id, one."""
     found = materialize(spark, jaccard.join(spark, docs), "groups").select("doc_id", "component_id")
     gone = found.where("not (doc_id <=> component_id)").select(F.col("doc_id").alias("gone")).distinct()
+    # The same plan at every size: these ids grow with the input, so they are never broadcast, and texts aren't sorted.
+    gone = gone.hint("shuffle_hash")
     kept = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
     repeated = found.groupBy("doc_id").count().where("count > 1").limit(1).count()
     return kept.dropDuplicates(["doc_id"]) if repeated else kept
