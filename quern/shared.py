@@ -24,7 +24,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/quern-{tag}-{uuid.uuid4().hex}"
+    """A new place in the application's own part of the shared folder, which may go when the application has ended."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/quern-{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}")
+    # With its file system's name, so that readers other than Spark find it as well.
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
 def materialize(spark: SparkSession, df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
