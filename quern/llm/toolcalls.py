@@ -92,7 +92,12 @@ def link(spark: SparkSession, messages: DataFrame, schemas: Schemas) -> DataFram
     owner = calls.groupBy("conv_id", "call_id").agg(F.min("turn").alias("call_turn"))
     answered = messages.where("kind = 'result' and conv_id is not null and call_id is not null").select("conv_id", "call_id").distinct()
     owner = owner.join(answered.withColumn("answered", F.lit(True)), ["conv_id", "call_id"], "left")
-    rows = messages.join(owner, ["conv_id", "call_id"], "left")
+    # What has no identifier gets one that no call has, so that such rows of one conversation spread over the tasks.
+    alone = F.concat(F.lit("\x00"), F.xxhash64("turn", "kind", "body").cast("string"))
+    key = F.coalesce(F.when(F.col("conv_id").isNotNull(), F.col("call_id")), alone)
+    owner = owner.toDF("owner_conv", "owner_call", "call_turn", "answered")
+    rows = messages.withColumn("key", key)
+    rows = rows.join(owner, (F.col("conv_id") == F.col("owner_conv")) & (F.col("key") == F.col("owner_call")), "left")
     call, result = F.col("kind") == "call", F.col("kind") == "result"
     status = (
         F.when(call & (F.col("turn") > F.col("call_turn")), "duplicate_id")
