@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -11,9 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 WS = "[\\x09-\\x0d\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
-LINE_BREAK = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]"
+_FIRST_LINE = re.compile("[^\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]*")
 WS_CHARACTERS = "".join(map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
-NO_BREAK = "[^\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]"
 SPACES = "[ \\t\\xa0\\u1680\\u2000-\\u200a\\u202f\\u205f\\u3000]+"
 #: Characters that cleaning removes; U+200C and U+200D stay, spelling needs them (fixed values).
 REMOVED = "\ufeff\u200b\u2060\u00ad\u180e\ufffd"
@@ -47,12 +47,27 @@ def clean(column: Column) -> Column:
     return strip(F.regexp_replace(text, "\\n{3,}", "\n\n"))
 
 
-def strip_heading(text: Column, heading: Column) -> Column:
-    """Without the first line, if that only repeats the heading; the rest's lines are joined by line feeds and stripped."""
-    wanted = F.coalesce(heading, F.lit(""))
-    first = F.regexp_extract(text, f"^{NO_BREAK}*", 0)
-    rest = F.regexp_replace(F.regexp_replace(text, f"^{NO_BREAK}*(?:{LINE_BREAK})?", ""), LINE_BREAK, "\n")
-    return F.when((text == "") | (wanted == ""), text).when(strip(nfc(first)) == strip(nfc(wanted)), strip(rest)).otherwise(text)
+def _same(line: str) -> str:
+    return unicodedata.normalize("NFC", line).strip()
+
+
+def without_headings(text: str, headings: Sequence[str | None]) -> str:
+    """Without the first line where that only repeats a heading, for each heading in turn; the rest is stripped."""
+    for heading in headings:
+        first = _FIRST_LINE.match(text)[0]
+        if text and heading and _same(first) == _same(heading):
+            text = "\n".join(text[len(first) :].splitlines()).strip()
+    return text
+
+
+@F.pandas_udf(StringType())
+def _strip_headings(texts: pd.Series, headings: pd.Series) -> pd.Series:
+    return pd.Series([without_headings(t, h) for t, h in zip(texts, headings, strict=True)], dtype=object)
+
+
+def strip_headings(text: Column, *headings: Column) -> Column:
+    """``without_headings`` as a column. Spark would copy the text's expression into each place that names it, so it is one function."""
+    return _strip_headings(F.coalesce(text, F.lit("")), F.array(*headings))
 
 
 def words(column: Column) -> Column:

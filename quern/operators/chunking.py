@@ -55,10 +55,7 @@ def windows(pages: DataFrame, size: int = SETTINGS.chunk_size, overlap: int = SE
 
 def chunk_pages(pages: DataFrame, size: int = SETTINGS.chunk_size, overlap: int = SETTINGS.chunk_overlap) -> DataFrame:
     """Clean, drop headings that repeat chapter and section, and cut into windows; page by page, without a shuffle."""
-    body = T.clean(F.col("text"))
-    rows = pages.withColumn("clean_", body)
-    rows = rows.withColumn("clean_", T.strip_heading(F.col("clean_"), F.col("chapter")))
-    rows = rows.withColumn("clean_", T.strip_heading(F.col("clean_"), F.col("section")))
+    rows = pages.withColumn("clean_", T.strip_headings(T.clean(F.col("text")), F.col("chapter"), F.col("section")))
     return windows(rows, size, overlap, text="clean_")
 
 

@@ -66,8 +66,7 @@ def strip_heading(spark, folder):
         "text",
     )
     rows = spread(table(spark, folder, "documents")).select("doc_id", "source", headed.alias("text"))
-    rows = rows.withColumn("text", T.strip_heading(F.col("text"), chapter))
-    return rows.select("doc_id", T.strip_heading(F.col("text"), F.col("source")).alias("stripped"))
+    return rows.select("doc_id", T.strip_headings(F.col("text"), chapter, F.col("source")).alias("stripped"))
 
 
 @query(f"SELECT doc_id, len({X.words(f'(text || {_odd})')})::INTEGER AS n_words, array_to_string({X.words(f'(text || {_odd})')}, '|') AS words FROM documents")

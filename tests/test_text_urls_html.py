@@ -63,11 +63,11 @@ def test_clean_against_plain_version(spark):
     [("One\nbody", "One", "body"), ("One \n\nbody\n", "One", "body"), ("One\nbody", "Two", "One\nbody"), ("One", "One", ""), ("", "One", ""), ("One\nb", "", "One\nb"), ("One\nb", None, "One\nb"), ("é\nb", "é", "b"), ("One\x0bb c", "One", "b\nc")],
 )
 def test_strip_heading(spark, text, heading, wanted):
-    assert one(spark, T.strip_heading(col(), col("h")), t=text, h=heading) == wanted
+    assert one(spark, T.strip_headings(col(), col("h")), t=text, h=heading) == wanted
 
 
 def test_chapter_then_section(spark):
-    both = T.strip_heading(T.strip_heading(col(), F.lit("One")), F.lit("Two"))
+    both = T.strip_headings(col(), F.lit("One"), F.lit("Two"))
     assert one(spark, both, t="One\nTwo\nbody") == "body"
     assert one(spark, both, t="Two\nOne\nbody") == "One\nbody"
 
