@@ -11,10 +11,14 @@ from pyspark.sql import SparkSession
 
 ROOT = Path(__file__).resolve().parents[1]
 _shipped: set[str] = set()
+#: Texts are long, so batches for Python hold fewer rows than Spark's default; another setting is left alone.
+BATCH, DEFAULT, ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2000"
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable on the executors, once per application."""
+    """Make this package importable on the executors, once per application, and keep batches small."""
+    if spark.conf.get(BATCH) == DEFAULT:
+        spark.conf.set(BATCH, ROWS)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
