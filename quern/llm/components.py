@@ -1,13 +1,49 @@
-"""Connected components by alternating large and small stars, as joins and minima."""
+"""Connected components by alternating large and small stars, as joins and minima.
+
+Before the first round, tasks reduce their own edges to stars around the smallest node they know, a bounded number of
+edges at a time.
+"""
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import materialize
+from quern.llm.common import materialize, ship
 
 MAX_ROUNDS = 60
+EDGES_AT_A_TIME = 200_000
+
+
+def _stars(batches):
+    up: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        root = x
+        while (above := up.setdefault(root, root)) != root:
+            root = above
+        while up[x] != root:
+            up[x], x = root, up[x]
+        return root
+
+    def stars() -> pa.RecordBatch:
+        hung = [(x, r) for x in up if (r := find(x)) != x]
+        return pa.RecordBatch.from_pydict({"u": pa.array([h[0] for h in hung], pa.int64()), "v": pa.array([h[1] for h in hung], pa.int64())})
+
+    seen = 0
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = find(a), find(b)
+            if a != b:
+                up[max(a, b)] = min(a, b)
+        seen += batch.num_rows
+        if seen >= EDGES_AT_A_TIME:
+            yield stars()
+            up.clear()
+            seen = 0
+    if up:
+        yield stars()
 
 
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
@@ -16,7 +52,8 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     Each round hangs nodes on smaller neighbours; it ends when a round changes nothing, after about log n rounds.
     Minima are combined before they are shuffled, and each round is a written table.
     """
-    now = edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    ship(spark)
+    now = edges.where("a != b").select("a", "b").mapInArrow(_stars, "u long, v long").distinct()
     now = materialize(spark, now, "stars")
     before = None
     for _ in range(MAX_ROUNDS):

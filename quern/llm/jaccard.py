@@ -44,11 +44,11 @@ HEAVY_MIN = 12
 HEAVY_MAX = 1 << 17
 ROWS_PER_BLOCK = 2000
 MIN_BLOCKS = 16
-FLUSH = 1 << 20
+FLUSH = 1 << 18
 PAIRED = 64
 BITMAP, BITMAP_MAX = 512, 1 << 16
 BLOOM_BITS = 1 << 26
-TASK_TOKENS = 3_000_000
+TASK_TOKENS = 1_500_000
 TASK_ROWS = 2048
 TILE, STRIPE = 256, 4096
 NULL_ID = -(1 << 63)
