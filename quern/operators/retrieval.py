@@ -113,12 +113,3 @@ def retrieve(
         passes(F.col("score"), threshold).alias("passes_threshold"),
         *[c for c in chunks.columns],
     )
-
-
-def retrieve_by_expressions(questions: DataFrame, index: DataFrame, k: int) -> DataFrame:
-    """The same ranking with built-in expressions alone; the questions must be few. For tests."""
-    difference = F.aggregate(F.zip_with("embedding", "other", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-    pairs = index.crossJoin(F.broadcast(questions.select("query_id", F.col("embedding").alias("other"))))
-    scored = pairs.select("query_id", *PLACE, F.round(difference, DIGITS).alias("score"))
-    order = Window.partitionBy("query_id").orderBy("score", *PLACE)
-    return scored.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
