@@ -67,8 +67,8 @@ def _netpbm(data: bytes) -> np.ndarray:
         rows = np.frombuffer(data, np.uint8, (width + 7) // 8 * height, at + 1).reshape(height, -1)
         flat = 1 - np.unpackbits(rows, axis=1)[:, :width].reshape(-1)
     elif kind == b"P1":
-        bits = [48 + 1 - b for b in data[at:] if b in b"01"]
-        flat = np.array(bits[: width * height], np.int64) - 48
+        bits = [b == ord("0") for b in data[at:] if b in b"01"]  # 1 is black
+        flat = np.array(bits[: width * height], np.int64)
     else:
         flat = np.array(data[at:].split()[: width * height * bands], np.int64)
     if most != 255:
