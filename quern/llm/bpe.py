@@ -26,43 +26,21 @@ from pyspark.sql import DataFrame, SparkSession
 from quern.llm.common import map_batches, table
 
 WORD = 256
-REMEMBERED = 600_000
+SHIFT, MASK = 8, 255
+BIT = [1 << k for k in range(WORD)]
+#: Stretches after a space, and others, that a worker remembers: about 300 and 40 MB.
+AFTER_SPACE, REMEMBERED = 1_400_000, 200_000
 
 
 class RankQueue:
-    """Buckets of positions by rank, under a bitmap of words and a bitmap of those."""
+    """Buckets of positions by rank, under bitmaps of 256 ranks each and a bitmap of those that aren't empty.
+
+    ``Codec.merge`` works on its parts directly, since calls would cost more than what they do."""
 
     def __init__(self, ranks: int):
-        self.top = 0
         self.words = [0] * (ranks // WORD + 1)
         self.buckets: dict[int, list[int]] = {}
 
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is None:
-            self.buckets[rank] = [position]
-            word = rank // WORD
-            self.words[word] |= 1 << rank % WORD
-            self.top |= 1 << word
-        else:
-            heappush(bucket, position)
-
-    def pop(self) -> tuple[int, int] | None:
-        """The lowest rank and the leftmost position in its bucket."""
-        if not self.top:
-            return None
-        word = (self.top & -self.top).bit_length() - 1
-        bits = self.words[word]
-        rank = word * WORD + (bits & -bits).bit_length() - 1
-        bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.words[word] = bits = bits & (bits - 1)
-            if not bits:
-                self.top &= self.top - 1
-        return rank, position
-
 
 class Remembered(dict):
     """A bounded memory of a function; it starts anew when full."""
@@ -86,48 +64,65 @@ class Codec:
         self.queue = RankQueue(max(self.ranks.values()) + 1)
         self.find = regex.compile(pattern).findall
         self.pretoken = Remembered(self._ids)
-        self.first, self.after_space = Remembered(self._first), Remembered(lambda chunk: self._first(" " + chunk, 1))
+        self.first, self.after_space = Remembered(self._first), Remembered(lambda chunk: self._first(" " + chunk, 1), AFTER_SPACE)
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token."""
-        ranks = self.ranks
-        whole = ranks.get(piece)
+        rank_of = self.ranks.get
+        whole = rank_of(piece)
         if whole is not None:
             return [whole]
         n = len(piece)
         end = list(range(1, n + 1))  # of the run that starts at a position
         back = list(range(-1, n))  # start of the run before
         due = [-1] * n  # rank under which the pair at a position waits now
-        queue = self.queue
-        for i in range(n - 1):
-            r = ranks.get(piece[i : i + 2])
-            if r is not None:
+        words, buckets, top = self.queue.words, self.queue.buckets, 0
+        new = [(r, i) for i in range(n - 1) if (r := rank_of(piece[i : i + 2], -1)) >= 0]
+        while new or top:
+            for r, i in new:
                 due[i] = r
-                queue.push(r, i)
-        while (got := queue.pop()) is not None:
-            r, i = got
+                bucket = buckets.get(r)
+                if bucket is None:
+                    buckets[r] = [i]
+                    word = r >> SHIFT
+                    words[word] |= BIT[r & MASK]
+                    top |= BIT[word]
+                else:
+                    heappush(bucket, i)
+            new = []
+            # The lowest rank in use, by its word and its bit there; of its positions the leftmost.
+            word = (top & -top).bit_length() - 1
+            bits = words[word]
+            low = bits & -bits
+            r = (word << SHIFT) + low.bit_length() - 1
+            bucket = buckets[r]
+            if len(bucket) > 1:
+                i = heappop(bucket)
+            else:
+                i = bucket[0]
+                del buckets[r]
+                words[word] = bits ^ low
+                if bits == low:
+                    top ^= BIT[word]
             if due[i] != r:
-                continue
+                continue  # the pair has changed since
             right = end[i]
             e = end[i] = end[right]
-            due[right] = -1
+            due[right] = due[i] = -1
             if e < n:
                 back[e] = i
-                due[i] = r = ranks.get(piece[i : end[e]], -1)
-                if r >= 0:
-                    queue.push(r, i)
-            else:
-                due[i] = -1
+                if (r := rank_of(piece[i : end[e]], -1)) >= 0:
+                    new.append((r, i))
             b = back[i]
             if b >= 0:
-                r = ranks.get(piece[b:e], -1)
-                if due[b] != r:
-                    due[b] = r
-                    if r >= 0:
-                        queue.push(r, b)
+                r = rank_of(piece[b:e], -1)
+                if r < 0:
+                    due[b] = -1
+                elif due[b] != r:
+                    new.append((r, b))
         out, i = [], 0
         while i < n:
-            out.append(ranks[piece[i : end[i]]])
+            out.append(rank_of(piece[i : end[i]]))
             i = end[i]
         return out
 
