@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType
 from quern import shared
 from quern.shipping import ship
 
-__all__ = ["discard", "fresh_path", "map_batches", "materialize", "ship", "table", "tracked"]
+__all__ = ["discard", "fresh_path", "map_batches", "materialize", "remember", "ship", "table", "tracked"]
 
 _tracked: list[list[str]] = []
 
@@ -56,6 +56,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_remembering: dict[str, Callable[[], None]] = {}
+
+
+def remember(name: str, forget: Callable[[], None]) -> None:
+    """Workers live on from task to task; what they remember is one operator's at a time, and the others' goes."""
+    for other in [n for n in _remembering if n != name]:
+        _remembering.pop(other)()
+    _remembering[name] = forget
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict]], schema: str | StructType) -> DataFrame:
     """``mapInArrow`` over slices of few rows, so that a worker holds little at a time."""
     spark = df.sparkSession

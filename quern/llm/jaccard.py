@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.bpe import Remembered
-from quern.llm.common import materialize, ship, table
+from quern.llm.common import materialize, remember, ship, table
 from quern.llm.components import components
 
 WORDS = 5
@@ -150,6 +150,7 @@ def _first_pass(docs: DataFrame, blocks: int) -> DataFrame:
     schema = pa.schema([("rid", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("bits", pa.binary()), ("block", pa.int32()), ("tokens", pa.binary())])
 
     def run(batches):
+        remember("jaccard", _word.clear)
         seen: set[int] = set()
         dealt = _Blocks(blocks, ("tokens",))
         out: dict[str, list] = {k: [] for k in ("rid", "n", "k1", "k2", "bits")}
@@ -217,6 +218,7 @@ def _second_pass(docs: DataFrame, blocks: int, heavy, weight) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast((heavy, weight))
 
     def run(batches):
+        remember("jaccard", _word.clear)
         heavy, weight = held.value
         seen: set[int] = set()
         dealt = _Blocks(blocks, ("tokens", "keys", "sizes", "places"))
@@ -395,6 +397,7 @@ def _third_pass(docs: DataFrame, bloom: np.ndarray) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(bloom)
 
     def run(batches):
+        remember("jaccard", _word.clear)
         bloom = held.value
         for batch in batches:
             rid = batch.column(0).to_numpy()

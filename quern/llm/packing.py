@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import map_batches, table
+from quern.llm.common import map_batches, remember, table
 
 WINDOW = 4096
 END = 2
@@ -76,6 +76,10 @@ class Tokens:
         self.words: dict[bytes, bytes] = {}
         self.others: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        self.words.clear()
+        self.others.clear()
+
     def _ids(self, texts: list[str]) -> list[bytes]:
         encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, self.kind).tobytes() for e in encoded]
@@ -226,6 +230,7 @@ def pack(spark: SparkSession, docs: DataFrame, path: str | None = None, window:
         import public_tokenizers
 
         own = tokens(path or public_tokenizers.path("word_bpe_49k.json"))
+        remember("packing", own.forget)
         end = np.array([END], own.kind).tobytes()
         ids = [b + end for b in own.encode([t or "" for t in batch.column("text").to_pylist()])]
         yield {"doc_id": batch.column("doc_id"), "shard": batch.column("shard"), "width": [own.kind.itemsize] * len(ids), "ids": ids}

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import map_batches, materialize, table
+from quern.llm.common import map_batches, materialize, remember, table
 
 MAX_TRAIN = 12_000
 LEXICON = 2000
@@ -259,6 +259,7 @@ def score_documents(spark: SparkSession, docs: DataFrame, model: Model) -> DataF
     held = spark.sparkContext.broadcast(model)
 
     def run(batch):
+        remember("toxicity", lambda: None)
         scores = held.value.score([t or "" for t in batch.column("text").to_pylist()])
         yield {"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "score": scores, "predicted": (scores >= 0.5).astype(np.int32)}
 
@@ -271,6 +272,7 @@ def keep_clean(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
     held = spark.sparkContext.broadcast(model)
 
     def run(batch):
+        remember("toxicity", lambda: None)
         scores = held.value.score([t or "" for t in batch.column("text").to_pylist()])
         kept = batch.filter(pa.array(scores < 0.5))
         yield {name: kept.column(name) for name in kept.schema.names}
