@@ -135,25 +135,26 @@ def _texts(batches):
     for batch in batches:
         for at in range(0, batch.num_rows, 2048):
             part = batch.slice(at, 2048)
-            yield from zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)
+            yield from zip(*(c.to_pylist() for c in part.columns), strict=True)
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("rid"), "text")
+    """rid, text and ``row``, a hash of all columns: rows with one id are told apart."""
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("rid"), "text", F.xxhash64(*docs.columns).alias("row"))
 
 
-_FIRST = "rid long, n long, k1 long, k2 long, bits binary, block int, tokens binary"
+_FIRST = "rid long, row long, n long, k1 long, k2 long, bits binary, block int, tokens binary"
 
 
 def _first_pass(docs: DataFrame, blocks: int) -> DataFrame:
     """Rows of documents (class and size), and rows of first shingles by column block."""
-    schema = pa.schema([("rid", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("bits", pa.binary()), ("block", pa.int32()), ("tokens", pa.binary())])
+    schema = pa.schema([("rid", pa.int64()), ("row", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("bits", pa.binary()), ("block", pa.int32()), ("tokens", pa.binary())])
 
     def run(batches):
         remember("jaccard", _word.clear)
         seen: set[int] = set()
         dealt = _Blocks(blocks, ("tokens",))
-        out: dict[str, list] = {k: [] for k in ("rid", "n", "k1", "k2", "bits")}
+        out: dict[str, list] = {k: [] for k in ("rid", "row", "n", "k1", "k2", "bits")}
 
         def documents():
             n = len(out["rid"])
@@ -164,12 +165,12 @@ def _first_pass(docs: DataFrame, blocks: int) -> DataFrame:
             none = [None] * len(got["block"])
             return pa.RecordBatch.from_pydict({k: none for k in out} | got, schema=schema)
 
-        for rid, text in _texts(batches):
+        for rid, text, row in _texts(batches):
             h = shingles(text or "")
             n = len(h)
             k1, k2 = (int.from_bytes(d, "little", signed=True) for d in _halves(h)) if n else (0, 0)
             bits = parity(h)
-            for name, v in (("rid", rid), ("n", n), ("k1", k1), ("k2", k2), ("bits", bits)):
+            for name, v in (("rid", rid), ("row", row), ("n", n), ("k1", k1), ("k2", k2), ("bits", bits)):
                 out[name].append(v)
             if n and k1 not in seen:
                 seen.add(k1)
@@ -222,7 +223,7 @@ def _second_pass(docs: DataFrame, blocks: int, heavy, weight) -> DataFrame:
         heavy, weight = held.value
         seen: set[int] = set()
         dealt = _Blocks(blocks, ("tokens", "keys", "sizes", "places"))
-        for _, text in _texts(batches):
+        for _, text, _ in _texts(batches):
             h = shingles(text or "")
             n = len(h)
             if not n:
@@ -361,15 +362,16 @@ def multiply(sets: list[np.ndarray], side: np.ndarray, crossed: bool) -> list[tu
 
 
 def _links(blob: pd.DataFrame) -> pd.DataFrame:
+    """Edges between classes, which ids can't name: several classes may hold one id."""
     a, b = [], []
     for _, task in blob.groupby("task", sort=False):
-        task = task.drop_duplicates(["rid", "side"])
+        task = task.drop_duplicates(["k1", "side"])
         crossed = bool(task["crossed"].iloc[0])
-        rid = task["rid"].to_numpy()
+        key = task["k1"].to_numpy()
         sets = [np.frombuffer(s, np.uint64) for s in task["tokens"]]
         for i, j in multiply(sets, task["side"].to_numpy(), crossed):
-            a.append(rid[i])
-            b.append(rid[j])
+            a.append(key[i])
+            b.append(key[j])
     return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
 
@@ -432,7 +434,7 @@ def _tasks(members: DataFrame) -> DataFrame:
     fits = (F.col("all_tokens") <= TASK_TOKENS) & (F.col("all_rows") <= TASK_ROWS)
     # 0 parts: the component is one piece, which classes don't cut either.
     rows = members.join(totals.select("component", F.when(fits, 0).otherwise(parts).alias("parts")), "component")
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("rid"), F.greatest("parts", F.lit(1))).cast("int"))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("k1"), F.greatest("parts", F.lit(1))).cast("int"))
     whole = rows.where("parts = 0").select("rid", "k1", F.xxhash64("component").alias("task"), F.lit(0).alias("side"), F.lit(False).alias("crossed"))
     others = F.sequence(F.lit(0), F.col("parts") - 1)
     cut = rows.where("parts > 0").select("rid", "k1", "component", "part", "class", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))).alias("step"), others.alias("others"))
@@ -443,14 +445,14 @@ def _tasks(members: DataFrame) -> DataFrame:
     return whole.unionByName(cut)
 
 
-def join(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row of ``docs`` (doc_id, text)."""
+def _linked(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (rid, row, n, k1, k2), classes (k1, k2, n, rid and the row that stands for it) and links of classes by k1."""
     ship(spark)
     blocks = max(MIN_BLOCKS, docs.count() // ROWS_PER_BLOCK)
     first = materialize(spark, _first_pass(docs, blocks), "shingles")
-    rows = first.where("block is null").select("rid", "n", "k1", "k2", "bits")
-    classes = rows.where("n > 0").groupBy("k1", "k2").agg(F.min("rid").alias("rid"), F.first("n").alias("n"), F.first("bits").alias("bits"))
-    classes = materialize(spark, classes, "classes")
+    rows = first.where("block is null").select("rid", "row", "n", "k1", "k2", "bits")
+    classes = rows.where("n > 0").groupBy("k1", "k2").agg(F.min(F.struct("rid", "row")).alias("least"), F.first("n").alias("n"), F.first("bits").alias("bits"))
+    classes = materialize(spark, classes.select("k1", "k2", "least.rid", "least.row", "n", "bits"), "classes")
     frequent = first.where("block is not null").select("block", "tokens").groupBy("block").applyInPandas(_frequent, "token long, held long")
     heavy = frequent.orderBy(F.desc("held"), "token").limit(HEAVY_MAX).toPandas()
     token, held = heavy["token"].to_numpy(np.int64).view(np.uint64), heavy["held"].to_numpy(np.int64)
@@ -469,10 +471,33 @@ def join(spark: SparkSession, docs: DataFrame) -> DataFrame:
     wanted = _tasks(members)
     slots = max(1, int(members.agg(F.sum("n")).first()[0] or 0) // (TASK_TOKENS // 4))
     tasks = wanted.join(sets, ["rid", "k1"]).withColumn("slot", F.pmod("task", F.lit(slots)))
-    links = tasks.select("slot", "task", "rid", "side", "crossed", "tokens").groupBy("slot").applyInPandas(_links, "a long, b long")
-    named = components(spark, links).toDF("rid", "component")
-    named = classes.select("k1", "k2", "rid").join(named, "rid", "left").select("k1", "k2", F.coalesce("component", "rid").alias("component"))
-    out = rows.drop("bits").join(named, ["k1", "k2"], "left")
+    links = tasks.select("slot", "task", "k1", "side", "crossed", "tokens").groupBy("slot").applyInPandas(_links, "a long, b long")
+    return rows.drop("bits"), classes.drop("bits"), links
+
+
+def survivors(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """rid and row of one row of each group of linked texts, the least; ids play no part in what is a group.
+
+    Rows without words are a group only with rows that equal them in all columns."""
+    rows, classes, links = _linked(spark, docs)
+    named = classes.join(components(spark, links).toDF("k1", "component"), "k1", "left")
+    # A class without links is a group by itself, under its whole key.
+    group = F.coalesce("component", "k1").alias("g1"), F.when(F.col("component").isNull(), F.col("k2")).alias("g2")
+    kept = named.groupBy(*group).agg(F.min(F.struct("rid", "row")).alias("least")).select("least.rid", "least.row")
+    return kept.unionByName(rows.where("n = 0").select("rid", "row").distinct())
+
+
+def join(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row of ``docs`` (doc_id, text)."""
+    rows, classes, links = _linked(spark, docs.select("doc_id", "text"))
+    # Classes that share an id are one node.
+    held = rows.where("n > 0").select("rid", "k1")
+    hubs = held.groupBy("rid").agg(F.min("k1").alias("hub"), F.max("k1").alias("far")).where("hub < far").select("rid", "hub")
+    same = held.join(hubs, "rid").where("k1 != hub").select(F.col("k1").alias("a"), F.col("hub").alias("b")).distinct()
+    named = classes.join(components(spark, links.unionByName(same)).toDF("k1", "group"), "k1", "left").select("k1", "k2", "rid", "group")
+    least = named.where("group is not null").groupBy("group").agg(F.min("rid").alias("component"))
+    named = named.join(least, "group", "left").select("k1", "k2", F.coalesce("component", "rid").alias("component"))
+    out = rows.join(named, ["k1", "k2"], "left")
 
     def back(c):
         return F.nullif(c, F.lit(NULL_ID))

@@ -93,3 +93,26 @@ def test_components_of_chains_stars_and_cycles(spark):
     want = {k: 0 for k in range(51)} | {100 + k: 100 for k in range(40)} | {200: 200, 201: 200, 202: 200}
     assert got == want
     assert components(spark, spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_texts_that_share_an_id_keep_their_links(spark):
+    def text(name, *changed):
+        return " ".join(f"{name}{k}" if k not in changed else f"x{k}" for k in range(60))
+
+    a, b, z = text("a"), text("b"), text("z")
+    # B and its near copy, and A's, link over other texts under the same ids; null ids, and three texts under one id.
+    rows = [(None, a), (None, b), (20, text("b", 3)), (21, text("a", 5)), (3, z), (5, z), (5, text("q")), (9, text("q", 7)), (30, text("m")), (30, text("n")), (30, text("o")), (31, text("n", 1)), (32, text("o", 2)), (40, "one"), (40, "two")]
+    assert found(spark, rows) == brute(rows)
+    mixed = " ".join(f"s{k}" for k in range(40))
+    rows = [(None if k % 3 == 0 else k % 7, f"{mixed} " + " ".join(f"t{k % 5}_{j}" for j in range(9 + k % 5))) for k in range(40)]
+    assert found(spark, rows) == brute(rows)
+
+
+def test_sets_of_one_task_are_told_apart_by_class():
+    import pandas as pd
+
+    a, b = (np.arange(k, k + 50, dtype=np.uint64) for k in (0, 1000))
+    near = np.r_[b[:49], np.uint64(5000)]
+    blob = pd.DataFrame({"slot": 0, "task": 1, "rid": [jaccard.NULL_ID] * 2 + [20], "k1": [1, 2, 3], "side": 0, "crossed": False, "tokens": [x.tobytes() for x in (a, b, near)]})
+    got = jaccard._links(blob)
+    assert {tuple(sorted(x)) for x in got.itertuples(index=False)} == {(2, 3)}
