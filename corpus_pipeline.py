@@ -39,14 +39,16 @@ def toxic_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id; of rows with that id, one."""
-    found = materialize(spark, jaccard.join(spark, docs), "groups").select("doc_id", "component_id")
-    gone = found.where("not (doc_id <=> component_id)").select(F.col("doc_id").alias("gone")).distinct()
-    # The same plan at every size: these ids grow with the input, so they are never broadcast, and texts aren't sorted.
-    gone = gone.hint("shuffle_hash")
-    kept = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
-    repeated = found.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return kept.dropDuplicates(["doc_id"]) if repeated else kept
+    """One row of each group of linked texts: the smallest id, then the least hash of all columns. Ids alone drop nothing."""
+    kept = materialize(spark, jaccard.survivors(spark, docs), "groups").toDF("kept_rid", "kept_row")
+    # The same plan at every size: these keys grow with the input, so they are never broadcast, and texts aren't sorted.
+    kept = kept.hint("shuffle_hash")
+    rid, row = F.coalesce(F.col("doc_id").cast("long"), F.lit(jaccard.NULL_ID)), F.xxhash64(*docs.columns)
+    keys = docs.select(rid.alias("rid"), row.alias("row"))
+    repeated = keys.groupBy("rid", "row").count().where("count > 1").limit(1).count()
+    out = docs.join(kept, (rid == F.col("kept_rid")) & (row == F.col("kept_row")), "left_semi")
+    # Rows with one key are equal in all columns, so it doesn't matter which of them stays.
+    return out.dropDuplicates() if repeated else out
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

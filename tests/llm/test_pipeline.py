@@ -57,6 +57,17 @@ def test_repeated_and_missing_ids(spark, docs):
     assert len(ids) == len(set(ids)) and None in ids and kept.columns == docs.columns
 
 
+def test_ids_alone_drop_no_text(spark):
+    def text(name, *changed):
+        return " ".join(f"{name}{k}" if k not in changed else f"x{k}" for k in range(60))
+
+    rows = [(None, text("a")), (None, text("z")), (7, text("a", 3)), (5, text("b")), (5, text("c")), (3, text("c", 4)), (8, text("d")), (8, text("d")), (None, ""), (None, None), (9, "")]
+    docs = spark.createDataFrame([(*r, "en") for r in rows], "doc_id long, text string, lang string").repartition(3)
+    got = sorted((tuple(r) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()), key=repr)
+    want = [(None, text("a")), (None, text("z")), (5, text("b")), (3, text("c", 4)), (8, text("d")), (None, ""), (None, None), (9, "")]
+    assert got == sorted(((*r, "en") for r in want), key=repr)
+
+
 def test_names():
     assert sorted(catalog.QUERIES, key=lambda n: int(n[2:].split("_")[0])) and {int(n[2:].split("_")[0]) for n in catalog.QUERIES} == set(range(1, 11))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "toxicity", "ngram_jaccard", "secret_scans", "packing"]
