@@ -85,6 +85,19 @@ def test_battery_tells_random_strings_from_words():
         assert not [s for s in secrets.all_spans(f"see {w} there")[1] if s[1] == 3]
 
 
+@pytest.mark.parametrize("name, alphabet", [e for e in secrets.ENCODINGS if e[0] != "digits"])
+def test_random_strings_of_every_encoding_are_found(name, alphabet):
+    rng = np.random.default_rng(8)
+    for n, least in ((20, 75), (32, 90), (52, 95)):
+        found = 0
+        for _ in range(100):
+            p = secrets.battery("".join(rng.choice(list(alphabet), n)))
+            found += p is not None and p <= secrets.FDR
+        assert found >= least, (name, n, found)
+    for w in ("CamelCaseIdentifierNameForClass", "rindfleischetikettierungs", "SCREAMING_SNAKE_CASE_NAME", "73920184650293847561"):
+        assert (secrets.battery(w) or 1.0) > 0.5
+
+
 def test_discovery_rate_weighs_length():
     assert secrets.accepted([]) == []
     assert secrets.accepted([(0, 40, 0.0001), (50, 90, 0.5)]) == [(0, 40)]
