@@ -1,6 +1,6 @@
 """Secret scans: three base patterns, and a battery of randomness tests for strings that no pattern names.
 
-Candidates are long runs of key characters. The encoding is inferred from the characters a run uses, and three
+Candidates are long runs of key characters, cut at inner '=' and, if need be, at signs. The encoding is inferred from the characters a run uses, and three
 tests ask whether it looks like random draws of that encoding: chi-squared uniformity over the alphabet (in cells
 wide enough for the run's length), the runs test around the median symbol, and the serial correlation of
 neighbours. A run that any of them refuses isn't random. What random strings pass, short words may pass as well,
@@ -27,6 +27,10 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]+")
+#: What lies between inner '='; padding stays with what ends a run.
+_FIELD = re.compile(r"[^=]+(?:=+\Z)?")
+#: Runs without the signs that one of the two alphabets of 64 lacks, and without any sign.
+_PARTS = tuple(map(re.compile, (r"[^+/]+", r"[^_-]+", r"[^+/_-]+")))
 MIN_LENGTH = 20
 PASS = 0.001
 FDR = 0.01
@@ -166,6 +170,36 @@ def battery(run: str) -> float | None:
     return text_chance(body, len(alphabet))
 
 
+def tested(run: str) -> list[tuple[int, int, float | None]]:
+    """(start, end, chance or None) of what is tested in a run of key characters: each field between inner '='.
+
+    A field that no encoding holds, or that a test refuses, is cut at the signs of either alphabet of 64, and at both: a key
+    may stand in a path or after a name. Parts that overlap are tests of their own; a part as long as the field isn't."""
+    out: list[tuple[int, int, float | None]] = []
+    for m in _FIELD.finditer(run):
+        if len(m[0]) < MIN_LENGTH:
+            continue
+        chance = battery(m[0])
+        if chance is None:
+            parts = {(m.start() + x.start(), m.start() + x.end()) for p in _PARTS for x in p.finditer(m[0]) if MIN_LENGTH <= len(x[0]) < len(m[0])}
+            if parts:
+                out += [(a, b, battery(run[a:b])) for a, b in sorted(parts)]
+                continue
+        out.append((m.start(), m.end(), chance))
+    return out
+
+
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Sorted spans, those that overlap as one."""
+    out: list[tuple[int, int]] = []
+    for s, e in spans:
+        if out and s < out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
+
+
 def accepted(candidates: list[tuple[int, int, float]]) -> list[tuple[int, int]]:
     """Step-up over (start, end, chance): weights grow with length and have mean 1."""
     if not candidates:
@@ -194,17 +228,17 @@ def all_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, in
     base = base_spans(text) if text else []
     if not text or max(map(len, text.split()), default=0) < MIN_LENGTH:
         return base, base
-    tested = []
+    passed = []
     refused = 0
     for m in _CANDIDATE.finditer(text):
         if m.end() - m.start() >= MIN_LENGTH:
-            p = battery(m[0])
-            if p is None:
-                refused += 1
-            else:
-                tested.append((m.start(), m.end(), p))
+            for a, b, p in tested(m[0]):
+                if p is None:
+                    refused += 1
+                else:
+                    passed.append((m.start() + a, m.start() + b, p))
     # Refused candidates count among the tests, at a chance of 1.
-    found = accepted(tested + [(0, MIN_LENGTH, 1.0)] * refused)
+    found = merged(accepted(passed + [(0, MIN_LENGTH, 1.0)] * refused))
     added, k, reach = [], 0, 0
     for s, e in found:
         while k < len(base) and base[k][0] < e:

@@ -98,6 +98,21 @@ def test_random_strings_of_every_encoding_are_found(name, alphabet):
         assert (secrets.battery(w) or 1.0) > 0.5
 
 
+def test_random_strings_in_settings_urls_and_paths_are_found():
+    rng = np.random.default_rng(9)
+    hits = Counter()
+    for _ in range(100):
+        padded, plain, url = base64.b64encode(rng.bytes(31)).decode(), "".join(rng.choice(list(secrets.ALNUM), 40)), base64.urlsafe_b64encode(rng.bytes(30)).decode()
+        for name, before, key, after in (("setting", "AWS_KEY=", padded, ""), ("url", "http://x.example/a?sig=", url, "&b=1"), ("auth", "auth=", plain, ""), ("path", "/some-dir/", plain, "/x"), ("plain path", "/some/dir/", plain, "/x"), ("path of url alphabet", "/some-dir/", url, "/x")):
+            text = f"see {before}{key}{after} there"
+            at = 4 + len(before)
+            hits[name] += any(k == 3 and s <= at and e >= at + len(key) for s, k, e in secrets.all_spans(text)[1])
+    assert min(hits.values()) >= 90 and len(hits) == 6, hits
+    for w in ("some-dir/with_long/names-of/internationalisation", "color_scheme_setting=internationalisation-of-things", "a=b=c=d=e=f=g=h=i=j=k=l=m"):
+        assert not [s for s in secrets.all_spans(f"see {w} there")[1] if s[1] == 3]
+    assert secrets.merged([(0, 5), (3, 9), (9, 12)]) == [(0, 9), (9, 12)]
+
+
 def test_discovery_rate_weighs_length():
     assert secrets.accepted([]) == []
     assert secrets.accepted([(0, 40, 0.0001), (50, 90, 0.5)]) == [(0, 40)]
