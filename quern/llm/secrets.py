@@ -1,11 +1,13 @@
 """Secret scans: three base patterns, and a battery of randomness tests for strings that no pattern names.
 
-Candidates are long runs of key characters, cut at inner '=' and, if need be, at signs. The encoding is inferred from the characters a run uses, and three
-tests ask whether it looks like random draws of that encoding: chi-squared uniformity over the alphabet (in cells
-wide enough for the run's length), the runs test around the median symbol, and the serial correlation of
-neighbours. A run that any of them refuses isn't random. What random strings pass, short words may pass as well,
-so each survivor also gets a bound of the chance that text is so much likelier as uniform draws; Benjamini and Hochberg's
-step-up over all candidates of the document, with weights that favour long runs, keeps those whose chance is low.
+Candidates are long runs of key characters, cut at inner '=' and, if need be, at signs. The encoding is inferred from the
+characters a run uses, and three tests look at it as draws from that encoding: chi-squared uniformity over the alphabet (in
+cells wide enough for the run's length), runs, and the serial correlation of neighbours. Each test answers twice. Its
+p-value under random draws refuses a run that isn't random. Its likelihood ratio, of written text over random draws, for
+what the test looks at (symbol counts, how kinds of characters follow in runs, neighbours) is the evidence that the run
+isn't text. The ratios are factors of one likelihood, so their product bounds the run's chance under text: that is its
+p-value. Benjamini and Hochberg's step-up over all candidates of the document, with weights that favour long runs, keeps
+those whose chance is low.
 
 Offsets are code points, ends exclusive. Defined results: a null or empty text has no spans and the digest of
 empty input; equal texts give equal spans; an added span that overlaps a base span is left out; other columns are
@@ -109,54 +111,71 @@ def serial(codes: list[int]) -> float:
     return two_sided((r + 1 / n) * math.sqrt(n))
 
 
-def _text_costs() -> dict[tuple[str, str], float]:
-    """-log of how likely text goes on with a character of a kind after one of another; see ``text_chance``."""
-    total = sum(LETTERS.values())
-    vowels = sum(LETTERS[c] for c in VOWELS)
-    share = {c: n / (vowels if c in VOWELS else total - vowels) for c, n in LETTERS.items()}
-    # After v(owel), c(onsonant), or - for the first letter of a stretch: the chance of a vowel.
-    chance = {"v": 0.25, "c": 0.6, "-": vowels / total}
-    return {(before, c): -math.log(share[c] * (p if c in VOWELS else 1 - p)) for before, p in chance.items() for c in LETTERS}
-
-
 #: Letters in a thousand of written English, German, French and Spanish, about.
 LETTERS = dict(zip("abcdefghijklmnopqrstuvwxyz", (85, 17, 30, 42, 140, 16, 20, 40, 72, 4, 9, 45, 28, 78, 65, 25, 6, 66, 70, 72, 45, 11, 12, 3, 10, 7), strict=True))
 VOWELS = "aeiouy"
+#: Chance that text goes on with a character of another kind (lower, upper, digit, sign).
 CHANGE = 0.125
-_COSTS = _text_costs()
+_TOTAL = sum(LETTERS.values())
+_VOWEL = sum(LETTERS[c] for c in VOWELS) / _TOTAL
+#: Chance of a vowel after a vowel and after a consonant.
+_AFTER = {"v": 0.25, "c": 0.6}
+#: Numbers that people write: round, with digits that repeat or go up and down by one.
+_DIGITS = {c: {"0": 0.25, "1": 0.15}.get(c, 0.075) for c in DIGITS}
+SAME, STEP = 0.3, 0.25
+
+
+def _kind(c: str) -> str:
+    return "d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "s"
+
+
+def _digit_ratios(run: str) -> tuple[float, float, float]:
+    symbols = sum(math.log(10 * _DIGITS[c]) for c in run)
+    pairs = 0.0
+    for a, b in zip(run, run[1:], strict=False):
+        ways = 1 if a in "09" else 2
+        pairs += math.log(1 - SAME - STEP + (SAME * (a == b) + STEP / ways * (abs(int(a) - int(b)) == 1)) / _DIGITS[b])
+    return symbols, 0.0, pairs
 
 
-def text_chance(run: str, size: int) -> float:
-    """A bound of the chance that written text is so much likelier as draws from ``size`` symbols: a p-value under text.
+def text_ratios(run: str, alphabet: str) -> tuple[float, float, float]:
+    """Logarithms of the likelihood as written text over that as uniform draws, for what each of the tests looks at.
 
-    It is the likelihood of the run as text over that as uniform draws: by Markov's inequality text falls below c with a
-    chance of c at most, at any length. As text, letters come with their frequencies, vowels and consonants in turn,
-    a neighbour is of another kind (lower, upper, digit, sign) with a chance of an eighth, and the first character, staying
-    within a kind, and which other kind comes, are free. Digits and signs are uniform in text too, so digits alone tell nothing.
+    Uniformity: letters come with their frequencies within their kind; other characters are uniform in text too. Runs: text
+    changes the kind of character with a chance of an eighth, and which other kind comes, the first character and staying
+    within a kind are free, which favours text. Serial correlation: vowels and consonants take turns, also from a capital
+    to a small letter. Runs of digits alone have a model of their own.
     """
-    cost, kind, before = 0.0, None, "-"
+    if alphabet == DIGITS:
+        return _digit_ratios(run)
+    sizes: dict[str, int] = {}
+    for c in alphabet:
+        sizes[_kind(c)] = sizes.get(_kind(c), 0) + 1
+    symbols = kinds = pairs = 0.0
+    before = last = None
     for c in run:
-        own = "d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "s"
-        if own != kind:
-            # A capital at the start of a word leads into its lower-case letters.
-            if kind is not None:
-                cost -= math.log(CHANGE)
-            if {own, kind} != {"u", "l"}:
-                before = "-"
-        kind = own
+        own = _kind(c)
+        kinds -= math.log(sizes[own] / len(alphabet))
+        if last not in (None, own):
+            kinds += math.log(CHANGE)
+            if {own, last} != {"u", "l"}:
+                before = None
+        last = own
         if own in "ul":
             low = c.lower()
-            cost += _COSTS[before, low]
-            before = "v" if low in VOWELS else "c"
-        elif own == "d":
-            cost += math.log(10)
+            vowel = low in VOWELS
+            symbols += math.log(LETTERS[low] / _TOTAL * sizes[own])
+            if before:
+                pairs += math.log(_AFTER[before] / _VOWEL if vowel else (1 - _AFTER[before]) / (1 - _VOWEL))
+            before = "v" if vowel else "c"
         else:
-            cost += math.log(2)
-    return min(1.0, math.exp(min(0.0, len(run) * math.log(size) - cost)))
+            symbols += math.log(sizes[own] / (10 if own == "d" else 2))
+    return symbols, kinds, pairs
 
 
 def battery(run: str) -> float | None:
-    """The chance under text of a run that passes as random, or None if a test refuses it."""
+    """The p-value under text of a run that passes as random: a bound of the chance that text is so much likelier as random
+    draws (Markov's inequality for the product of the tests' ratios), at any length. None if a test refuses the run."""
     alphabet = infer(run)
     if alphabet is None:
         return None
@@ -167,7 +186,7 @@ def battery(run: str) -> float | None:
     codes = [place[c] for c in body]
     if min(uniformity(codes, len(alphabet))[0], runs(codes, len(alphabet)), serial(codes)) < PASS:
         return None
-    return text_chance(body, len(alphabet))
+    return math.exp(min(0.0, sum(text_ratios(body, alphabet))))
 
 
 def tested(run: str) -> list[tuple[int, int, float | None]]:
