@@ -20,6 +20,13 @@ class Settings:
     top_k: int = 5
     generation_k: int = 3
     retrieval_threshold: float = 0.40
+    #: Where pages, chunks, the index and chats lie unless a command names another place.
+    data_dir: str = "data"
+
+    def place(self, what: str) -> str:
+        """The default place of ``pages``, ``chunks``, ``index`` or ``chats``."""
+        folders = {"pages": "raw/pages", "chunks": "processed/chunks", "index": "vectorstore/index", "chats": "chats"}
+        return f"{self.data_dir.rstrip('/')}/{folders[what]}"
 
     @classmethod
     def load(cls, environ: dict[str, str] | None = None) -> Settings:

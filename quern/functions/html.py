@@ -116,7 +116,10 @@ def read_page(html: str | None, roots: tuple[Root, ...] = ROOTS, unwanted: tuple
 
 def main_text(html: str | None, roots: tuple[Root, ...] = ROOTS, unwanted: tuple[str, ...] = UNWANTED) -> str:
     """Text of the best root that the page has, a line for each piece; empty without root or with a missing marker."""
-    page = read_page(html, roots, unwanted)
+    return text_of(read_page(html, roots, unwanted), roots)
+
+
+def text_of(page: Page, roots: tuple[Root, ...]) -> str:
     best = next((k for k in range(len(roots)) if k in page.texts), None)
     if best is None or best in page.missing_in:
         return ""
@@ -145,6 +148,18 @@ def links(column: Column, roots: tuple[Root, ...] | None = None) -> Column:
     return run(column)
 
 
+def content(column: Column, roots: tuple[Root, ...] = ROOTS, unwanted: tuple[str, ...] = UNWANTED) -> Column:
+    """text, missing: what ``extract_text`` and ``is_missing`` give, from reading each page once."""
+
+    @F.pandas_udf("text string, missing boolean")
+    def run(pages: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for s in pages:
+            read = [read_page(h, roots, unwanted) for h in s]
+            yield pd.DataFrame({"text": [text_of(p, roots) for p in read], "missing": [p.missing for p in read]})
+
+    return run(column)
+
+
 def is_missing(column: Column) -> Column:
     @F.pandas_udf(BooleanType())
     def run(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:

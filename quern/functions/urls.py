@@ -94,11 +94,11 @@ def skip_reason(title: Column, url: Column) -> Column:
     return out
 
 
-def belongs_to(title: Column, root: Column) -> Column:
-    """The root itself or below it; both are taken in NFC."""
+def belongs_to(title: Column, root: Column, normal: bool = False) -> Column:
+    """The root itself or below it; both are taken in NFC, in which titles from URLs are already (``normal``)."""
     from quern.functions.text import nfc
 
-    t, r = nfc(title), nfc(root)
+    t, r = (title, root) if normal else (nfc(title), nfc(root))
     return (t == r) | t.startswith(F.concat(r, F.lit("/")))
 
 

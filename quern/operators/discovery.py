@@ -31,10 +31,13 @@ def page_links(pages: DataFrame, roots: tuple[H.Root, ...] | None = None) -> Dat
 
 
 def judge_links(links: DataFrame, page_path: str = U.PAGE_PATH) -> DataFrame:
-    """Adds link_url, title and reason: why a link of a page (url, root) leads to none of the collection's pages, or null."""
+    """Adds link_url, title and reason: why a link of a page (url, root) leads to none of the collection's pages, or null.
+
+    Roots are in NFC."""
     rows = links.withColumn("link_url", U.canonical_url(F.col("href"), F.col("url")))
     rows = rows.withColumn("title", U.title_from_url(F.col("link_url"), page_path))
-    outside = F.col("title").isNull() | ~U.belongs_to(F.col("title"), F.col("root"))
+    # Titles of URLs are in NFC; a root is one of them, or a setting.
+    outside = F.col("title").isNull() | ~U.belongs_to(F.col("title"), F.col("root"), normal=True)
     reason = (
         F.when(~U.host_allowed(F.col("link_url"), F.col("url")), "off-site")
         .otherwise(F.coalesce(U.skip_reason(F.col("title"), F.col("href")), F.when(outside, "outside hierarchy")))
@@ -67,13 +70,15 @@ def choose_root(titles: DataFrame, configured: str) -> DataFrame:
 
 
 def outcomes(pages: DataFrame) -> DataFrame:
-    """Adds outcome to fetched pages (status, missing, title, root, text): page, failed fetch, http, missing, outside, empty."""
+    """Adds outcome to fetched pages (status, missing, title, root, text): page, failed fetch, http, missing, outside, empty.
+
+    Titles and roots are in NFC, as ``title_from_url`` gives them."""
     failed = F.col("status").isNull()
     outcome = (
         F.when(failed, "fetch failed")
         .when(F.col("status") >= 400, "http error")
         .when(F.col("missing"), "missing")
-        .when(~U.belongs_to(F.coalesce("title", F.lit("")), F.col("root")), "outside")
+        .when(~U.belongs_to(F.coalesce("title", F.lit("")), F.col("root"), normal=True), "outside")
         .when(F.col("text") == "", "empty")
         .otherwise("page")
     )

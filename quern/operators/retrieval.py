@@ -15,9 +15,12 @@ from pyspark.sql import functions as F
 
 from quern.config import SETTINGS
 from quern.functions import text as T
+from quern.shared import materialize
 from quern.shipping import ship
 
 BLOCK = 4096
+#: Hits that are broadcast to the index's texts at most; with more, the join shuffles both sides.
+BROADCAST_ROWS = 1 << 20
 DIGITS = 9
 METRIC, HIGHER_IS_BETTER = "l2_distance", False
 
@@ -44,7 +47,11 @@ def nearest(questions: DataFrame, index: DataFrame, k: int, place: tuple[str, ..
     schema = f"query_id long, score double, {', '.join(f'{c} long' for c in place)}"
     near = None
     for block in blocks:
-        part = index.select(*place, "embedding").mapInArrow(_search(block, k, place, max_score), schema)
+        run, held = _search(block, k, place, max_score)
+        part = index.select(*place, "embedding").mapInArrow(run, schema)
+        if len(blocks) > 1:  # candidates are written block by block, so that one block's matrix is held at a time
+            part = materialize(spark, part, "candidates")
+            held.destroy()
         near = part if near is None else near.unionByName(part)
     order = Window.partitionBy("query_id").orderBy("score", *place)
     return near.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
@@ -79,7 +86,7 @@ def _search(block: DataFrame, k: int, place: tuple[str, ...], max_score: float |
             out |= {c: batch.column(j).to_numpy()[by[at]] for j, c in enumerate(place)}
             yield pa.RecordBatch.from_pydict(out)
 
-    return run
+    return run, held
 
 
 PLACE = ("page_no", "chunk_no")
@@ -99,8 +106,9 @@ def retrieve(
     asked = questions.where(T.strip(F.coalesce(F.col("question"), F.lit(""))) != "")
     near = nearest(asked, index, k, PLACE, threshold if only_passing else None)
     chunks = index.drop("embedding", "start_word")
-    # k rows a question: the small side of this join, by far.
-    hits = near.join(chunks, list(PLACE))
+    # k rows of a few numbers a question: sent to all while they are few, so that no text is shuffled.
+    few = asked.count() * k <= BROADCAST_ROWS
+    hits = (F.broadcast(near) if few else near).join(chunks, list(PLACE))
     score = F.round("score", 6)
     return hits.select(
         "query_id",

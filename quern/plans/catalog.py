@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.config import NO_ANSWER
 from quern.functions import html as H
 from quern.functions import text as T
 from quern.functions import urls as U
-from quern.operators import answering, chunking, citations, discovery, embedding, evaluation, retrieval
+from quern.operators import answering, chunking, citations, discovery, embedding, evaluation, ordering, retrieval
 from quern.plans import fixtures as X
-from quern.shared import spread
+from quern.shared import materialize, spread
 from quern.shipping import ship
 from quern.sources.tables import table
 
@@ -541,7 +541,9 @@ def toc_links(spark, folder):
     links = discovery.page_links(spread(table(spark, folder, "pages"))).withColumn("root", F.lit("en"))
     # The fixture's links name no root, so one is put before each.
     links = links.withColumn("href", F.when(F.ltrim("href", F.lit("/")) != "", F.concat(F.lit("/en/"), F.ltrim("href", F.lit("/")))).otherwise("/"))
-    titles, skipped = discovery.toc_titles(discovery.judge_links(links, X.PAGE_PATH))
+    # Both results read the judged links, whose pages are parsed once.
+    judged = materialize(spark, discovery.judge_links(links, X.PAGE_PATH).select("page_id", "link_no", "title", "reason", "root"), "judged")
+    titles, skipped = discovery.toc_titles(judged)
     return titles.join(skipped, "page_id")
 
 
@@ -577,8 +579,8 @@ def _crawled(spark, folder):
     html = F.when(id_ % 5 == 1, F.replace("html", F.lit("<article>"), F.lit('<article><i class="noarticletext"></i>')))
     html = html.when(id_ % 7 == 2, F.lit("<article></article>")).otherwise(F.col("html"))
     rows = rows.select((id_ + 1).alias("page_no"), "url", F.when(id_ % 11 != 0, F.when(id_ % 11 == 4, 404).otherwise(200)).alias("status"), html.alias("html"))
-    rows = rows.select("page_no", "url", "status", H.is_missing(F.col("html")).alias("missing"), U.title_from_url(F.col("url"), X.PAGE_PATH).alias("title"), _fixture_text(F.col("html")).alias("text"), F.lit("en").alias("root"))
-    return discovery.outcomes(rows)
+    rows = rows.select("page_no", "url", "status", H.content(F.col("html"), X.HTML_ROOTS).alias("page"), U.title_from_url(F.col("url"), X.PAGE_PATH).alias("title"), F.lit("en").alias("root"))
+    return discovery.outcomes(rows.select("page_no", "url", "status", "page.missing", "title", "page.text", "root"))
 
 
 _out = f"""crawl_ AS (SELECT page_id + 1 AS page_no, url, {_title} AS title, CASE WHEN page_id % 7 = 2 AND page_id % 5 <> 1 THEN '' ELSE {_extracted} END AS text,
@@ -615,10 +617,9 @@ def discover_pages(spark, folder):
     titles = spread(table(spark, folder, "pages")).select("page_id", U.title_from_url(F.col("url"), X.PAGE_PATH).alias("title")).where("title is not null")
     root = discovery.choose_root(_listed(spark, folder), "no such title")
     mine = titles.join(F.broadcast(root), U.belongs_to(F.col("title"), F.col("root")) & (F.col("title") != F.col("root")))
-    kept = discovery.ordered_distinct(mine, "title", ["page_id"])
-    # One collection's titles: a table of contents, which a reader goes through in order.
-    position = F.row_number().over(Window.partitionBy("root").orderBy("page_id")).cast("long")
-    return kept.select(position.alias("position"), F.concat(F.lit("https://host.example/wiki/"), F.replace("title", F.lit(" "), F.lit("_"))).alias("url"))
+    kept = materialize(spark, discovery.ordered_distinct(mine, "title", ["page_id"]), "contents")
+    placed = ordering.positions(spark, kept, "root", ["page_id"])
+    return placed.select((F.col("position") + 1).alias("position"), F.concat(F.lit("https://host.example/wiki/"), F.replace("title", F.lit(" "), F.lit("_"))).alias("url"))
 
 
 # --- conversations, errors, models ---

@@ -6,9 +6,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern import __version__
 from quern.functions.text import REMOVED
 from quern.operators import chunking, embedding, retrieval
-from quern.shared import materialize, spread
+from quern.shared import materialize, spread, written_once
 from quern.shipping import ship
 from quern.sources.index import vectors
 from quern.sources.tables import table
@@ -37,8 +38,9 @@ def chunks(spark: SparkSession, folder: str, size: int = 500, overlap: int = 100
 
 
 def index(spark: SparkSession, folder: str, size: int = 500, overlap: int = 100) -> DataFrame:
-    """The vector index, built once and read from the shared folder."""
-    return materialize(spark, vectors(chunking.nonempty(chunks(spark, folder, size, overlap))), "index")
+    """The vector index of these documents and window sizes: the first query builds it, and the others read it."""
+    key = ("index", folder, size, overlap, __version__)
+    return written_once(spark, "index", table(spark, folder, "documents"), key, lambda: vectors(chunking.nonempty(chunks(spark, folder, size, overlap))))
 
 
 def questions(spark: SparkSession, folder: str) -> DataFrame:
@@ -84,6 +86,9 @@ def occurrences(documents: DataFrame, items: DataFrame, block: int = retrieval.B
                 yield pa.RecordBatch.from_pydict({"item_id": pa.array(a, pa.int64()), "doc_id": pa.array(d, pa.int64())})
 
         one = documents.select("doc_id", "text").mapInArrow(run, "item_id long, doc_id long")
+        if parts > 1:  # one block's items at a time in memory
+            one = materialize(spark, one, "occurrences")
+            held.destroy()
         out = one if out is None else out.unionByName(one)
     return out
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,22 +14,29 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: ``spark.checkpoint.dir``.
 
-    Only where no such folder is set (a local session) one is made and set.
+    Only where no such folder is set, in a local session, one is made and set; on a cluster that is an error, as
+    executors would write to disks of their own.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if not held.isDefined():
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="quern-shared-"))
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
     return held.get().rstrip("/")
 
 
+def own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/quern-{spark.sparkContext.applicationId}"
+
+
 def fresh_path(spark: SparkSession, tag: str) -> str:
     """A new place in the application's own part of the shared folder, which may go when the application has ended."""
     jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/quern-{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}")
+    path = jvm.org.apache.hadoop.fs.Path(f"{own_dir(spark)}/{tag}-{uuid.uuid4().hex}")
     # With its file system's name, so that readers other than Spark find it as well.
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
@@ -38,6 +48,24 @@ def materialize(spark: SparkSession, df: DataFrame, tag: str, codec: str = "zstd
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written_once(spark: SparkSession, tag: str, sources: DataFrame, key: tuple, make: Callable[[], DataFrame]) -> DataFrame:
+    """The written table of ``make()`` for these source files, as they are now, and this key; written by who asks first.
+
+    It lies in the application's part of the shared folder and counts once its success mark is there."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    digest = hashlib.sha256(repr(key).encode())
+    for file in sorted(sources.inputFiles()):
+        p = jvm.org.apache.hadoop.fs.Path(file)
+        status = p.getFileSystem(conf).getFileStatus(p)
+        digest.update(f"{file} {status.getLen()} {status.getModificationTime()}\n".encode())
+    p = jvm.org.apache.hadoop.fs.Path(f"{own_dir(spark)}/{tag}-{digest.hexdigest()[:32]}")
+    fs = p.getFileSystem(conf)
+    path = p.makeQualified(fs.getUri(), fs.getWorkingDirectory()).toString()
+    if not fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")):
+        make().write.mode("overwrite").option("compression", "zstd").parquet(path)
+    return spark.read.parquet(path)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Input of fewer partitions than cores is dealt out to all; larger input stays as it is, without a shuffle."""
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -6,6 +6,7 @@ fetched becomes a table, and everything after that is a plan over it.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from urllib.parse import urlsplit
 
@@ -16,11 +17,14 @@ from quern.config import SETTINGS
 from quern.functions import html as H
 from quern.functions import urls as U
 from quern.operators import discovery
+from quern.shared import fresh_path, materialize
 from quern.shipping import ship
 from quern.sources import landing
 
 Fetch = Callable[[str], landing.Reply]
 PAGES = "page_no long, url string, status int, html string"
+#: Pages that the driver holds before they are written.
+BATCH = 50
 
 
 def _origin(url: str) -> str:
@@ -75,35 +79,54 @@ def discover(spark: SparkSession, url: str, fetch: Fetch, title: str = SETTINGS.
     return root, urls
 
 
-def land(spark: SparkSession, urls: list[str], fetch: Fetch) -> DataFrame:
-    """page_no, url (the final one), status (null if fetching failed) and html of each URL."""
-    rows = []
-    for k, url in enumerate(urls):
-        try:
-            final, html, status = fetch(url)
-        except RuntimeError:
-            final, html, status = url, None, None
-        rows.append((k + 1, final, status, html))
-    return spark.createDataFrame(rows, PAGES)
+def land(spark: SparkSession, urls: list[str], fetch: Fetch, where: str | None = None) -> DataFrame:
+    """page_no, url (the final one), status (null if fetching failed) and html of each URL.
+
+    Pages are written below ``where`` in batches of BATCH, so the driver holds one batch. A crawl that starts anew with the
+    same folder fetches only what no finished batch holds; pages that could not be fetched are tried again.
+    """
+    where = where or fresh_path(spark, "landed")
+    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+    fs = fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def landed() -> DataFrame:
+        """Of a page that was landed twice, the later reply."""
+        every = spark.read.schema(f"asked string, batch_at long, {PAGES}").parquet(where)
+        last = every.groupBy("asked").agg(F.max("batch_at").alias("batch_at"))
+        return every.join(last, ["asked", "batch_at"])
+
+    held = {r["asked"] for r in landed().where("status is not null").select("asked").collect()} if fs.exists(fs_path) else set()
+    left = [u for u in urls if u not in held]
+    for lo in range(0, len(left), BATCH):
+        rows, at = [], time.time_ns()
+        for url in left[lo : lo + BATCH]:
+            try:
+                final, html, status = fetch(url)
+            except RuntimeError:
+                final, html, status = url, None, None
+            rows.append((url, at, 0, final, status, html))
+        spark.createDataFrame(rows, f"asked string, batch_at long, {PAGES}").coalesce(1).write.mode("append").parquet(where)
+    # The list of URLs is what was asked for one by one, so it is small; page numbers are places in it.
+    places = spark.createDataFrame(list(dict((u, k + 1) for k, u in reversed(list(enumerate(urls)))).items()), "asked string, place long")
+    return landed().join(F.broadcast(places), "asked").select(F.col("place").alias("page_no"), "url", "status", "html")
 
 
 def judged(pages: DataFrame, root: str) -> DataFrame:
     """Landed pages with their outcome, title and text."""
     ship(pages.sparkSession)
-    rows = pages.select(
-        "page_no", "url", "status", F.coalesce(H.is_missing(F.col("html")), F.lit(False)).alias("missing"),
-        U.title_from_url(F.col("url")).alias("title"), H.extract_text(F.col("html")).alias("text"), F.lit(root).alias("root"),
-    )
-    return discovery.outcomes(rows)
+    rows = pages.select("page_no", "url", "status", H.content(F.col("html")).alias("page"), U.title_from_url(F.col("url")).alias("title"), F.lit(root).alias("root"))
+    return discovery.outcomes(rows.select("page_no", "url", "status", "page.missing", "title", "page.text", "root"))
 
 
-def crawl(spark: SparkSession, url: str = SETTINGS.book_url, fetch: Fetch | None = None, book: str = SETTINGS.book_title) -> tuple[DataFrame, DataFrame]:
-    """Page records of a collection, and pages by outcome."""
+def crawl(
+    spark: SparkSession, url: str = SETTINGS.book_url, fetch: Fetch | None = None, book: str = SETTINGS.book_title, where: str | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Page records of a collection, and pages by outcome; ``where`` keeps what was landed for a later run."""
     if fetch is None:
         pace = landing.Pace()
         fetch = lambda u: landing.fetch(u, pace, allow_error=True)
     _, urls = discover(spark, url, fetch, book)
     # The root of the first page's title: below a root with a slash, that is its first step.
     root = (U.page_title(urls[0]) or book).partition("/")[0]
-    pages = judged(land(spark, urls, fetch), root)
+    pages = materialize(spark, judged(land(spark, urls, fetch, where), root), "judged")
     return discovery.records(pages, book), pages.groupBy("outcome").agg(F.count("*").alias("pages"))

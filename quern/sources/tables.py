@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.operators.ordering import positions
+from quern.shared import materialize
+
 PAGE = "book string, chapter string, section string, source_url string, title string, text string, char_count int"
 CHUNK = "chunk_id string, book string, chapter string, section string, source_url string, text string"
 QUESTION = "question string, expected_chapter string, expected_answer string, type string"
@@ -34,11 +37,12 @@ def _listed(spark: SparkSession, path: str, schema: str, what: str, field: str |
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    return _listed(spark, path, PAGE, "pages")
+    """Page records with their position; anything but an array, or an empty one, is a ValueError."""
+    return _read_array(spark, path, PAGE, "pages")
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    return _listed(spark, path, CHUNK, "chunks")
+    return _read_array(spark, path, CHUNK, "chunks")
 
 
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
@@ -47,5 +51,38 @@ def read_questions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_json(rows: DataFrame, path: str, order: list[str]) -> None:
-    """One JSON object a line, in order, by range partition: files in name order are in row order."""
-    rows.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").json(path)
+    """A folder of text files that together, in name order, are one JSON array: an object a line, in order.
+
+    Every line but the array's first begins with its comma, so tasks write their parts by themselves. ``read_pages`` and
+    ``read_chunks`` read the folder back, null fields included; so does any JSON reader, of the files put together."""
+    spark = rows.sparkSession
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    line = F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns]), {"ignoreNullFields": "false"})
+    placed = materialize(spark, ordered.select(line.alias("line"), F.monotonically_increasing_id().alias("at")), "json")
+    least, most = placed.agg(F.min("at"), F.max("at")).first()
+    if least is None:
+        spark.createDataFrame([("[]",)], "value string").coalesce(1).write.mode("overwrite").text(path)
+        return
+    value = F.concat(F.when(F.col("at") == least, "[").otherwise(","), "line", F.when(F.col("at") == most, "]").otherwise(""))
+    # By range again, so that files in name order are in row order whatever the scan's splits were.
+    placed.repartitionByRange("at").sortWithinPartitions("at").select(value.alias("value")).write.mode("overwrite").text(path)
+
+
+def _read_array(spark: SparkSession, path: str, schema: str, what: str) -> DataFrame:
+    """Rows with position of a JSON array: a file, or a folder as ``write_json`` writes it, which is read line by line."""
+    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(fs_path):
+        raise FileNotFoundError(f"no {what} at {path}")
+    if not fs.getFileStatus(fs_path).isDirectory():
+        whole = spark.read.text(path, wholetext=True)
+        if not whole.where(F.ltrim("value").startswith("[")).count():
+            raise ValueError(f"{path} must hold a list of {what}")
+        return _listed(spark, path, schema, what)
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    bare = F.regexp_replace(F.regexp_replace("value", r"^\s*[\[,]", ""), r"\]\s*$", "")
+    parsed = F.from_json(bare, schema, {"mode": "PERMISSIVE"})
+    rows = materialize(spark, lines.where(F.trim(bare) != "").select(F.lit(0).alias("all"), "file", "block", "at", F.trim(bare).startswith("{").alias("object"), parsed.alias("row")), "lines")
+    if not rows.agg(F.bool_and("object")).first()[0]:
+        raise ValueError(f"{path} must hold a list of {what}" if rows.count() else f"no {what} in {path}")
+    return positions(spark, rows, "all", ["file", "block", "at"]).select("position", "row.*")

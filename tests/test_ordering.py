@@ -1,0 +1,83 @@
+import random
+from collections import defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from quern import shared
+from quern.operators.ordering import positions
+
+
+def test_places_of_large_small_and_missing_groups(spark):
+    rng = random.Random(3)
+    rows = [("hot", rng.randrange(10**6)) for _ in range(20_000)] + [(f"g{k % 700}", k) for k in range(5000)] + [(None, k) for k in range(300)] + [("same", 7)] * 2000
+    rng.shuffle(rows)
+    made = shared.materialize(spark, spark.createDataFrame(rows, "g string, v long").repartition(5), "rows")
+    got = positions(spark, made, "g", ["v"])
+    found = defaultdict(list)
+    for r in got.collect():
+        found[r["g"]].append((r["position"], r["v"]))
+    want = defaultdict(list)
+    for g, v in rows:
+        want[g].append(v)
+    assert found.keys() == want.keys()
+    for g, places in found.items():
+        places.sort()
+        assert [p for p, _ in places] == list(range(len(places))) and [v for _, v in places] == sorted(want[g])
+    assert got.columns == ["g", "v", "position"]
+
+
+def test_a_hot_group_is_not_one_task(spark):
+    """The join that brings a group's first place to its rows is by partition and group, so no task meets a whole hot group."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        for k, v in zip(before, ("16", "false", "-1"), strict=True):
+            spark.conf.set(k, v)
+        made = shared.materialize(spark, spark.range(20_000).select(F.lit(1).alias("g"), F.col("id").alias("v")).repartition(8), "rows")
+        sizes = positions(spark, made, "g", ["v"]).groupBy(F.spark_partition_id()).count().collect()
+        assert max(r["count"] for r in sizes) < 20_000 // 3
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_made_columns_are_refused(spark):
+    with pytest.raises(ValueError):
+        positions(spark, spark.createDataFrame([(1, 2)], "g int, at_ int"), "g", ["at_"])
+    assert positions(spark, spark.createDataFrame([], "g int, v int"), "g", ["v"]).count() == 0
+
+
+def test_shared_folder_is_needed_on_a_cluster(spark, monkeypatch):
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Held:
+        def isDefined(self):
+            return False
+
+    class Context:
+        master = "spark://host:7077"
+
+        class _jsc:
+            @staticmethod
+            def sc():
+                return type("C", (), {"getCheckpointDir": staticmethod(Held)})
+
+    fake = type("Session", (), {"conf": Conf(), "sparkContext": Context()})()
+    with pytest.raises(RuntimeError):
+        shared.shared_dir(fake)
+
+
+def test_tables_are_written_once(spark, tmp_path):
+    path = f"file://{tmp_path}/rows"
+    spark.range(5).write.parquet(path)
+    made = []
+
+    def ask(key):
+        source = spark.read.parquet(path)
+        return shared.written_once(spark, "once", source, key, lambda: made.append(key) or source.select((F.col("id") + 1).alias("next")))
+
+    assert [ask((1,)).count(), ask((1,)).count(), ask((2,)).count()] == [5, 5, 5] and made == [(1,), (2,)]
+    spark.range(7).write.mode("overwrite").parquet(path)
+    assert ask((1,)).count() == 7 and len(made) == 3
