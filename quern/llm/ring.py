@@ -6,11 +6,13 @@ whose shard has room. The rooms add up to the number of rows and differ by one a
 ``rows``), and only what overflows leaves its home.
 
 The ring is cut into cells. Only the cells' counts reach the driver (2**20 at most); it sweeps the ring once or
-twice over them and hands back, for each cell, which ranks go to which shard. The rows themselves are ranked in
-their cell, and a cell holds few rows by construction.
+twice over them and hands back, for each cell, which ranks go to which shard. Ranks are counted over range partitions.
+Rows that are equal in all columns share a place on the ring, and so a cell, however many they are; a number drawn for
+each row, once and for all in a written table, lets them spread over the partitions.
 
-Defined results: a null text has size 8 and checksum 0; null or repeated ids are rows like any others; an empty
-table gives an empty result; other columns are ignored.
+Defined results: a null text has size 8 and checksum 0; null or repeated ids are rows like any others; rows that
+share id, size and checksum get the same slots as a group, in any order; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,10 +20,11 @@ from __future__ import annotations
 import hashlib
 from collections import deque
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.common import materialize, table
+from quern.operators.ordering import positions
 
 SHARDS = 24
 VNODES = 64
@@ -96,9 +99,9 @@ def shard_documents(spark: SparkSession, docs: DataFrame, shards: int = SHARDS,
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of each row of ``docs`` (doc_id, text)."""
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     keys = docs.select("doc_id", (F.octet_length(raw) + 8).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"))
-    # The checksum keeps rows that share an id, or have none, apart.
+    # The checksum keeps rows that share an id, or have none, apart; ``tie`` cuts groups of rows that share all.
     keys = keys.withColumn("at", F.shiftrightunsigned(F.xxhash64("doc_id", "text_crc32", "size"), 64 - RING_BITS))
-    keys = materialize(spark, keys, "ring-keys")
+    keys = materialize(spark, keys.withColumn("tie", F.xxhash64(F.monotonically_increasing_id())), "ring-keys")
     rows = keys.count()
     cell_bits = GRID_BITS
     while cell_bits < MAX_CELL_BITS and rows >> cell_bits > ROWS_PER_CELL:
@@ -108,9 +111,9 @@ def shard_documents(spark: SparkSession, docs: DataFrame, shards: int = SHARDS,
     plan = spark.createDataFrame(
         sweep(counts, cell_bits, shards, vnodes), "cell int, lo long, hi long, shard int, slot0 long"
     )
-    rank = F.row_number().over(Window.partitionBy("cell").orderBy("at", "doc_id", "text_crc32", "size")) - 1
+    placed = positions(spark, keys, "cell", ["at", "doc_id", "text_crc32", "size", "tie"], materialize)
     return (
-        keys.withColumn("rank", rank)
+        placed.withColumnRenamed("position", "rank")
         .join(F.broadcast(plan), "cell")
         .where("rank >= lo and rank < hi")
         .select(

@@ -10,6 +10,7 @@ import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from quern.llm import bpe, media, ring
 
@@ -154,3 +155,54 @@ def test_ring_places_each_row_once(counts):
         per[s] += hi - lo
     total = sum(counts.values())
     assert [per[s] for s in range(5)] == ring.capacities(total, 5)
+
+
+def plain_ring(rows, shards):
+    """Shard by row, one row after another: home if it has room, else on clockwise, those that wait first coming first."""
+    nodes = [(cell << (ring.RING_BITS - ring.GRID_BITS), s) for cell, s in ring.virtual_nodes(shards)]
+    room = dict(enumerate(ring.capacities(len(rows), shards)))
+    waiting, out = [[] for _ in nodes], {}
+    for k, at in sorted(enumerate(rows), key=lambda x: (x[1], x[0])):
+        # A node stands at the start of its cell, and rows of that cell are its own.
+        cell = at >> (ring.RING_BITS - ring.GRID_BITS) << (ring.RING_BITS - ring.GRID_BITS)
+        home = next((n for n, (place, _) in enumerate(nodes) if place >= cell), 0)
+        if room[nodes[home][1]]:
+            room[nodes[home][1]] -= 1
+            out[k] = nodes[home][1]
+        else:
+            waiting[home].append(k)
+    carried, at = [], 0
+    while carried or at < len(nodes):
+        while carried and room[nodes[at % len(nodes)][1]]:
+            room[nodes[at % len(nodes)][1]] -= 1
+            out[carried.pop(0)] = nodes[at % len(nodes)][1]
+        if at < len(nodes):
+            carried += waiting[at]
+        at += 1
+    return out
+
+
+def test_ring_against_plain_walk(spark):
+    rows = [(k, f"text {k % 37}") for k in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: r["shard"] for r in ring.shard_documents(spark, docs).collect()}
+    raw = F.col("text").cast("binary")
+    at = {r["doc_id"]: r["at"] for r in docs.select("doc_id", F.shiftrightunsigned(F.xxhash64("doc_id", F.crc32(raw), (F.octet_length(raw) + 8).cast("long")), 64 - ring.RING_BITS).alias("at")).collect()}
+    want = plain_ring([at[k] for k in range(3000)], 24)
+    assert got == want
+
+
+def test_equal_rows_share_a_place_but_no_task(spark):
+    rows = [(7, "same")] * 20_000 + [(k, f"t{k}") for k in range(1000)]
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        for k, v in zip(before, ("16", "false", "-1"), strict=True):
+            spark.conf.set(k, v)
+        got = ring.shard_documents(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(8))
+        sizes = got.groupBy(F.spark_partition_id()).count().collect()
+        assert max(r["count"] for r in sizes) < 8000
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    counts = Counter(r["shard"] for r in got.collect())
+    assert sum(counts.values()) == 21_000 and max(counts.values()) - min(counts.values()) <= 1
