@@ -43,30 +43,58 @@ ORACLE_SQL: dict[str, str] = {
         FROM r LEFT JOIN n ON n.doc_id = r.d GROUP BY d
     """,
     "op9_tool_links": """
-        WITH m AS (
-            SELECT conv_id, turn, role, coalesce(text, '') AS body,
+        WITH RECURSIVE m AS (
+            SELECT conv_id, turn, role, coalesce(text, '') AS body, (conv_id + turn) % 8 AS fault,
                    CASE role WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'result' ELSE 'text' END AS kind,
-                   CASE role WHEN 'user' THEN 'call-' || turn WHEN 'assistant' THEN 'call-' || (turn - 1) END AS call_id
+                   CASE role WHEN 'user' THEN turn WHEN 'assistant' THEN turn - 1 END AS asked,
+                   CASE WHEN role = 'user' AND conv_id % 2 = 0
+                        THEN 'call-' || CASE WHEN conv_id % 10 = 4 AND turn % 4 >= 2 THEN turn - 2 ELSE turn + 2 END END AS after
             FROM conversations),
-        o AS (SELECT conv_id, call_id, min(turn) AS call_turn FROM m WHERE kind = 'call' GROUP BY ALL),
-        a AS (SELECT DISTINCT conv_id, call_id FROM m WHERE kind = 'result'),
+        n AS (
+            SELECT *, CASE WHEN kind = 'result' AND conv_id % 5 = 2 AND turn % 3 = 0 THEN 'lost-' ELSE 'call-' END
+                   || CASE WHEN conv_id % 5 = 1 THEN asked - (asked % 4 + 4) % 4 ELSE asked END AS call_id FROM m),
+        o AS (SELECT conv_id, call_id, min(turn) AS call_turn, arg_min(after, turn) AS after FROM n WHERE kind = 'call' GROUP BY ALL),
+        a AS (SELECT DISTINCT conv_id, call_id FROM n WHERE kind = 'result'),
+        up AS (
+            SELECT conv_id, call_id, call_id AS at, after, call_turn AS major, 0 AS depth FROM o
+            UNION ALL
+            SELECT up.conv_id, up.call_id, o.call_id, o.after, greatest(up.major, o.call_turn), up.depth + 1
+            FROM up JOIN o ON o.conv_id = up.conv_id AND o.call_id = up.after WHERE up.depth < 60),
+        top AS (SELECT conv_id, call_id, max(depth) AS depth, arg_max(major, depth) AS major FROM up GROUP BY ALL),
+        c AS (
+            SELECT o.conv_id, o.call_id, o.call_turn, o.after IS NULL OR x.call_id IS NOT NULL AS known, top.depth >= 60 AS circular,
+                   CASE WHEN top.depth >= 60 THEN o.call_turn ELSE top.major END AS major, CASE WHEN top.depth >= 60 THEN 0 ELSE top.depth END AS depth
+            FROM o JOIN top USING (conv_id, call_id) LEFT JOIN o x ON x.conv_id = o.conv_id AND x.call_id = o.after),
+        j AS (
+            SELECT n.*, c.call_turn, a.call_id IS NOT NULL AS answered, c.major, c.depth, c.known, c.circular,
+                   kind = 'call' AND turn = c.call_turn AS owns, kind = 'result' AND c.call_turn IS NOT NULL AS follows,
+                   CASE fault WHEN 0 THEN '{"prompt":' || to_json(body) || ',"turn":' || turn || '}'
+                        WHEN 1 THEN '{"prompt":' || to_json(body) || ',"role":"user","turn":"' || turn || '"}'
+                        WHEN 2 THEN '{"extra":true,"prompt":' || to_json(body) || ',"role":"user","turn":' || turn || '}'
+                        WHEN 4 THEN to_json('not json: ' || body)
+                        WHEN 5 THEN '[' || turn || ']'
+                        ELSE '{"prompt":' || to_json(body) || ',"role":"user","turn":' || turn || '}' END AS arguments
+            FROM n LEFT JOIN c USING (conv_id, call_id) LEFT JOIN a USING (conv_id, call_id)),
         r AS (
-            SELECT m.*, o.call_turn,
-                   CASE WHEN kind = 'call' AND turn > o.call_turn THEN 'duplicate_id'
-                        WHEN kind = 'call' AND a.call_id IS NULL THEN 'unanswered'
-                        WHEN kind = 'result' AND o.call_turn IS NULL THEN 'orphan'
-                        WHEN kind = 'text' THEN 'text' ELSE 'linked' END AS status,
+            SELECT *,
+                   CASE WHEN kind = 'text' THEN 'text' WHEN kind = 'call' AND turn > call_turn THEN 'duplicate_id'
+                        WHEN kind = 'call' AND NOT answered THEN 'unanswered'
+                        WHEN kind = 'result' AND call_turn IS NULL THEN 'orphan' ELSE 'linked' END AS status,
+                   CASE WHEN kind <> 'call' THEN NULL WHEN fault = 3 THEN 'unknown_tool' WHEN fault = 4 THEN 'not_json' WHEN fault = 5 THEN 'not_object'
+                        WHEN fault = 0 THEN 'missing:role' WHEN fault = 1 THEN 'type:turn' WHEN fault = 2 THEN 'unknown_field'
+                        WHEN owns AND NOT known THEN 'unknown_reference' WHEN owns AND circular THEN 'circular_reference' END AS error,
                    CASE kind
-                        WHEN 'call' THEN '{"arguments":{"prompt":' || to_json(body) || ',"role":"user","turn":' || turn
-                            || '},"id":"' || m.call_id || '","kind":"call","name":"reply"}'
-                        WHEN 'result' THEN '{"content":' || to_json(body) || ',"id":"' || m.call_id || '","kind":"result"}'
+                        WHEN 'call' THEN '{' || coalesce('"after":"' || after || '",', '') || '"arguments":' || arguments || ',"id":"' || call_id
+                            || '","kind":"call","name":"' || CASE WHEN fault = 3 THEN 'answer' ELSE 'reply' END || '"}'
+                        WHEN 'result' THEN '{"content":' || to_json(body) || ',"id":"' || call_id || '","kind":"result"}'
                         ELSE '{"content":' || to_json(body) || ',"kind":"text"}' END AS json
-            FROM m LEFT JOIN o USING (conv_id, call_id) LEFT JOIN a USING (conv_id, call_id))
+            FROM j)
         SELECT conv_id,
                row_number() OVER (PARTITION BY conv_id ORDER BY
-                   CASE WHEN kind = 'result' AND call_turn IS NOT NULL THEN call_turn ELSE turn END,
-                   CASE WHEN kind = 'result' AND call_turn IS NOT NULL THEN 1 ELSE 0 END, turn, kind, json) - 1 AS position,
-               turn, kind, call_id, status, CAST(NULL AS VARCHAR) AS error, json
+                   CASE WHEN owns OR follows THEN major ELSE turn END, CASE WHEN owns OR follows THEN depth ELSE 0 END,
+                   CASE WHEN owns OR follows THEN call_turn ELSE turn END, CASE WHEN owns OR follows THEN call_id ELSE '' END,
+                   CASE WHEN follows THEN 1 ELSE 0 END, turn, kind, json) - 1 AS position,
+               turn, kind, call_id, status, error, json
         FROM r
     """,
     "op4_warc_index": """

@@ -1,28 +1,35 @@
 """Chat formatting: tool calls linked to their results, put in order, checked against schemas and written as JSON.
 
 Everything here is DataFrame and SQL work. Messages have a conversation, a turn, a kind (call or result), an
-identifier, and for calls a tool's name and arguments as JSON. Results meet their calls by a hash join on
-conversation and identifier. The order is topological: a call comes at its turn, its results right after it, even
-if the log has them earlier; what answers nothing keeps its turn. Positions within a conversation are counted
-across range partitions, so that no conversation has to fit in one task.
+identifier, and for calls a tool's name, arguments as JSON and, if they need another call's result, that call's identifier
+(``after``). Results meet their calls by a hash join on conversation and identifier, and calls those that they need.
+
+The order is topological: a call comes at its turn or after the calls that it needs, however long that chain is, and
+its results come right after it, even if the log has them earlier; what links with nothing keeps its turn. Chains are
+followed by doubling: each round joins every call with what its pointer points to, so a chain of n calls takes log n
+rounds, each a written table. Calls that are left with a pointer lie on a circle or need one that does. Positions within
+a conversation are counted across range partitions, so that no conversation has to fit in one task.
 
 Arguments are checked against the tool's schema: JSON objects, with all required fields, no unknown ones unless
 allowed, and of the right types. Canonical JSON has sorted keys and no spaces, which is how a variant keeps and writes
 objects; numbers are as a variant writes them.
 
 Defined results: a null or empty text is an empty string; arguments that aren't JSON are the error
-``not_json`` and are kept as a JSON string; a tool without schema is ``unknown_tool``; of several calls with one
-identifier the earliest turn owns it and later ones are ``duplicate_id``; a result without a call is ``orphan``; a call
-without result is ``unanswered``; repeated rows are messages like any others; a null conversation or identifier
-links with nothing; an empty table gives an empty result; other columns are ignored.
+``not_json`` and are kept as a JSON string; a tool without schema is ``unknown_tool``; a call that needs an identifier
+that no call of its conversation has is ``unknown_reference``, one on a circle or behind it ``circular_reference``, and both
+come at their turn; an error of the arguments is told before one of the reference; of several calls with one identifier
+the earliest turn owns it and later ones are ``duplicate_id``; a result without a call is ``orphan``; a call without result is
+``unanswered``; repeated rows are messages like any others; a null conversation or identifier links with nothing; an
+empty table gives an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.common import materialize, table
+from quern.operators.ordering import positions
 
 #: Tools by name: fields with their types, which of them are required, and whether others are allowed.
 Schemas = dict[str, dict]
@@ -62,40 +69,71 @@ def argument_error(name: Column, arguments: Column, parsed: Column, schemas: Sch
     return out
 
 
-def positions(spark: SparkSession, rows: DataFrame, group: str, order: list[str]) -> DataFrame:
-    """``rows`` with ``position``: their place, from 0, in the order within their group.
+def chains(spark: SparkSession, owners: DataFrame) -> DataFrame:
+    """conv_id, call_id, call_turn, answered, known, major, depth and circular of each owner (conv_id, call_id, call_turn, after, answered).
 
-    Rows are sorted by range over all partitions and counted there, so a large group spreads over many tasks.
-    """
-    spread = rows.repartitionByRange(group, *order).sortWithinPartitions(group, *order)
-    # Within a partition this counts up from 0; the partition's number lies above bit 33.
-    spread = spread.withColumn("at_", F.monotonically_increasing_id())
-    spread = materialize(spark, spread, "positions")
-    part = F.shiftright("at_", 33)
-    sizes = spread.groupBy(part.alias("part_")).agg((F.max(F.col("at_").bitwiseAND(F.lit((1 << 33) - 1))) + 1).alias("n_"))
-    # One row a partition.
-    before = sizes.withColumn("before_", F.coalesce(F.sum("n_").over(Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    whole = spread.join(F.broadcast(before.select("part_", "before_")), part == F.col("part_"))
-    whole = whole.withColumn("at_", F.col("before_") + F.col("at_").bitwiseAND(F.lit((1 << 33) - 1))).drop("part_", "before_")
-    first = whole.groupBy(F.col(group).alias("group_")).agg(F.min("at_").alias("first_"))
-    out = whole.join(first, F.col(group).eqNullSafe(F.col("group_")))
-    return out.withColumn("position", F.col("at_") - F.col("first_")).drop("at_", "group_", "first_")
+    ``major`` is the latest turn of the call and of all that it needs, ``depth`` how long that chain is."""
+    ids = owners.select(F.col("conv_id").alias("to_conv"), F.col("call_id").alias("to_call"))
+    met = (F.col("conv_id") == F.col("to_conv")) & (F.col("after") == F.col("to_call"))
+    state = owners.join(ids, met, "left").select(
+        "conv_id",
+        "call_id",
+        "call_turn",
+        "answered",
+        (F.col("after").isNull() | F.col("to_call").isNotNull()).alias("known"),
+        F.col("to_call").alias("ptr"),
+        F.col("call_turn").alias("major"),
+        F.when(F.col("to_call").isNotNull(), 1).otherwise(0).cast("long").alias("depth"),
+    )
+    state = materialize(spark, state, "chains")
+    left, before = state.where("ptr is not null").count(), None
+    # Each round brings some chain to its end, so what no round shortens are circles.
+    while left and left != before:
+        to = state.select(F.col("conv_id").alias("to_conv"), F.col("call_id").alias("to_call"), F.col("ptr").alias("to_ptr"), F.col("major").alias("to_major"), F.col("depth").alias("to_depth"))
+        step = state.join(to, (F.col("conv_id") == F.col("to_conv")) & (F.col("ptr") == F.col("to_call")), "left")
+        step = step.select(
+            "conv_id",
+            "call_id",
+            "call_turn",
+            "answered",
+            "known",
+            F.col("to_ptr").alias("ptr"),
+            F.greatest("major", "to_major").alias("major"),
+            (F.col("depth") + F.coalesce("to_depth", F.lit(0))).alias("depth"),
+        )
+        state = materialize(spark, step, "chains")
+        left, before = state.where("ptr is not null").count(), left
+    circular = F.col("ptr").isNotNull()
+    return state.select(
+        "conv_id",
+        "call_id",
+        "call_turn",
+        "answered",
+        "known",
+        F.when(circular, F.col("call_turn")).otherwise(F.col("major")).alias("major"),
+        F.when(circular, 0).otherwise(F.col("depth")).alias("depth"),
+        circular.alias("circular"),
+    )
 
 
 def link(spark: SparkSession, messages: DataFrame, schemas: Schemas) -> DataFrame:
     """conv_id, position, turn, kind, call_id, status, error, json of each row of ``messages``.
 
-    ``messages``: conv_id, turn, kind ('call', 'result' or 'text'), call_id, name, body (arguments, result or text).
+    ``messages``: conv_id, turn, kind ('call', 'result' or 'text'), call_id, name, body (arguments, result or text), and
+    optionally after (the identifier of a call whose result a call needs).
     """
+    after = F.col("after").cast("string") if "after" in messages.columns else F.lit(None).cast("string")
+    messages = messages.select("conv_id", "turn", "kind", "call_id", "name", "body", after.alias("after"))
     calls = messages.where("kind = 'call' and conv_id is not null and call_id is not null")
     # One row for each identifier: what owns it. Minima are combined before the shuffle.
-    owner = calls.groupBy("conv_id", "call_id").agg(F.min("turn").alias("call_turn"))
+    owner = calls.groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "after")).alias("first"))
+    owner = owner.select("conv_id", "call_id", F.col("first.turn").alias("call_turn"), "first.after")
     answered = messages.where("kind = 'result' and conv_id is not null and call_id is not null").select("conv_id", "call_id").distinct()
-    owner = owner.join(answered.withColumn("answered", F.lit(True)), ["conv_id", "call_id"], "left")
+    owner = chains(spark, materialize(spark, owner.join(answered.withColumn("answered", F.lit(True)), ["conv_id", "call_id"], "left"), "owners"))
     # What has no identifier gets one that no call has, so that such rows of one conversation spread over the tasks.
     alone = F.concat(F.lit("\x00"), F.xxhash64("turn", "kind", "body").cast("string"))
     key = F.coalesce(F.when(F.col("conv_id").isNotNull(), F.col("call_id")), alone)
-    owner = owner.toDF("owner_conv", "owner_call", "call_turn", "answered")
+    owner = owner.withColumnsRenamed({"conv_id": "owner_conv", "call_id": "owner_call"})
     rows = messages.withColumn("key", key)
     rows = rows.join(owner, (F.col("conv_id") == F.col("owner_conv")) & (F.col("key") == F.col("owner_call")), "left")
     call, result = F.col("kind") == "call", F.col("kind") == "result"
@@ -107,10 +145,21 @@ def link(spark: SparkSession, messages: DataFrame, schemas: Schemas) -> DataFram
         .otherwise("text")
     )
     rows = rows.withColumn("status", status).withColumn("parsed", F.when(call, F.try_parse_json("body")))
-    rows = rows.withColumn("error", F.when(call, argument_error(F.col("name"), F.col("body"), F.col("parsed"), schemas)))
-    linked_result = result & F.col("call_turn").isNotNull()
-    rows = rows.withColumn("major", F.when(linked_result, F.col("call_turn")).otherwise(F.col("turn")))
-    rows = rows.withColumn("minor", F.when(linked_result, 1).otherwise(0))
+    owns = call & F.col("call_turn").isNotNull() & (F.col("turn") == F.col("call_turn"))
+    reference = F.when(owns & ~F.col("known"), "unknown_reference").when(owns & F.col("circular"), "circular_reference")
+    faults = argument_error(F.col("name"), F.col("body"), F.col("parsed"), schemas)
+    rows = rows.withColumn("error", F.when(call, F.coalesce(faults, reference)))
+    follows = result & F.col("call_turn").isNotNull()
+    chained = owns | follows
+    rows = rows.withColumns(
+        {
+            "major": F.when(chained, F.col("major")).otherwise(F.col("turn")),
+            "depth": F.when(chained, F.col("depth")).otherwise(0),
+            "lead": F.when(chained, F.col("call_turn")).otherwise(F.col("turn")),
+            "own": F.when(chained, F.col("call_id")).otherwise(""),
+            "minor": F.when(follows, 1).otherwise(0),
+        }
+    )
     body = F.coalesce(F.col("body"), F.lit(""))
     arguments = F.coalesce(F.to_json("parsed"), json_string(body))
 
@@ -122,6 +171,7 @@ def link(spark: SparkSession, messages: DataFrame, schemas: Schemas) -> DataFram
         F.lit("{"),
         F.concat_ws(
             ",",
+            F.when(call & F.col("after").isNotNull(), field("after", json_string(F.col("after")))),
             F.when(call, field("arguments", arguments)).otherwise(field("content", json_string(body))),
             F.when(call | result, field("id", F.coalesce(json_string(F.col("call_id")), F.lit("null")))),
             field("kind", json_string(F.col("kind"))),
@@ -129,25 +179,48 @@ def link(spark: SparkSession, messages: DataFrame, schemas: Schemas) -> DataFram
         ),
         F.lit("}"),
     )
-    rows = rows.select("conv_id", "turn", "kind", "call_id", "status", "error", json.alias("json"), "major", "minor")
-    placed = positions(spark, rows, "conv_id", ["major", "minor", "turn", "kind", "json"])
+    order = ["major", "depth", "lead", "own", "minor", "turn", "kind", "json"]
+    rows = rows.select("conv_id", "turn", "kind", "call_id", "status", "error", json.alias("json"), *order[:5])
+    # Written first: sorting by range samples its input, which would run the joins twice.
+    placed = positions(spark, materialize(spark, rows, "messages"), "conv_id", order, materialize)
     return placed.select("conv_id", "position", "turn", "kind", "call_id", "status", "error", "json")
 
 
 def from_turns(turns: DataFrame) -> DataFrame:
-    """Messages of plain conversations: each user's turn calls the tool ``reply``, an assistant's turn is the result of the
-    user's turn before it, by number, and everything else is text."""
+    """Messages of plain conversations, with faults put in by number, so that links, order and checks have work to do.
+
+    Each user's turn calls the tool ``reply``, an assistant's turn is the result of the user's turn before it, by number, and
+    everything else is text. In every other conversation a call needs the one two turns later, so that the whole order
+    is turned around (and the last call needs one that isn't there); where the number ends in 4, turns by fours need each
+    other. Where the number is 1 more than a multiple of 5, two calls share an identifier; where it is 2 more, every third
+    turn's result answers what nobody asked. The sum of conversation and turn, by eights, faults the arguments: a
+    field is missing, of another type or unknown, the tool is unknown, or they are no JSON or no object.
+    """
+    conv, turn = F.col("conv_id"), F.col("turn")
     text = F.coalesce(F.col("text"), F.lit(""))
     user, assistant = F.col("role") == "user", F.col("role") == "assistant"
-    arguments = F.to_json(F.struct(F.col("turn"), F.col("role"), text.alias("prompt")))
-    asked = F.when(user, F.col("turn")).when(assistant, F.col("turn") - 1)
+    fault = F.pmod(conv + turn, F.lit(8))
+    fields = [text.alias("prompt"), F.col("role"), turn]
+    arguments = (
+        F.when(fault == 0, F.to_json(F.struct(turn, text.alias("prompt"))))
+        .when(fault == 1, F.to_json(F.struct(text.alias("prompt"), F.col("role"), turn.cast("string").alias("turn"))))
+        .when(fault == 2, F.to_json(F.struct(*fields, F.lit(True).alias("extra"))))
+        .when(fault == 4, F.concat(F.lit("not json: "), text))
+        .when(fault == 5, F.concat(F.lit("[ "), turn.cast("string"), F.lit(" ]")))
+        .otherwise(F.to_json(F.struct(turn, F.col("role"), text.alias("prompt"))))
+    )
+    asked = F.when(user, turn).when(assistant, turn - 1)
+    asked = F.when(F.pmod(conv, F.lit(5)) == 1, asked - F.pmod(asked, F.lit(4))).otherwise(asked)
+    lost = assistant & (F.pmod(conv, F.lit(5)) == 2) & (F.pmod(turn, F.lit(3)) == 0)
+    needed = F.when((F.pmod(conv, F.lit(10)) == 4) & (F.pmod(turn, F.lit(4)) >= 2), turn - 2).otherwise(turn + 2)
     return turns.select(
-        "conv_id",
-        "turn",
+        conv,
+        turn,
         F.when(user, "call").when(assistant, "result").otherwise("text").alias("kind"),
-        F.concat(F.lit("call-"), asked.cast("string")).alias("call_id"),
-        F.when(user, "reply").alias("name"),
+        F.concat(F.when(lost, "lost-").otherwise("call-"), asked.cast("string")).alias("call_id"),
+        F.when(user, F.when(fault == 3, "answer").otherwise("reply")).alias("name"),
         F.when(user, arguments).otherwise(text).alias("body"),
+        F.when(user & (F.pmod(conv, F.lit(2)) == 0), F.concat(F.lit("call-"), needed.cast("string"))).alias("after"),
     )
 
 

