@@ -2,10 +2,15 @@
 
 A text becomes a picture losslessly: its UTF-8 bytes, filled up with spaces to whole rows of 64 RGB pixels, are
 the samples of a binary PPM. The pictures are written as a binary column of a Parquet table in the shared folder
-and read from there again; every feature comes from the bytes that were read.
+and read from there again; digests and the difference hash come from the bytes that were read, and the area-resized NPY
+tiles are written to a table of their own and read back for the rest of the feature.
+
+Pictures are resized from integral images of BAND rows at a time, which carry the last row's sums on, so memory beyond
+the picture itself doesn't grow with it; values go from worker to Spark one long one at a time.
 
 Defined results: a null or empty text is one row of spaces; equal texts give equal values whatever their ids; an
-empty table gives an empty result; other columns are ignored; no text is too long short of Spark's 2 GB a value.
+empty table gives an empty result; other columns are ignored. A text's bytes are held a few times over in one worker
+(the text, its bytes, its picture, Arrow's copies), so executors need about six times the longest text.
 """
 
 from __future__ import annotations
@@ -16,17 +21,23 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StringType, StructField, StructType
 
 from quern.llm.common import map_batches, materialize, table
 
 WIDTH = 64
-ROW_BYTES = 3 * WIDTH
 TILE = 16
+#: Rows of a picture that are summed up at a time.
+BAND = 1024
 
 
-def to_ppm(payload: bytes, width: int = WIDTH) -> bytes:
-    return b"P6\n%d %d\n255\n" % (width, len(payload) // (3 * width)) + payload
+def to_ppm(raw: bytes, width: int = WIDTH) -> bytes:
+    """A PPM whose samples are the bytes, filled up with spaces to whole rows, one at least."""
+    fill = -len(raw) % (3 * width) if raw else 3 * width
+    return b"".join((b"P6\n%d %d\n255\n" % (width, (len(raw) + fill) // (3 * width)), raw, b" " * fill))
 
 
 def to_bmp(pixels: np.ndarray) -> bytes:
@@ -100,12 +111,24 @@ def decode(data: bytes) -> np.ndarray:
     raise ValueError("neither Netpbm nor BMP")
 
 
+def integral_rows(pixels: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Rows ``wanted`` (rising) of the integral image with a row and a column of zeros before it, made BAND rows at a time."""
+    h, w, bands = pixels.shape
+    out = np.zeros((len(wanted), w + 1, bands))
+    above = np.zeros((w, bands))
+    for lo in range(0, h, BAND):
+        part = np.cumsum(pixels[lo : lo + BAND], axis=0, dtype=np.float64)
+        np.cumsum(part, axis=1, out=part)
+        part += above
+        mine = np.flatnonzero((wanted > lo) & (wanted <= lo + len(part)))
+        out[mine, 1:] = part[wanted[mine] - lo - 1]
+        above = part[-1].copy()
+    return out
+
+
 def area_resize(pixels: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Mean of each target cell's area, exact at fractional edges, from one integral image a band."""
+    """Mean of each target cell's area, exact at fractional edges, from integral images."""
     h, w, bands = pixels.shape
-    total = np.zeros((h + 1, w + 1, bands))
-    np.cumsum(pixels, axis=0, out=total[1:, 1:], dtype=np.float64)
-    np.cumsum(total[1:, 1:], axis=1, out=total[1:, 1:])
 
     def edges(n: int, m: int) -> tuple[np.ndarray, np.ndarray]:
         x = np.arange(m + 1) * n / m
@@ -114,7 +137,7 @@ def area_resize(pixels: np.ndarray, height: int, width: int) -> np.ndarray:
 
     (ys, fy), (xs, fx) = edges(h, height), edges(w, width)
     fy, fx = fy[:, None, None], fx[None, :, None]
-    rows = total[ys] * (1 - fy) + total[ys + 1] * fy
+    rows = integral_rows(pixels, ys) * (1 - fy) + integral_rows(pixels, ys + 1) * fy
     grid = rows[:, xs] * (1 - fx) + rows[:, xs + 1] * fx
     cells = np.diff(np.diff(grid, axis=0), axis=1) / (h * w / (height * width))
     return np.clip(np.rint(cells), 0, 255).astype(np.uint8)
@@ -133,16 +156,34 @@ def npy_tile(pixels: np.ndarray, side: int = TILE) -> bytes:
     return out.getvalue()
 
 
+#: Bytes of long values that leave a worker together.
+FLUSH_BYTES = 16 << 20
+
+
+def _slices(batch: pa.RecordBatch, column: int):
+    """Slices of a batch whose values in a column, text or binary, add up to FLUSH_BYTES or are one row."""
+    sizes = pc.binary_length(batch.column(column)).fill_null(0).to_pylist()
+    lo = held = 0
+    for k, n in enumerate(sizes):
+        if k > lo and held + n > FLUSH_BYTES:
+            yield batch.slice(lo, k - lo)
+            lo, held = k, 0
+        held += n
+    if lo < len(sizes):
+        yield batch.slice(lo)
+
+
 def store(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, media: each text as a PPM in a table of the shared folder."""
 
     def encode(batch):
-        media, sizes = [], []
-        for text in batch.column(1).to_pylist():
-            raw = (text or "").encode()
-            sizes.append(len(raw))
-            media.append(to_ppm(raw + b" " * (-len(raw) % ROW_BYTES if raw else ROW_BYTES)))
-        yield {"doc_id": batch.column(0), "n_bytes": sizes, "media": media}
+        for part in _slices(batch, 1):
+            media, sizes = [], []
+            for text in part.column(1):
+                raw = (text.as_py() or "").encode()
+                sizes.append(len(raw))
+                media.append(to_ppm(raw))
+            yield {"doc_id": part.column(0), "n_bytes": sizes, "media": media}
 
     df = map_batches(docs.select("doc_id", "text"), encode, f"doc_id {_id_type(docs)}, n_bytes long, media binary")
     return materialize(spark, df, "media")
@@ -152,30 +193,47 @@ def _id_type(docs: DataFrame) -> str:
     return docs.schema["doc_id"].dataType.simpleString()
 
 
-def features(media: DataFrame) -> DataFrame:
-    """Decodes a column ``media`` and adds the payload's digests, an NPY tile and a difference hash."""
+def describe(spark: SparkSession, media: DataFrame) -> DataFrame:
+    """Decodes a column ``media`` and adds the payload's digests, a difference hash and an NPY tile, in a written table."""
 
     def read(batch):
-        out: dict[str, list] = {k: [] for k in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tile")}
-        for data in batch.column(2).to_pylist():
+        out: dict[str, list] = {k: [] for k in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "difference_hash", "tile")}
+        for value in batch.column(2):
+            data = value.as_py()
             pixels = decode(data)
-            payload = pixels.tobytes()
-            out["payload_bytes"].append(len(payload))
-            out["payload_sha256"].append(hashlib.sha256(payload).hexdigest())
-            out["tail_crc32"].append(zlib.crc32(payload[-16:]))
+            flat = pixels.reshape(-1)  # a view of the picture's own bytes where it is contiguous
+            out["payload_bytes"].append(flat.size)
+            out["payload_sha256"].append(hashlib.sha256(flat).hexdigest())
+            out["tail_crc32"].append(zlib.crc32(flat[-16:].tobytes()))
             out["media_bytes"].append(len(data))
             out["media_sha256"].append(hashlib.sha256(data).hexdigest())
-            tile = npy_tile(pixels)
-            out["tile"].append(tile)
-            out["feature"].append(f"{difference_hash(pixels)}:{zlib.crc32(tile):08x}")
+            out["difference_hash"].append(difference_hash(pixels))
+            out["tile"].append(npy_tile(pixels))
         yield {"doc_id": batch.column(0), "n_bytes": batch.column(1), **out}
 
-    return map_batches(
+    described = map_batches(
         media.select("doc_id", "n_bytes", "media"),
         read,
-        f"doc_id {_id_type(media)}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tile binary",
+        f"doc_id {_id_type(media)}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, difference_hash string, tile binary",
     )
+    return materialize(spark, described, "tiles")
+
+
+def features(tiles: DataFrame) -> DataFrame:
+    """Reads the tiles and adds ``feature``: the difference hash, and the mean of the tile's samples and its edges' strength by band."""
+
+    def read(batch):
+        found = []
+        for dhash, data in zip(batch.column("difference_hash").to_pylist(), batch.column("tile").to_pylist(), strict=True):
+            tile = np.load(io.BytesIO(data), allow_pickle=False).astype(np.int64)
+            means = tile.sum((0, 1)) * 100 // (tile.shape[0] * tile.shape[1])
+            edges = abs(np.diff(tile, axis=1)).sum((0, 1)) * 100 // (tile.shape[0] * (tile.shape[1] - 1))
+            found.append(":".join([dhash, *(f"{m}/{e}" for m, e in zip(means, edges, strict=True))]))
+        yield {**{c: batch.column(c) for c in batch.schema.names if c not in ("difference_hash", "tile")}, "feature": found}
+
+    kept = [f for f in tiles.schema.fields if f.name not in ("difference_hash", "tile")]
+    return map_batches(tiles, read, StructType([*kept, StructField("feature", StringType())]))
 
 
 def op6_netpbm_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features(store(spark, table(spark, sf_dir, "documents"))).drop("tile")
+    return features(describe(spark, store(spark, table(spark, sf_dir, "documents"))))

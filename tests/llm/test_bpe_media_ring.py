@@ -1,11 +1,15 @@
 import base64
 import hashlib
+import io
 import struct
+import tracemalloc
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -81,15 +85,88 @@ def test_bpe_query_columns(docs, none, rows, library):
     assert bpe.encode_documents(docs).columns == ["doc_id", "n_tokens", "ids", "decoded"]
 
 
+def area_means(pixels, height, width):
+    """Means over cells, each sample weighed by how much of it lies in the cell, one cell after another."""
+
+    def shares(n, m):
+        out = np.zeros((m, n))
+        for k in range(m):
+            lo, hi = Fraction(k * n, m), Fraction((k + 1) * n, m)
+            for x in range(int(lo), min(n, -int(-hi // 1))):
+                out[k, x] = min(hi, x + 1) - max(lo, x)
+        return out
+
+    y, x = shares(pixels.shape[0], height), shares(pixels.shape[1], width)
+    return np.einsum("ah,bw,hwc->abc", y, x, pixels.astype(float)) / np.einsum("ah,bw->ab", y, x)[:, :, None]
+
+
+def plain_media(text):
+    """media_bytes, media_sha256 and feature of a text, by plain means."""
+    raw = (text or "").encode()
+    pay = raw + b" " * (-len(raw) % 192 if raw else 192)
+    stored = f"P6\n64 {len(pay) // 192}\n255\n".encode() + pay
+    pixels = np.frombuffer(pay, np.uint8).reshape(-1, 64, 3)
+    grey = np.rint(area_means(pixels, 8, 9)) @ [299, 587, 114]
+    bits = "".join("1" if a < b else "0" for row in grey for a, b in zip(row, row[1:], strict=False))
+    tile = np.rint(area_means(pixels, 16, 16)).astype(int)
+    parts = [f"{sum(tile[:, :, c].ravel().tolist()) * 100 // 256}/{sum(abs(int(r[k + 1]) - int(r[k])) for r in tile[:, :, c] for k in range(15)) * 100 // 240}" for c in range(3)]
+    return len(stored), hashlib.sha256(stored).hexdigest(), ":".join([f"{int(bits, 2):016x}", *parts])
+
+
+def described(spark, docs):
+    return media.features(media.describe(spark, media.store(spark, docs)))
+
+
 def test_media_round_trip(spark, docs, none, rows):
-    got = Counter((r["doc_id"], r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) for r in media.features(media.store(spark, docs)).collect())
+    got = Counter((r["doc_id"], r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"], r["media_bytes"], r["media_sha256"]) for r in described(spark, docs).collect())
     want = Counter()
     for i, t in rows:
         raw = (t or "").encode()
         pay = raw + b" " * (-len(raw) % 192 if raw else 192)
-        want[(i, len(raw), len(pay), hashlib.sha256(pay).hexdigest(), zlib.crc32(pay[-16:]))] += 1
+        want[(i, len(raw), len(pay), hashlib.sha256(pay).hexdigest(), zlib.crc32(pay[-16:]), *plain_media(t)[:2])] += 1
     assert got == want
-    assert media.features(media.store(spark, none)).count() == 0
+    assert described(spark, none).count() == 0
+
+
+def test_features_against_plain_means(spark):
+    rng = np.random.default_rng(9)
+    texts = [None, "", "a", "x" * 192, *("".join(rng.choice(list("abc DEF é\n"), n)) for n in (100, 500, 3000, 20_000))]
+    got = {r["doc_id"]: r["feature"] for r in described(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    off = 0
+    for k, t in enumerate(texts):
+        want, have = plain_media(t)[2].split(":"), got[k].split(":")
+        # Means that end in a half may round either way by the order of summation, so a step of a sample is allowed.
+        assert bin(int(want[0], 16) ^ int(have[0], 16)).count("1") <= 3, (k, want, have)
+        for a, b in zip(want[1:], have[1:], strict=True):
+            assert all(abs(int(x) - int(y)) <= 5 for x, y in zip(a.split("/"), b.split("/"), strict=True)), (k, want, have)
+        off += want != have
+    assert off <= 2
+
+
+def test_large_pictures_are_resized_in_little_memory():
+    pixels = np.frombuffer(bytes(range(192)) * 260_000, np.uint8).reshape(-1, 64, 3)  # 50 MB
+    tracemalloc.start()
+    try:
+        tile, mark = media.npy_tile(pixels), media.difference_hash(pixels)
+        assert tracemalloc.get_traced_memory()[1] < 20e6
+    finally:
+        tracemalloc.stop()
+    assert np.load(io.BytesIO(tile))[0, 0, 0] == round(np.mean(range(0, 12, 3))) and len(mark) == 16
+    tracemalloc.start()
+    try:
+        stored = media.to_ppm(b"y" * 50_000_000)
+        assert tracemalloc.get_traced_memory()[1] < 160e6 and len(media.decode(stored)) == -(-50_000_000 // 192)
+    finally:
+        tracemalloc.stop()
+
+
+def test_long_values_leave_one_at_a_time():
+    batch = pa.RecordBatch.from_pydict({"a": range(5), "b": ["x" * 9, None, "y" * 9, "z" * 40, "w"]})
+    before, media.FLUSH_BYTES = media.FLUSH_BYTES, 20
+    try:
+        assert [s.num_rows for s in media._slices(batch, 1)] == [3, 1, 1]
+    finally:
+        media.FLUSH_BYTES = before
 
 
 def test_decoders_and_resize():
