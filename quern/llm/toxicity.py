@@ -6,8 +6,10 @@ the second person, capitals, punctuation, repeated letters and letters mixed wit
 on logistic loss learn from those of the sample, and isotonic regression on rows kept aside maps their sums to
 shares of toxic rows. Scoring reads every whole text once.
 
-The sample: at most MAX_TRAIN labelled rows, those with the smallest hash of their id; rows whose crc32 of the id
-as text is divisible by 5 are held out and never taken. Of it only feature vectors and lexicons reach the driver.
+The sample: at most MAX_TRAIN labels, and at most MAX_TRAIN rows that they label, those with the smallest hash of their
+id; rows whose crc32 of the id as text is divisible by 5 are held out and never taken. Of it only feature vectors and
+the lexicons, LEXICON words and as many beginnings that MIN_DOCS toxic rows hold at least, reach the driver. Counts that
+grow with a text's length stop at MOST_HITS hits and MOST_WEIGHT of weight, so that long texts aren't toxic for their length.
 
 Defined results: a null or empty text has features of 0 and is scored like any other; labels that are null or of
 ids that ``docs`` lacks teach nothing; without labelled rows of both kinds every score is the share of toxic ones
@@ -30,6 +32,7 @@ MAX_TRAIN = 12_000
 LEXICON = 2000
 PREFIX = 5
 MIN_DOCS = 3
+MOST_HITS, MOST_WEIGHT = 50, 200.0
 TREES, DEPTH, RATE, BINS, MIN_LEAF, L2 = 80, 3, 0.15, 32, 5, 1.0
 
 #: Words of the second person in the languages at hand (fixed values).
@@ -79,12 +82,12 @@ def vector(text: str, lexicon: dict[str, float], prefixes: dict[str, float]) ->
     return [
         float(np.log1p(n)),
         len(hits) / n,
-        min(len(hits), 50),
+        min(len(hits), MOST_HITS),
         len({words[i] for i in hits}),
-        min(sum(lexicon[words[i]] for i in hits), 200.0),
+        min(sum(lexicon[words[i]] for i in hits), MOST_WEIGHT),
         len(begins) / n,
-        min(len(begins), 50),
-        min(sum(prefixes[p] for p in begins), 200.0),
+        min(len(begins), MOST_HITS),
+        min(sum(prefixes[p] for p in begins), MOST_WEIGHT),
         near,
         len(person) / n,
         (size - len(data.translate(None, _UPPER))) / size,
@@ -161,11 +164,12 @@ def fit_trees(x: np.ndarray, y: np.ndarray) -> Trees:
 
 def fit_isotonic(raw: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pool adjacent violators: rising steps from raw sums to shares, each drawn a little to one half."""
-    order = np.argsort(raw, kind="stable")
+    # Equal sums are one point; pooled one by one they would draw in neighbours that their share as a whole doesn't.
+    values, at = np.unique(raw, return_inverse=True)
     blocks: list[list[float]] = []  # sum of labels, rows, first raw, last raw
-    for r, label in zip(raw[order], y[order], strict=True):
-        blocks.append([label, 1, r, r])
-        while len(blocks) > 1 and (blocks[-2][3] == blocks[-1][2] or blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]):
+    for r, label, n in zip(values, np.bincount(at, y), np.bincount(at), strict=True):
+        blocks.append([label, n, r, r])
+        while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
             a = blocks.pop()
             b = blocks[-1]
             blocks[-1] = [b[0] + a[0], b[1] + a[1], b[2], a[3]]
@@ -222,8 +226,9 @@ def _lexicons(sample: DataFrame, toxic: int, clean: int) -> tuple[dict[str, floa
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model:
     taught = labels.where("toxic is not null and doc_id is not null").where(~held_out()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     taught = taught.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id", "toxic").limit(max_train)
-    # The ids are at most max_train, so this side is small enough to be sent to all.
-    sample = docs.select("doc_id", "text").join(F.broadcast(taught), "doc_id").select("text", "toxic", (F.pmod(F.shiftright("h", 7), F.lit(4))).alias("quarter"))
+    # The ids are at most max_train, so this side is small enough to be sent to all. Rows that share an id are bounded as well.
+    sample = docs.select("doc_id", "text").join(F.broadcast(taught), "doc_id").orderBy("h", "doc_id", "toxic", F.xxhash64("text"), "text").limit(max_train)
+    sample = sample.select("text", "toxic", (F.pmod(F.shiftright("h", 7), F.lit(4))).alias("quarter"))
     sample = materialize(spark, sample, "toxic-sample")
     totals = {(r["quarter"] == 0, r["toxic"]): r["n"] for r in sample.groupBy("quarter", "toxic").agg(F.count("*").alias("n")).collect()}
     sums = {label: sum(r["n"] for r in sample.where(f"toxic = {label}").agg(F.count("*").alias("n")).collect()) for label in (0, 1)}

@@ -256,3 +256,96 @@ def test_trees_and_isotonic():
     assert ((trees.raw(x) > 0) == y).mean() > 0.97
     at, share = toxicity.fit_isotonic(np.arange(10.0), np.array([0, 0, 1, 0, 0, 1, 1, 0, 1, 1.0]))
     assert (np.diff(share) >= 0).all() and (np.diff(at) >= 0).all()
+
+
+def test_isotonic_against_max_min():
+    """A value's pool has the largest of the least shares of intervals around it; then each is drawn to one half, rising."""
+    rng = np.random.default_rng(15)
+    for _ in range(60):
+        n = int(rng.integers(1, 40))
+        raw, label = np.round(rng.random(n), 1), (rng.random(n) < 0.5).astype(float)
+        at, share = toxicity.fit_isotonic(raw, label)
+        xs = np.unique(raw)
+        pooled = {x: round(max(min(label[(raw >= a) & (raw <= b)].mean() for b in xs[xs >= x]) for a in xs[xs <= x]), 9) for x in xs}
+        want, reached = {}, 0.0
+        for v in sorted(set(pooled.values())):
+            own = np.isin(raw, [x for x in xs if pooled[x] == v])
+            reached = max(reached, (label[own].sum() + 0.5) / (own.sum() + 1))
+            want[v] = reached
+        assert np.allclose(np.interp(xs, at, share), [want[pooled[x]] for x in xs])
+
+
+def plain_tree_scores(trees, x):
+    out = []
+    for row in x:
+        total = trees.base
+        for f, t, v in zip(trees.feature, trees.threshold, trees.value, strict=True):
+            node = 0
+            while f[node] >= 0:
+                node = 2 * node + 1 + int(row[f[node]] > t[node])
+            total += v[node]
+        out.append(total)
+    return np.array(out)
+
+
+def test_trees_against_plain_walks_and_gains():
+    rng = np.random.default_rng(13)
+    x = np.round(rng.random((300, 3)), 2)
+    x[rng.random((300, 3)) < 0.3] = 0
+    y = (x[:, 0] + 0.3 * rng.random(300) > 0.5).astype(float)
+    trees = toxicity.fit_trees(x, y)
+    assert np.allclose(trees.raw(x), plain_tree_scores(trees, x))
+    # The first split is the best of all thresholds at hand, by the gain of Newton boosting.
+    p = 1 / (1 + np.exp(-trees.base))
+    g, h = p - y, np.full(300, p * (1 - p))
+
+    def gain(left):
+        if min(left.sum(), (~left).sum()) < toxicity.MIN_LEAF:
+            return -1.0
+        return sum(g[s].sum() ** 2 / (h[s].sum() + toxicity.L2) for s in (left, ~left)) - g.sum() ** 2 / (h.sum() + toxicity.L2)
+
+    chosen = gain(x[:, trees.feature[0, 0]] <= trees.threshold[0, 0])
+    every = []
+    for j in range(3):
+        own = x[:, j]
+        cuts = {*np.quantile(own, np.arange(1, toxicity.BINS) / toxicity.BINS), 0.0, *np.quantile(own[own != 0], np.arange(16) / 16)}
+        every += [gain(own <= t) for t in cuts]
+    assert np.isclose(chosen, max(every))
+
+
+def plain_vector(text, lexicon, prefixes):
+    raw = re.findall(r"\S+", text)
+    if not raw:
+        return [0.0] * len(toxicity.FEATURES)
+    words = [w.strip(toxicity._STRIP) for w in text.lower().split()]
+    n, size = len(raw), len(text.encode())
+    hits = [k for k, w in enumerate(words) if w in lexicon]
+    begins = [w[:5] for w in words if w[:5] in prefixes]
+    person = [k for k, w in enumerate(words) if w in toxicity.SECOND_PERSON]
+    return [
+        math.log(1 + n), len(hits) / n, min(len(hits), 50), len({words[k] for k in hits}), min(sum(lexicon[words[k]] for k in hits), 200),
+        len(begins) / n, min(len(begins), 50), min(sum(prefixes[b] for b in begins), 200), sum(any(abs(k - p) <= 5 for p in person) for k in hits), len(person) / n,
+        sum(c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for c in text) / size, sum(w.isupper() for w in raw) / n, sum(c in "!?.,;:'\"()-" for c in text) / size, text.count("!") / n,
+        len(re.findall(r"([a-z])\1\1", text)) / n, len(re.findall("[A-Za-z][0-9@$][A-Za-z]", text)) / n, len(re.findall("[A-Za-z][*#_.]+[A-Za-z]", text)) / n,
+    ]
+
+
+def test_features_against_plain_counts():
+    rng = np.random.default_rng(14)
+    pool = ["you", "YOUR", "bad!", "(bad)", "badness", "ugly", "ug1y", "s*x", "aaargh", "plain", "Words,", "é", "x.y", "\n", "deine"]
+    lexicon, prefixes = {"bad": 2.5, "ugly": 4.0}, {"badne": 3.0, "plain": 2.1}
+    for n in (0, 1, 5, 40, 300):
+        text = " ".join(rng.choice(pool, n))
+        assert np.allclose(toxicity.vector(text, lexicon, prefixes), plain_vector(text, lexicon, prefixes)), text
+
+
+def test_the_sample_is_bounded_with_repeated_ids(spark, monkeypatch):
+    rows = [(7, f"some text {k} of words that differ{k}") for k in range(3000)] + [(k, f"other text {k}") for k in range(100, 140)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(7, 1)] + [(k, k % 2) for k in range(100, 140)], "doc_id long, toxic int")
+    sizes = []
+    real = toxicity.materialize
+    monkeypatch.setattr(toxicity, "materialize", lambda spark, df, tag: (lambda out: sizes.append(out.count()) or out)(real(spark, df, tag)))
+    model = toxicity.fit(spark, docs, labels, max_train=10)
+    assert sizes[0] <= 10
+    assert toxicity.score_documents(spark, docs, model).count() == len(rows)
