@@ -5,16 +5,18 @@ others are revisits of it; which, is known from digests alone, before any payloa
 members, one a record, to files of its own in the shared folder; a written table names the files of the tasks that
 ended well, so what a lost executor left behind is never read.
 
-Index: a scan of the files gives each record's key (host reversed, then path), file, offset and length. Sorted by
-key, they are cut into blocks of LINES lines, and each block is compressed. A sparse directory has a row for each
-block. A lookup finds the range partition of a key by binary search over the partitions' first keys, its blocks by
-binary search over the partition's directory, opens these blocks alone, and finds the lines by binary search again;
-records are then read by range.
+Index: a scan of the files, each by one task, gives every record's key (host reversed, then path), file, offset and
+length, as a written table. Sorted by key in range partitions, these lines are cut into blocks of LINES lines; each block
+is compressed, and a partition's blocks are one file. A sparse directory has a row for each block: its keys, and where it
+lies. A lookup finds the range partitions of a key by binary search over the partitions' first and last keys, its blocks by
+binary search over the partition's directory rows, reads these blocks alone by range, and finds the lines by binary
+search again. Records are read by range as well, in slices of SLICE bytes of a file.
 
 Files are reached through pyarrow's file systems, by the shared folder's URI. Defined results: a null payload is
 empty; a null URL has the empty key; a null id is smaller than any other, and a revisit is never the largest; rows
-with the same id and payload are all responses, or all revisits; refers_to is null for responses; an empty table
-gives an empty result; other columns are ignored.
+with the same id and payload are all responses, or all revisits; refers_to is null for responses; a revisit tells the
+digest and the length of the payload that it stands for itself; an empty table gives an empty result; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from __future__ import annotations
 import base64
 import bisect
 import hashlib
+import re
 import uuid
 import zlib
 from urllib.parse import urlsplit
@@ -35,7 +38,12 @@ from quern.llm.common import fresh_path, materialize, ship, table
 DEDUP_BYTES = 1000
 ROLL_BYTES = 64 << 20
 LINES = 1000
+#: Lines that a range partition of the index holds, about; few partitions are cut finer, for as many tasks as cores.
+PART_LINES = 200_000
+#: Bytes of an archive that one task reads records from, about.
+SLICE = 8 << 20
 LEVEL = 4
+_LENGTH = re.compile(rb"\r\nContent-Length: (\d+)")
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _ENTRY = "key string, url string, page_id long, record_type string, refers_to long, file string, at long, length long"
@@ -128,7 +136,7 @@ def write(spark: SparkSession, pages: DataFrame) -> tuple[str, DataFrame]:
     rows = pages.select("page_id", "url", html.alias("html"), F.sha2(html.cast("binary"), 256).alias("sha"))
     rows = rows.join(others, F.col("page_id").eqNullSafe(F.col("id_")) & (F.col("sha") == F.col("sha_")), "left")
     rows = rows.select("page_id", "url", "html", "refers_to", F.col("sha_").isNotNull().alias("revisit"))
-    schema = pa.schema([("file", pa.string()), ("records", pa.int64()), ("bytes", pa.int64())])
+    schema, roll = pa.schema([("file", pa.string()), ("records", pa.int64()), ("bytes", pa.int64())]), ROLL_BYTES
 
     def run(batches):
         from pyspark import TaskContext
@@ -147,7 +155,7 @@ def write(spark: SparkSession, pages: DataFrame) -> tuple[str, DataFrame]:
                         data = record(page_id, url, html.encode(), refers_to, revisit)
                         out.write(data)
                         held = [held[0] + 1, held[1] + len(data)]
-                        if held[1] >= ROLL_BYTES:
+                        if held[1] >= roll:
                             out.close()
                             done.append((name, *held))
                             out = None
@@ -202,46 +210,75 @@ def scan(files: DataFrame, folder: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_pydict(dict(zip(_COLUMNS, map(list, zip(*rows, strict=True)), strict=True)), schema=schema)
 
-    # A file is read by one task; ROLL_BYTES bounds it.
-    return files.repartition("file").select("file").mapInArrow(run, _ENTRY)
+    # A file is read by one task; ROLL_BYTES bounds it. With a number, files aren't folded into fewer tasks for being few rows.
+    return files.repartition(max(1, files.count()), "file").select("file").mapInArrow(run, _ENTRY)
 
 
-_BLOCK = "part int, block int, first_key string, last_key string, data binary"
+_BLOCK = "part int, block int, first_key string, last_key string, file string, at long, length long"
 
 
 def build_index(spark: SparkSession, entries: DataFrame) -> DataFrame:
-    """Compressed blocks of sorted lines, by range partition; its columns without ``data`` are the directory."""
-    schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("first_key", pa.string()), ("last_key", pa.string()), ("data", pa.binary())])
+    """The directory of the written blocks, a row for each. ``entries`` should be a written table."""
+    ship(spark)
+    folder = fresh_path(spark, "cdx")
+    schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("first_key", pa.string()), ("last_key", pa.string()), ("file", pa.string()), ("at", pa.int64()), ("length", pa.int64())])
 
     def run(batches):
         from pyspark import TaskContext
 
-        part, k = TaskContext.get().partitionId(), 0
-
-        def block(held: pa.Table):
-            keys = held.column("key")
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, held.schema) as w:
-                w.write_table(held)
-            data = zlib.compress(sink.getvalue(), 6)
-            return pa.RecordBatch.from_pydict({"part": [part], "block": [k], "first_key": [keys[0].as_py()], "last_key": [keys[-1].as_py()], "data": [data]}, schema=schema)
-
-        held, n = [], 0
-        for batch in batches:
-            at = 0
-            while at < batch.num_rows:
-                take = min(LINES - n, batch.num_rows - at)
-                held.append(batch.slice(at, take))
-                n, at = n + take, at + take
-                if n == LINES:
-                    yield block(pa.Table.from_batches(held).combine_chunks())
-                    held, n, k = [], 0, k + 1
-        if n:
-            yield block(pa.Table.from_batches(held).combine_chunks())
+        context = TaskContext.get()
+        part = context.partitionId()
+        fs, path = _open(folder)
+        name = f"{path}/part-{part:06d}-{context.taskAttemptId()}.blocks"
+        out, at, rows = None, 0, []
+        try:
+            for held in _blocks(batches, size):
+                if out is None:
+                    fs.create_dir(path, recursive=True)
+                    out = fs.open_output_stream(name, compression=None)
+                keys = held.column("key")
+                data = packed(held)
+                out.write(data)
+                rows.append((part, len(rows), keys[0].as_py(), keys[-1].as_py(), name, at, len(data)))
+                at += len(data)
+        finally:
+            if out is not None:
+                out.close()
+        if rows:
+            yield pa.RecordBatch.from_pydict(dict(zip(schema.names, map(list, zip(*rows, strict=True)), strict=True)), schema=schema)
 
     # Ids and places break ties, so that many captures of one URL spread over partitions as well.
     order = ["key", "page_id", "file", "at"]
-    return materialize(spark, entries.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, _BLOCK), "capture-index")
+    lines, size = entries.count(), LINES
+    parts = max(1, -(-lines // PART_LINES), min(2 * spark.sparkContext.defaultParallelism, lines // LINES))
+    return materialize(spark, entries.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(run, _BLOCK), "capture-index")
+
+
+def _blocks(batches, size: int):
+    """Tables of ``size`` lines each, the last one of what is left."""
+    held, n = [], 0
+    for batch in batches:
+        at = 0
+        while at < batch.num_rows:
+            take = min(size - n, batch.num_rows - at)
+            held.append(batch.slice(at, take))
+            n, at = n + take, at + take
+            if n == size:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def packed(lines: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, lines.schema) as w:
+        w.write_table(lines)
+    return zlib.compress(sink.getvalue(), 6)
+
+
+def unpacked(data: bytes) -> pa.Table:
+    return pa.ipc.open_stream(zlib.decompress(data)).read_all()
 
 
 def _find(keys: list[str], directory: list[tuple[str, str]], load) -> list[pa.Table]:
@@ -261,7 +298,7 @@ def _find(keys: list[str], directory: list[tuple[str, str]], load) -> list[pa.Ta
 
 
 def lookup(spark: SparkSession, index: DataFrame, urls: DataFrame) -> DataFrame:
-    """All captures of each distinct URL of ``urls`` (url)."""
+    """All captures of each distinct URL of ``urls`` (url), by the index's directory."""
     ship(spark)
     bounds = index.groupBy("part").agg(F.min("first_key").alias("lo"), F.max("last_key").alias("hi")).orderBy("part").collect()
     # One row a range partition. Spark sorts strings by their UTF-8 bytes, as Python does by code points.
@@ -279,17 +316,34 @@ def lookup(spark: SparkSession, index: DataFrame, urls: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"key": keys, "part": pa.array(at, pa.int32())})
 
     def search(_, asked: pa.Table, blocks: pa.Table) -> pa.Table:
+        """One partition's keys, PART_LINES at most in the index, and its directory rows; block by block from its file."""
+        if not len(asked) or not len(blocks):
+            return _schema().empty_table()
         blocks = blocks.sort_by("block")
         directory = list(zip(blocks.column("first_key").to_pylist(), blocks.column("last_key").to_pylist(), strict=True))
+        places = list(zip(*(blocks.column(c).to_pylist() for c in ("file", "at", "length")), strict=True))
+        files: dict = {}
 
         def load(b: int) -> pa.Table:
-            return pa.ipc.open_stream(zlib.decompress(blocks.column("data")[b].as_py())).read_all()
+            name, at, length = places[b]
+            if name not in files:
+                files[name] = fs.open_input_file(name)
+            files[name].seek(at)
+            return unpacked(files[name].read(length))
 
-        found = _find(sorted(set(asked.column("key").to_pylist())), directory, load) if len(asked) and len(blocks) else []
+        fs, _ = _open(folder)
+        try:
+            found = _find(sorted(set(asked.column("key").to_pylist())), directory, load)
+        finally:
+            for f in files.values():
+                f.close()
         return pa.concat_tables([t.select(list(_COLUMNS)).cast(_schema()) for t in found]) if found else _schema().empty_table()
 
+    folder = fresh_path(spark, "any")  # names the file system; block files' paths are in the directory
     asked = urls.select("url").distinct().mapInArrow(route, "key string, part int").distinct()
-    return asked.groupBy("part").cogroup(index.groupBy("part")).applyInArrow(search, _ENTRY)
+    # As many tasks as partitions of the index, so that small ones aren't folded into one task.
+    n = max(1, len(parts))
+    return asked.repartition(n, "part").groupBy("part").cogroup(index.repartition(n, "part").groupBy("part")).applyInArrow(search, _ENTRY)
 
 
 def read(spark: SparkSession, folder: str, captures: DataFrame) -> DataFrame:
@@ -306,35 +360,36 @@ def read(spark: SparkSession, folder: str, captures: DataFrame) -> DataFrame:
             rows = []
             for file, at, length in zip(*(batch.column(c).to_pylist() for c in ("file", "at", "length")), strict=True):
                 if file != name:
+                    if f is not None:
+                        f.close()
                     name, f = file, fs.open_input_file(f"{path}/{file}")
                 f.seek(at)
                 fields, body = parse(zlib.decompress(f.read(length), 31))
-                _, _, payload = body.partition(b"\r\n\r\n")
+                head, _, payload = body.partition(b"\r\n\r\n")
                 digest = base64.b32decode(fields["warc-payload-digest"].removeprefix("sha1:")).hex()
                 page_id, refers_to = (int(v) if (v := fields.get(k)) is not None else None for k in ("x-page-id", "x-refers-to-page-id"))
-                size = None
-                if fields["warc-type"] == "response":
-                    size = len(payload)
-                    if hashlib.sha1(payload).hexdigest() != digest:
-                        raise ValueError(f"payload of page {page_id} has another digest")
+                # A revisit keeps the head of the reply that it stands for, and so the length of its payload.
+                size = int(_LENGTH.search(head)[1])
+                if fields["warc-type"] == "response" and (size != len(payload) or hashlib.sha1(payload).hexdigest() != digest):
+                    raise ValueError(f"payload of page {page_id} has another length or digest")
                 rows.append((page_id, size, digest, fields["warc-type"], refers_to))
             if rows:
                 yield pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*rows, strict=True)), strict=True)), schema=schema)
+        if f is not None:
+            f.close()
 
-    order = captures.repartition("file").sortWithinPartitions("file", "at")
-    got = materialize(spark, order.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"), "captures")
-    whole = got.where("record_type = 'response'")
-    # A revisit's payload is the one that it refers to.
-    held = whole.select(F.col("page_id").alias("id_"), F.col("payload_digest").alias("digest_"), F.col("payload_bytes").alias("bytes_")).distinct()
-    again = got.where("record_type = 'revisit'").join(held, (F.col("refers_to") == F.col("id_")) & (F.col("payload_digest") == F.col("digest_")))
-    again = again.select("page_id", F.col("bytes_").alias("payload_bytes"), F.col("digest_").alias("payload_digest"), "record_type", "refers_to")
-    return whole.unionByName(again)
+    # Neighbours of a file are read together, SLICE bytes at a time, by as many tasks as there are slices.
+    part = F.floor(F.col("at") / SLICE)
+    captures = materialize(spark, captures, "found")
+    n = max(1, captures.agg(F.sum("length")).first()[0] or 0)
+    order = captures.repartition(-(-n // SLICE), "file", part).sortWithinPartitions("file", "at")
+    return order.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def archive(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """Writes, indexes and reads back every row of ``pages`` (page_id, url, html)."""
     folder, files = write(spark, pages)
-    index = build_index(spark, scan(files, folder))
+    index = build_index(spark, materialize(spark, scan(files, folder), "entries"))
     return read(spark, folder, lookup(spark, index, pages))
 
 

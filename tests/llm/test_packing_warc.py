@@ -1,15 +1,19 @@
 import hashlib
+import os
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quern.llm import packing, warc
+from quern.llm.common import materialize
 
 
 @pytest.fixture(scope="module")
@@ -110,16 +114,64 @@ def test_archive(spark):
     assert warc.archive(spark, pages.limit(0)).count() == 0
 
 
-def test_lookup_reads_blocks_of_many_captures(spark, monkeypatch):
+def test_lookup_reads_only_the_blocks_that_the_directory_names(spark, monkeypatch):
     monkeypatch.setattr(warc, "LINES", 7)
     rows = [(k, f"http://h{k % 5}.example/p{k % 20}", f"page {k}") for k in range(200)] + [(1000 + k, "http://hot.example/", "hot") for k in range(60)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
     folder, files = warc.write(spark, pages)
-    index = warc.build_index(spark, warc.scan(files, folder))
+    entries = warc.scan(files, folder).collect()
+    index = warc.build_index(spark, spark.createDataFrame(entries, warc._ENTRY))
     asked = spark.createDataFrame([("http://hot.example/",), ("http://h3.example/p3",), ("http://nowhere.example/",)], "url string")
     got = warc.lookup(spark, index, asked)
     assert sorted(r["page_id"] for r in got.collect()) == sorted([*range(1000, 1060), *(k for k, u, _ in rows if u == "http://h3.example/p3")])
     assert warc.read(spark, folder, got).count() == 70
+    # Blocks that hold none of the keys may lose their bytes, and nothing is missed.
+    directory = index.collect()
+    keys = {warc.url_key(r["url"]) for r in asked.collect()}
+    needed = [r for r in directory if any(r["first_key"] <= k <= r["last_key"] for k in keys)]
+    assert sum(r["length"] for r in directory) == sum(os.path.getsize(f) for f in {r["file"] for r in directory})
+    for r in directory:
+        if r not in needed:
+            with open(r["file"], "r+b") as f:
+                f.seek(r["at"])
+                f.write(b"\0" * r["length"])
+    assert 60 // 7 <= len(needed) < len(directory) // 2 and warc.lookup(spark, index, asked).count() == 70
+    with pytest.raises(Exception, match="while decompressing"):
+        warc.lookup(spark, index, pages).count()
+
+
+def test_binary_search_opens_blocks_once():
+    lines = sorted(f"k{k:04d}" for k in range(1000) for _ in range(1 + k % 3))
+    blocks = [pa.table({"key": lines[at : at + 50]}) for at in range(0, len(lines), 50)]
+    opened = []
+    keys = ["a", "k0000", "k0003", "k0500", "k0999", "z"]
+    found = warc._find(keys, [(b["key"][0].as_py(), b["key"][-1].as_py()) for b in blocks], lambda b: opened.append(b) or blocks[b])
+    assert sorted(k for t in found for k in t["key"].to_pylist()) == sorted(x for x in lines if x in keys)
+    assert len(opened) == len(set(opened)) <= 4
+
+
+def test_many_files_are_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(warc, "ROLL_BYTES", 2000)
+    monkeypatch.setattr(warc, "SLICE", 4000)
+    rng = np.random.default_rng(5)
+    rows = [(k, f"http://h.example/{k}", rng.bytes(900).hex()) for k in range(150)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(6)
+    folder, files = warc.write(spark, pages)
+    assert files.count() > 50
+    tasks = warc.scan(files, folder).groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert len(tasks) > 20 and max(r["count"] for r in tasks) < 30
+    index = warc.build_index(spark, materialize(spark, warc.scan(files, folder), "entries"))
+    read = warc.read(spark, folder, warc.lookup(spark, index, pages))
+    assert read.rdd.getNumPartitions() > 20 and read.count() == 150
+
+
+def test_revisits_tell_what_they_stand_for(spark):
+    pages = spark.createDataFrame([(k, "http://a.example/", "same " * 400) for k in range(3000)], "page_id long, url string, html string").repartition(6)
+    got = warc.archive(spark, pages)
+    assert "Join" not in got._jdf.queryExecution().toString()
+    rows = got.collect()
+    assert {(r["payload_bytes"], r["payload_digest"]) for r in rows} == {(2000, hashlib.sha1(("same " * 400).encode()).hexdigest())}
+    assert Counter((r["record_type"], r["refers_to"]) for r in rows) == {("response", None): 1, ("revisit", 2999): 2999}
 
 
 def test_url_keys():
