@@ -14,13 +14,15 @@ is at least 80 times the union. The join is exact:
 3. Components of these pairs are the row blocks: no link leaves one. A third pass fetches the sets of their members
    only, and each block is multiplied in tiles of rows and column stripes: overlaps accumulate in a dense tile, a pair is
    given up once what is left of its rows can't reach the bound, and rows that are connected already are skipped.
-   A component too large for a task is cut by hash and by size class, and every two pieces that may hold a link meet in a
-   task of their own.
+   A component too large for a task is cut by size class and hash, and a few of its members, the pivots of their size
+   class, go to every piece: near copies of one text are connected by them, with each other member in one task only. What
+   that leaves unconnected is an outsider; only outsiders are copied, to every piece that may hold a link to one of them.
 4. Components of the links name the result.
 
-Nothing is capped: the limits choose between ways that give the same links. Defined results: a null or empty text,
-or one without words, has size 0 and is its own component; a null id counts as the smallest; rows that share an id
-are one node; other columns are ignored; an empty table gives an empty result.
+Nothing is capped: the limits choose between ways that give the same links. A row is known by its place, the file and
+the number in it, so ids may be of any type, missing or repeated. Defined results: a null or empty text, or one without
+words, has size 0 and is its own component; a null id counts as the smallest; rows that share an id are one node;
+other columns, whatever their names, are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,8 +33,9 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quern.llm.bpe import Remembered
 from quern.llm.common import materialize, remember, ship, table
@@ -51,7 +54,8 @@ BLOOM_BITS = 1 << 26
 TASK_TOKENS = 1_500_000
 TASK_ROWS = 2048
 TILE, STRIPE = 256, 4096
-NULL_ID = -(1 << 63)
+#: Pivots of a size class of a component that is cut, about; fewer of long texts.
+PIVOTS = 128
 
 _U = np.uint64
 _word = Remembered(xxhash.xxh64_intdigest, 100_000)
@@ -138,26 +142,40 @@ def _texts(batches):
             yield from zip(*(c.to_pylist() for c in part.columns), strict=True)
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    """rid, text and ``row``, a hash of all columns: rows with one id are told apart."""
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("rid"), "text", F.xxhash64(*docs.columns).alias("row"))
+def _placed(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, Column, Column]:
+    """``docs`` as a Parquet table, and for each row its place: a hash of the file's path, and the row's number in it.
 
+    A plain Parquet scan is used as it is, and anything else is written first."""
+    plan = docs._jdf.queryExecution().analyzed()
+    relation = plan.relation() if plan.getClass().getSimpleName() == "LogicalRelation" else None
+    if relation is None or relation.getClass().getSimpleName() != "HadoopFsRelation" or "Parquet" not in relation.fileFormat().toString():
+        docs = materialize(spark, docs, "rows")
+    held = docs.metadataColumn("_metadata")
+    return docs, F.xxhash64(held["file_path"]), held["row_index"]
 
-_FIRST = "rid long, row long, n long, k1 long, k2 long, bits binary, block int, tokens binary"
+
+def _rows(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """id, text, file, at."""
+    docs, file, at = _placed(spark, docs)
+    return docs.select(F.col("doc_id").alias("id"), "text", file.alias("file"), at.alias("at"))
+
+
+_NUMBERS = ("file", "at", "n", "k1", "k2")
 
 
 def _first_pass(docs: DataFrame, blocks: int) -> DataFrame:
     """Rows of documents (class and size), and rows of first shingles by column block."""
-    schema = pa.schema([("rid", pa.int64()), ("row", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("bits", pa.binary()), ("block", pa.int32()), ("tokens", pa.binary())])
+    kind = docs.schema["id"].dataType
+    schema = pa.schema([("id", to_arrow_type(kind)), *((c, pa.int64()) for c in _NUMBERS), ("bits", pa.binary()), ("block", pa.int32()), ("tokens", pa.binary())])
 
     def run(batches):
         remember("jaccard", _word.clear)
         seen: set[int] = set()
         dealt = _Blocks(blocks, ("tokens",))
-        out: dict[str, list] = {k: [] for k in ("rid", "row", "n", "k1", "k2", "bits")}
+        out: dict[str, list] = {k: [] for k in ("id", *_NUMBERS, "bits")}
 
         def documents():
-            n = len(out["rid"])
+            n = len(out["id"])
             return pa.RecordBatch.from_pydict(out | {"block": [None] * n, "tokens": [None] * n}, schema=schema)
 
         def firsts():
@@ -165,28 +183,28 @@ def _first_pass(docs: DataFrame, blocks: int) -> DataFrame:
             none = [None] * len(got["block"])
             return pa.RecordBatch.from_pydict({k: none for k in out} | got, schema=schema)
 
-        for rid, text, row in _texts(batches):
+        for id_, text, file, at in _texts(batches):
             h = shingles(text or "")
             n = len(h)
             k1, k2 = (int.from_bytes(d, "little", signed=True) for d in _halves(h)) if n else (0, 0)
-            bits = parity(h)
-            for name, v in (("rid", rid), ("row", row), ("n", n), ("k1", k1), ("k2", k2), ("bits", bits)):
+            for name, v in zip(out, (id_, file, at, n, k1, k2, parity(h)), strict=True):
                 out[name].append(v)
             if n and k1 not in seen:
                 seen.add(k1)
                 dealt.add(h[: prefix_length(n)])
                 if dealt.n >= FLUSH:
                     yield firsts()
-            if len(out["rid"]) >= 4096:
+            if len(out["id"]) >= 4096:
                 yield documents()
                 for v in out.values():
                     v.clear()
-        if out["rid"]:
+        if out["id"]:
             yield documents()
         if dealt.n:
             yield firsts()
 
-    return _rows(docs).mapInArrow(run, _FIRST)
+    names = ", ".join(f"{c} long" for c in _NUMBERS)
+    return docs.mapInArrow(run, f"id {kind.simpleString()}, {names}, bits binary, block int, tokens binary")
 
 
 def _halves(h: np.ndarray) -> tuple[bytes, bytes]:
@@ -223,7 +241,7 @@ def _second_pass(docs: DataFrame, blocks: int, heavy, weight) -> DataFrame:
         heavy, weight = held.value
         seen: set[int] = set()
         dealt = _Blocks(blocks, ("tokens", "keys", "sizes", "places"))
-        for _, text, _ in _texts(batches):
+        for _, text, _, _ in _texts(batches):
             h = shingles(text or "")
             n = len(h)
             if not n:
@@ -239,7 +257,7 @@ def _second_pass(docs: DataFrame, blocks: int, heavy, weight) -> DataFrame:
         if dealt.n:
             yield pa.RecordBatch.from_pydict(dealt.flush(), schema=schema)
 
-    return _rows(docs).mapInArrow(run, _POSTINGS)
+    return docs.mapInArrow(run, _POSTINGS)
 
 
 def _pairs(blob: pd.DataFrame) -> pd.DataFrame:
@@ -303,10 +321,10 @@ class _Forest:
         return np.array([self.find(x) for x in at.tolist()])
 
 
-def multiply(sets: list[np.ndarray], side: np.ndarray, crossed: bool) -> list[tuple[int, int]]:
+def multiply(sets: list[np.ndarray], side: np.ndarray, crossed: bool, label: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Edges that connect the linked sets: of all pairs, or (crossed) of pairs with one set on each side.
 
-    Rows are taken by size, in tiles; a tile pair whose sizes can't link is skipped, and so are connected rows.
+    Sets of one label are connected from the start. Rows are taken by size, in tiles; a tile pair whose sizes can't link is skipped, and so are connected rows.
     """
     order = np.argsort([len(s) for s in sets], kind="stable")
     size = np.array([len(sets[i]) for i in order], np.int64)
@@ -322,6 +340,10 @@ def multiply(sets: list[np.ndarray], side: np.ndarray, crossed: bool) -> list[tu
     begin = np.searchsorted(row, np.arange(len(order) + 1))
     side = side[order]
     forest = _Forest(len(order))
+    if label is not None:
+        first: dict[int, int] = {}
+        for k, x in enumerate(label[order].tolist()):
+            forest.join(first.setdefault(x, k), k)
     stripes = np.arange(0, width, STRIPE)
 
     def dense(lo: int, hi: int, c0: int) -> np.ndarray:
@@ -369,90 +391,143 @@ def _links(blob: pd.DataFrame) -> pd.DataFrame:
         crossed = bool(task["crossed"].iloc[0])
         key = task["k1"].to_numpy()
         sets = [np.frombuffer(s, np.uint64) for s in task["tokens"]]
-        for i, j in multiply(sets, task["side"].to_numpy(), crossed):
+        for i, j in multiply(sets, task["side"].to_numpy(), crossed, task["label"].to_numpy()):
             a.append(key[i])
             b.append(key[j])
     return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
 
-def _bloom_place(rid: np.ndarray) -> np.ndarray:
-    return _mix(rid.view(np.uint64)) & _U(BLOOM_BITS - 1)
+def _bloom_place(file: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return _mix(file.view(np.uint64) ^ _mix(at.view(np.uint64))) & _U(BLOOM_BITS - 1)
 
 
 def _bloom(members: DataFrame) -> np.ndarray:
-    """Bits of a bounded filter of ids: BLOOM_BITS, whatever the number of ids. A full one lets more pass, no fewer."""
+    """Bits of a bounded filter of rows: BLOOM_BITS, whatever their number. A full one lets more pass, no fewer."""
 
     def run(batches):
         for batch in batches:
-            at = _bloom_place(batch.column(0).to_numpy())
+            at = _bloom_place(batch.column(0).to_numpy(), batch.column(1).to_numpy())
             yield pa.RecordBatch.from_pydict({"word": (at >> _U(6)).astype(np.int64), "bits": _signed(_U(1) << (at & _U(63)))})
 
-    words = members.select("rid").mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
+    words = members.select("file", "at").mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
     out = np.zeros(BLOOM_BITS >> 6, np.uint64)
     out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
     return out
 
 
-def _third_pass(docs: DataFrame, bloom: np.ndarray) -> DataFrame:
-    """rid, k1 and tokens of the documents that may stand for a class with candidates."""
-    schema = pa.schema([("rid", pa.int64()), ("k1", pa.int64()), ("tokens", pa.binary())])
-    held = docs.sparkSession.sparkContext.broadcast(bloom)
+def _third_pass(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """file, at and tokens of the documents that may stand for one of the classes in ``members``."""
+    schema = pa.schema([("file", pa.int64()), ("at", pa.int64()), ("tokens", pa.binary())])
+    held = docs.sparkSession.sparkContext.broadcast(_bloom(members))
 
     def run(batches):
         remember("jaccard", _word.clear)
         bloom = held.value
         for batch in batches:
-            rid = batch.column(0).to_numpy()
-            at = _bloom_place(rid)
+            file, row = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            at = _bloom_place(file, row)
             may = np.flatnonzero((bloom[at >> _U(6)] >> (at & _U(63))) & _U(1))
             for lo in range(0, len(may), 512):
                 own = may[lo : lo + 512]
-                sets = [shingles(t or "") for t in batch.column(1).take(pa.array(own)).to_pylist()]
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "rid": rid[own],
-                        "k1": [int.from_bytes(_halves(s)[0], "little", signed=True) if len(s) else 0 for s in sets],
-                        "tokens": [s.tobytes() for s in sets],
-                    },
-                    schema=schema,
-                )
+                sets = [shingles(t or "").tobytes() for t in batch.column(1).take(pa.array(own)).to_pylist()]
+                yield pa.RecordBatch.from_pydict({"file": file[own], "at": row[own], "tokens": sets}, schema=schema)
 
-    return _rows(docs).mapInArrow(run, "rid long, k1 long, tokens binary")
+    return docs.mapInArrow(run, "file long, at long, tokens binary")
 
 
-def _tasks(members: DataFrame) -> DataFrame:
-    """rid, k1, task, side, crossed: where each member of a component goes.
+_TASK = ("file", "at", "k1", "label", "task", "side", "crossed")
 
-    A component that fits goes to one task. A larger one is cut into R parts by hash, and by size class, where
-    sizes of linked sets are in the same or in neighbouring classes; two pieces meet in one task.
-    """
-    # A little over the ratio of two linked sizes, so that rounding can't part them by two classes.
-    members = members.withColumn("class", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / PERCENT * 1.0001))).cast("int"))
+
+def _parts(tokens: str, rows: str) -> Column:
+    """Pieces of half a task's size at most, by size and by rows."""
+    return F.greatest(F.ceil(F.col(tokens) * 2 / TASK_TOKENS), F.ceil(F.col(rows) * 2 / TASK_ROWS)).cast("int")
+
+
+def _sized(members: DataFrame) -> DataFrame:
+    """``members`` with class: sizes of linked sets are in the same or in neighbouring classes.
+
+    A little over the ratio of two linked sizes, so that rounding can't part them by two classes."""
+    return members.withColumn("class", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / PERCENT * 1.0001))).cast("int"))
+
+
+def _first_tasks(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """_TASK of each member, and the members of components that are cut.
+
+    A component that fits goes to one task. Of a larger one, each member goes to one piece of its size class, and pivots
+    go to all pieces of their own and of the neighbouring classes."""
     totals = members.groupBy("component", "class").agg(F.sum("n").alias("tokens"), F.count("*").alias("rows"))
-    totals = totals.groupBy("component").agg(*[f(c).alias(f"{g}_{c}") for c in ("tokens", "rows") for g, f in (("all", F.sum), ("most", F.max))])
-    parts = F.greatest(F.ceil(F.col("most_tokens") * 2 / TASK_TOKENS), F.ceil(F.col("most_rows") * 2 / TASK_ROWS)).cast("int")
-    fits = (F.col("all_tokens") <= TASK_TOKENS) & (F.col("all_rows") <= TASK_ROWS)
-    # 0 parts: the component is one piece, which classes don't cut either.
-    rows = members.join(totals.select("component", F.when(fits, 0).otherwise(parts).alias("parts")), "component")
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("k1"), F.greatest("parts", F.lit(1))).cast("int"))
-    whole = rows.where("parts = 0").select("rid", "k1", F.xxhash64("component").alias("task"), F.lit(0).alias("side"), F.lit(False).alias("crossed"))
-    others = F.sequence(F.lit(0), F.col("parts") - 1)
-    cut = rows.where("parts > 0").select("rid", "k1", "component", "part", "class", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))).alias("step"), others.alias("others"))
-    cut = cut.select("*", F.explode("others").alias("other"))
-    mine, theirs = F.struct("class", "part"), F.struct((F.col("class") + F.col("step")).alias("class"), F.col("other").alias("part"))
-    low, high = F.when(mine <= theirs, mine).otherwise(theirs), F.when(mine <= theirs, theirs).otherwise(mine)
-    cut = cut.select("rid", "k1", F.xxhash64("component", low, high).alias("task"), F.when(mine <= theirs, 0).otherwise(1).alias("side"), (mine != theirs).alias("crossed"))
-    return whole.unionByName(cut)
+    whole = totals.groupBy("component").agg(F.sum("tokens").alias("all_tokens"), F.sum("rows").alias("all_rows"))
+    whole = whole.select("component", ((F.col("all_tokens") <= TASK_TOKENS) & (F.col("all_rows") <= TASK_ROWS)).alias("fits"))
+    rows = members.join(whole, "component")
+    none = F.lit(0).alias("side"), F.lit(False).alias("crossed")
+    fitting = rows.where("fits").select("file", "at", "k1", F.col("k1").alias("label"), F.xxhash64("component").alias("task"), *none)
+    cut = rows.where("not fits").drop("fits")
+    pieces = totals.withColumn("parts", _parts("tokens", "rows"))
+    # As many pivots as keep to a quarter of a task, about, whatever the texts' lengths.
+    few = F.greatest(F.lit(4), F.least(F.lit(PIVOTS), F.floor(F.col("rows") * TASK_TOKENS / F.col("tokens") / 16)))
+    pieces = pieces.withColumn("pivots", few)
+    met = cut.join(pieces.select("component", "class", "parts", "rows", "pivots"), ["component", "class"])
+    own = met.select("file", "at", "k1", F.col("k1").alias("label"), F.xxhash64("component", "class", F.pmod(F.xxhash64("k1"), "parts").cast("int")).alias("task"), *none)
+    chosen = met.where(F.pmod(F.xxhash64("k1", F.lit("pivot")), "rows") < F.col("pivots"))
+    chosen = chosen.select("file", "at", "k1", "component", F.explode(F.array(*[F.col("class") + d for d in (-1, 0, 1)])).alias("class"))
+    chosen = chosen.join(pieces.select("component", "class", "parts"), ["component", "class"])
+    chosen = chosen.select("file", "at", "k1", "component", "class", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    pivots = chosen.select("file", "at", "k1", F.col("k1").alias("label"), F.xxhash64("component", "class", "part").alias("task"), *none)
+    return fitting.unionByName(own).unionByName(pivots).distinct(), cut
+
+
+def _second_tasks(cut: DataFrame) -> DataFrame:
+    """_TASK for the pairs of unlike labels that are left in components that were cut (with label).
+
+    The label with the most rows is the core. Outsiders meet each other and the core, piece by piece; the core's rows never
+    meet each other, and are copied as often only as there are pieces of outsiders."""
+    sizes = cut.groupBy("component", "label").agg(F.count("*").alias("held"))
+    core = sizes.groupBy("component").agg(F.max(F.struct("held", "label")).alias("most"), F.count("*").alias("labels"))
+    rows = cut.join(core.where("labels > 1").select("component", F.col("most.label").alias("core")), "component")
+    rows = rows.withColumn("out", F.col("label") != F.col("core"))
+    counts = rows.groupBy("component", "class", "out").agg(F.sum("n").alias("tokens"), F.count("*").alias("rows"))
+    counts = counts.groupBy("component", "out").agg(F.max("tokens").alias("tokens"), F.max("rows").alias("rows")).withColumn("parts", _parts("tokens", "rows"))
+    parts = counts.groupBy("component").agg(*[F.coalesce(F.max(F.when(F.col("out") == o, F.col("parts"))), F.lit(0)).alias(c) for c, o in (("out_parts", True), ("core_parts", False))])
+    rows = rows.join(parts, "component")
+    own = F.pmod(F.xxhash64("k1"), F.when(F.col("out"), F.col("out_parts")).otherwise(F.col("core_parts"))).cast("int")
+
+    def piece(size: Column, out: Column, part: Column) -> Column:
+        return F.named_struct(F.lit("class"), size, F.lit("out"), out, F.lit("part"), part)
+
+
+    # A component with more than one label has rows of both kinds. Pieces of the core go by -1, -2 and so on.
+    outsiders = F.sequence(F.lit(0), F.col("out_parts") - 1)
+    met = F.when(F.col("out"), F.concat(outsiders, F.sequence(-F.col("core_parts"), F.lit(-1)))).otherwise(outsiders)
+    rows = rows.select("file", "at", "k1", "label", "component", "class", piece(F.col("class"), F.col("out"), own).alias("mine"), F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))).alias("step"), met.alias("met"))
+    rows = rows.select("*", F.explode("met").alias("other"))
+    part = F.when(F.col("other") >= 0, F.col("other")).otherwise(-1 - F.col("other")).cast("int")
+    theirs = piece(F.col("class") + F.col("step"), F.col("other") >= 0, part)
+    rows = rows.withColumn("theirs", theirs)
+    low, high = F.least("mine", "theirs"), F.greatest("mine", "theirs")
+    side = F.when(F.col("mine") <= F.col("theirs"), 0).otherwise(1)
+    return rows.select("file", "at", "k1", "label", F.xxhash64("component", low, high).alias("task"), side.alias("side"), (F.col("mine") != F.col("theirs")).alias("crossed"))
+
+
+def _product(spark: SparkSession, docs: DataFrame, wanted: DataFrame, members: DataFrame) -> DataFrame:
+    """Edges (a, b) of the tasks' links, as a written table."""
+    sets = _third_pass(docs, members)
+    slots = max(1, int(members.agg(F.sum("n")).first()[0] or 0) // (TASK_TOKENS // 4))
+    tasks = wanted.join(sets, ["file", "at"]).withColumn("slot", F.pmod("task", F.lit(slots)))
+    links = tasks.select("slot", "task", "k1", "label", "side", "crossed", "tokens").groupBy("slot").applyInPandas(_links, "a long, b long")
+    return materialize(spark, links, "links")
 
 
 def _linked(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows (rid, row, n, k1, k2), classes (k1, k2, n, rid and the row that stands for it) and links of classes by k1."""
+    """Rows (id, file, at, n, k1, k2), classes (k1, k2, n, id, file and at of the row that stands for it) and links of classes by k1.
+
+    ``docs``: id, text, file, at."""
     ship(spark)
     blocks = max(MIN_BLOCKS, docs.count() // ROWS_PER_BLOCK)
     first = materialize(spark, _first_pass(docs, blocks), "shingles")
-    rows = first.where("block is null").select("rid", "row", "n", "k1", "k2", "bits")
-    classes = rows.where("n > 0").groupBy("k1", "k2").agg(F.min(F.struct("rid", "row")).alias("least"), F.first("n").alias("n"), F.first("bits").alias("bits"))
-    classes = materialize(spark, classes.select("k1", "k2", "least.rid", "least.row", "n", "bits"), "classes")
+    rows = first.where("block is null").select("id", *_NUMBERS, "bits")
+    least = F.min(F.struct("id", "file", "at")).alias("least")
+    classes = rows.where("n > 0").groupBy("k1", "k2").agg(least, F.first("n").alias("n"), F.first("bits").alias("bits"))
+    classes = materialize(spark, classes.select("k1", "k2", "least.id", "least.file", "least.at", "n", "bits"), "classes")
     frequent = first.where("block is not null").select("block", "tokens").groupBy("block").applyInPandas(_frequent, "token long, held long")
     heavy = frequent.orderBy(F.desc("held"), "token").limit(HEAVY_MAX).toPandas()
     token, held = heavy["token"].to_numpy(np.int64).view(np.uint64), heavy["held"].to_numpy(np.int64)
@@ -465,48 +540,62 @@ def _linked(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame,
     near = met.mapInArrow(_near, "a long, b long")
 
     groups = components(spark, near)
-    members = classes.join(groups.toDF("k1", "component"), "k1").select("rid", "k1", "n", "component")
-    members = materialize(spark, members, "members")
-    sets = _third_pass(docs, _bloom(members)).dropDuplicates(["rid", "k1"])
-    wanted = _tasks(members)
-    slots = max(1, int(members.agg(F.sum("n")).first()[0] or 0) // (TASK_TOKENS // 4))
-    tasks = wanted.join(sets, ["rid", "k1"]).withColumn("slot", F.pmod("task", F.lit(slots)))
-    links = tasks.select("slot", "task", "k1", "side", "crossed", "tokens").groupBy("slot").applyInPandas(_links, "a long, b long")
+    members = classes.join(groups.toDF("k1", "component"), "k1").select("file", "at", "k1", "n", "component")
+    members = materialize(spark, _sized(members), "members")
+    wanted, cut = _first_tasks(members)
+    links = _product(spark, docs, wanted, members)
+    cut = materialize(spark, cut, "cut")
+    if not cut.isEmpty():
+        labels = components(spark, links).toDF("k1", "label")
+        cut = cut.join(labels, "k1", "left").withColumn("label", F.coalesce("label", "k1"))
+        wanted = materialize(spark, _second_tasks(cut), "unlike")
+        left = members.join(wanted.select("k1").distinct(), "k1", "left_semi")
+        links = links.unionByName(_product(spark, docs, wanted, left))
     return rows.drop("bits"), classes.drop("bits"), links
 
 
 def survivors(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """rid and row of one row of each group of linked texts, the least; ids play no part in what is a group.
+    """file and at of one row of each group of linked texts, the one with the least id; ids play no part in what is a group.
 
-    Rows without words are a group only with rows that equal them in all columns."""
+    ``docs``: id, text, file, at. Rows without words link with nothing, so all of them stay."""
     rows, classes, links = _linked(spark, docs)
     named = classes.join(components(spark, links).toDF("k1", "component"), "k1", "left")
     # A class without links is a group by itself, under its whole key.
     group = F.coalesce("component", "k1").alias("g1"), F.when(F.col("component").isNull(), F.col("k2")).alias("g2")
-    kept = named.groupBy(*group).agg(F.min(F.struct("rid", "row")).alias("least")).select("least.rid", "least.row")
-    return kept.unionByName(rows.where("n = 0").select("rid", "row").distinct())
+    kept = named.groupBy(*group).agg(F.min(F.struct("id", "file", "at")).alias("least")).select("least.file", "least.at")
+    return kept.unionByName(rows.where("n = 0").select("file", "at"))
+
+
+def deduplicate(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """One row of each group of linked texts, with all columns of ``docs``; what links with nothing stays.
+
+    A group's row is the one with the least id, null before all, then by place. Equal or missing ids alone drop nothing;
+    rows that are equal in all columns and have words are one group; null texts and texts without words stay, repeated
+    ones too; an empty table gives an empty result; other columns may have any names."""
+    docs, file, at = _placed(spark, docs)
+    kept = materialize(spark, survivors(spark, docs.select(F.col("doc_id").alias("id"), "text", file.alias("file"), at.alias("at"))), "groups")
+    names = []
+    while len(names) < 4:
+        names.append(next(n for k in range(len(docs.columns) + 8) if (n := f"place_{k}") not in {c.lower() for c in docs.columns} | set(names)))
+    # The same plan at every size: these keys grow with the input, so they are never broadcast, and texts aren't sorted.
+    kept = kept.select(F.col("file").alias(names[2]), F.col("at").alias(names[3])).hint("shuffle_hash")
+    left = docs.select("*", file.alias(names[0]), at.alias(names[1]))
+    return left.join(kept, (F.col(names[0]) == F.col(names[2])) & (F.col(names[1]) == F.col(names[3])), "left_semi").drop(*names[:2])
 
 
 def join(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs`` (doc_id, text)."""
-    rows, classes, links = _linked(spark, docs.select("doc_id", "text"))
+    rows, classes, links = _linked(spark, _rows(spark, docs))
     # Classes that share an id are one node.
-    held = rows.where("n > 0").select("rid", "k1")
-    hubs = held.groupBy("rid").agg(F.min("k1").alias("hub"), F.max("k1").alias("far")).where("hub < far").select("rid", "hub")
-    same = held.join(hubs, "rid").where("k1 != hub").select(F.col("k1").alias("a"), F.col("hub").alias("b")).distinct()
-    named = classes.join(components(spark, links.unionByName(same)).toDF("k1", "group"), "k1", "left").select("k1", "k2", "rid", "group")
-    least = named.where("group is not null").groupBy("group").agg(F.min("rid").alias("component"))
-    named = named.join(least, "group", "left").select("k1", "k2", F.coalesce("component", "rid").alias("component"))
+    held = rows.where("n > 0").select("id", "k1")
+    hubs = held.groupBy("id").agg(F.min("k1").alias("hub"), F.max("k1").alias("far")).where("hub < far").select(F.col("id").alias("hub_id"), "hub")
+    same = held.join(hubs, F.col("id").eqNullSafe(F.col("hub_id"))).where("k1 != hub").select(F.col("k1").alias("a"), F.col("hub").alias("b")).distinct()
+    named = classes.join(components(spark, links.unionByName(same)).toDF("k1", "group"), "k1", "left").select("k1", "k2", F.struct("id").alias("own"), "group")
+    least = named.where("group is not null").groupBy("group").agg(F.min("own").alias("least"))
+    # In structs a missing id is a value, smaller than all others, and no gap to fill.
+    named = named.join(least, "group", "left").select("k1", "k2", F.coalesce("least", "own").alias("component"))
     out = rows.join(named, ["k1", "k2"], "left")
-
-    def back(c):
-        return F.nullif(c, F.lit(NULL_ID))
-
-    return out.select(
-        back(F.col("rid")).alias("doc_id"),
-        F.col("n").alias("n_shingles"),
-        back(F.when(F.col("n") == 0, F.col("rid")).otherwise(F.col("component"))).alias("component_id"),
-    )
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component.id")).alias("component_id"))
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,6 @@
+import datetime
 import random
+from decimal import Decimal
 
 import numpy as np
 import pytest
@@ -26,16 +28,16 @@ def brute(rows):
         for j in range(i):
             if rows[i][0] == rows[j][0] and sets[i] and sets[j] or sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
                 up[find(i)] = find(j)
-    key = [jaccard.NULL_ID if r[0] is None else r[0] for r in rows]
+    key = [(r[0] is not None, 0 if r[0] is None else r[0]) for r in rows]  # a missing id is the smallest
     least = {}
     for i in range(len(rows)):
         least[find(i)] = min(key[i], least.get(find(i), key[i]))
     out = [least[find(i)] if sets[i] else key[i] for i in range(len(rows))]
-    return sorted(((r[0], len(s), None if c == jaccard.NULL_ID else c) for r, s, c in zip(rows, sets, out, strict=True)), key=repr)
+    return sorted(((r[0], len(s), c[1] if c[0] else None) for r, s, c in zip(rows, sets, out, strict=True)), key=repr)
 
 
-def found(spark, rows):
-    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+def found(spark, rows, kind="long"):
+    docs = spark.createDataFrame(rows, f"doc_id {kind}, text string").repartition(3)
     return sorted((tuple(r) for r in jaccard.join(spark, docs).collect()), key=repr)
 
 
@@ -66,16 +68,62 @@ def test_near_copies_and_shared_passages(spark):
     assert found(spark, rows) == brute(rows)
 
 
-@pytest.mark.parametrize("limit", ["tasks", "pairs"])
+@pytest.mark.parametrize("limit", ["tasks", "outsiders", "pairs"])
 def test_limits_choose_ways_not_results(spark, monkeypatch, limit):
     rows = near_copies(2, 60, 50, 2)
-    if limit == "tasks":
+    if limit == "outsiders":
+        # Chains of texts, of which few are linked to a pivot, and a passage in all of them that brings them together.
+        words = [f"s{k}" for k in range(120)]
+        rows = [(100 * c + k, " ".join(f"c{c}{w}" if j < k * 3 else w for j, w in enumerate(words))) for c in range(5) for k in range(30)]
+        monkeypatch.setattr(jaccard, "PAIRED", 4)
+        monkeypatch.setattr(jaccard, "HEAVY_MAX", 1)
+        monkeypatch.setattr(jaccard, "PIVOTS", 4)
+        calls = []
+        real = jaccard._second_tasks
+        monkeypatch.setattr(jaccard, "_second_tasks", lambda cut: calls.append(1) or real(cut))
+    if limit != "pairs":
         monkeypatch.setattr(jaccard, "TASK_ROWS", 20)
         monkeypatch.setattr(jaccard, "TILE", 16)
         monkeypatch.setattr(jaccard, "STRIPE", 64)
     else:
         monkeypatch.setattr(jaccard, "HEAVY_MAX", 5)
     assert found(spark, rows) == brute(rows)
+    assert limit != "outsiders" or calls
+
+
+@pytest.mark.parametrize("kind, name", [("string", str), ("int", int), ("decimal(20,2)", Decimal), ("date", lambda k: datetime.date(2000, 1, 1) + datetime.timedelta(k))])
+def test_ids_of_any_type(spark, kind, name):
+    rows = [(None if k == 5 else name(k % 9), t) for k, t in near_copies(3, 6, 40, 4)]
+    assert found(spark, rows, kind) == brute(rows)
+
+
+def test_a_component_of_50_000_rows_is_not_copied(spark, monkeypatch):
+    """Near copies of one text: what goes to tasks is little more than one set for each of them."""
+    rng = random.Random(7)
+    base = [f"w{k}" for k in range(60)]
+    rows = []
+    for k in range(50_000):
+        words = list(base)
+        words[rng.randrange(60)] = f"x{k}"
+        rows.append((k, " ".join(words)))
+    sent = []
+    real = jaccard._product
+
+    def product(spark, docs, wanted, members):
+        sent.append((wanted.count(), members.count()))
+        return real(spark, docs, wanted, members)
+
+    monkeypatch.setattr(jaccard, "_product", product)
+    got = found(spark, rows)
+    assert len(got) == 50_000 and {c for _, _, c in got} == {0}
+    assert sent[0][1] == 50_000 and sum(n for n, _ in sent) < 100_000, sent
+
+
+def test_a_stars_centre_is_joined_to_written_minima(spark):
+    """Both sides of each join are plain tables, so that the rows of one key may be split."""
+    edges = spark.createDataFrame([(0, k) for k in range(1, 20_000)] + [(k, k + 50_000) for k in range(1, 100)], "a long, b long")
+    got = components(spark, edges)
+    assert {r["component"] for r in got.collect()} == {0} and got.count() == 20_099
 
 
 def test_bitmaps_never_refuse_a_link():
@@ -113,6 +161,6 @@ def test_sets_of_one_task_are_told_apart_by_class():
 
     a, b = (np.arange(k, k + 50, dtype=np.uint64) for k in (0, 1000))
     near = np.r_[b[:49], np.uint64(5000)]
-    blob = pd.DataFrame({"slot": 0, "task": 1, "rid": [jaccard.NULL_ID] * 2 + [20], "k1": [1, 2, 3], "side": 0, "crossed": False, "tokens": [x.tobytes() for x in (a, b, near)]})
+    blob = pd.DataFrame({"slot": 0, "task": 1, "k1": [1, 2, 3], "label": [1, 2, 3], "side": 0, "crossed": False, "tokens": [x.tobytes() for x in (a, b, near)]})
     got = jaccard._links(blob)
     assert {tuple(sorted(x)) for x in got.itertuples(index=False)} == {(2, 3)}
