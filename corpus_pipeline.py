@@ -1,11 +1,15 @@
-"""The corpus pipeline: quality rules, toxicity, near duplicates, secret scans and packing, one after another."""
+"""The corpus pipeline: quality rules, toxicity, near duplicates, secret scans and packing, one after another.
+
+Each stage takes all rows of the one before, with any other columns. An empty table gives an empty table. Null and empty
+texts have no words and fail the quality rules; the later stages, given some, keep them: they score like any text, link
+with nothing, hold no secrets, and are packed as their end mark alone. Null and repeated ids are ids like any others.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quern.llm import jaccard, packing, rules, secrets, toxicity
 from quern.llm.common import discard, materialize, table, tracked
@@ -39,16 +43,8 @@ def toxic_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of linked texts: the smallest id, then the least hash of all columns. Ids alone drop nothing."""
-    kept = materialize(spark, jaccard.survivors(spark, docs), "groups").toDF("kept_rid", "kept_row")
-    # The same plan at every size: these keys grow with the input, so they are never broadcast, and texts aren't sorted.
-    kept = kept.hint("shuffle_hash")
-    rid, row = F.coalesce(F.col("doc_id").cast("long"), F.lit(jaccard.NULL_ID)), F.xxhash64(*docs.columns)
-    keys = docs.select(rid.alias("rid"), row.alias("row"))
-    repeated = keys.groupBy("rid", "row").count().where("count > 1").limit(1).count()
-    out = docs.join(kept, (rid == F.col("kept_rid")) & (row == F.col("kept_row")), "left_semi")
-    # Rows with one key are equal in all columns, so it doesn't matter which of them stays.
-    return out.dropDuplicates() if repeated else out
+    """One row of each group of linked texts, the one with the least id; what links with nothing stays, whatever its id."""
+    return jaccard.deduplicate(spark, docs)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
