@@ -73,9 +73,13 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict]], s
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(StructType.fromDDL(schema) if isinstance(schema, str) else schema)
+    names = df.columns
+    if any("." in n or "`" in n for n in names):  # which mapInArrow would take for fields
+        df = df.toDF(*[f"c{k}" for k in range(len(names))])
 
     def run(batches):
         for batch in batches:
+            batch = batch.rename_columns(names)
             for at in range(0, batch.num_rows, 2048):
                 for cols in fn(batch.slice(at, 2048)):
                     yield pa.RecordBatch.from_pydict(cols, schema=arrow)
