@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers as P
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -73,6 +74,153 @@ def test_windows_hold_neighbours():
     assert same >= 20  # of 39; about 10 by chance
 
 
+def test_words_are_found_again_whatever_the_table_holds(own, library, monkeypatch):
+    rng = np.random.default_rng(6)
+    letters = list("abcdeéß")
+    words = ["".join(rng.choice(letters, n)) for n in rng.integers(1, 30, 4000)] + ["1", "42", "%%", "x" * 15, "x" * 16, "x" * 17, "ab" * 8, "ab" * 9]
+    for most in (50, 500_000):
+        monkeypatch.setattr(packing, "WORDS", most)
+        texts = [" ".join(rng.choice(words, 300)) for _ in range(20)] + ["", " ", "a"]
+        for t, ids in zip(texts, own.encode(texts), strict=True):
+            assert np.frombuffer(ids, own.kind).tolist() == library.encode(t, add_special_tokens=False).ids
+
+
+def test_long_texts_are_cut_between_words(own, library, monkeypatch):
+    monkeypatch.setattr(packing, "PIECE", 64)
+    for t in ("word " * 100, "a1b2c3" * 60, "12345" * 50, "abc" * 90, "a" * 70 + "1" + "b" * 90 + "%" * 80, "x y" + "z" * 200 + " w" * 60):
+        assert b"".join(packing.pieces(t.encode())) == t.encode()
+        assert np.frombuffer(own.encode([t])[0], own.kind).tolist() == library.encode(t, add_special_tokens=False).ids
+
+
+def test_statistics_are_of_all_documents(spark, docs, rows, library):
+    table = packing.tokenised(spark, docs, None)
+    statistics, total = packing.statistics_of(table)
+    sets = [set(library.encode(t or "", add_special_tokens=False).ids) | {2} for _, t in rows]
+    held = Counter(x for s in sets for x in s)
+    assert {k: int(n) for k, n in enumerate(statistics.held) if n} == held
+    assert statistics.docs == len(rows) and total == sum(len(library.encode(t or "", add_special_tokens=False).ids) + 1 for _, t in rows)
+    assert np.isclose(statistics.mean, total / len(rows))
+
+
+def shards_of(docs, limit):
+    """Numbers of the documents of each shard, as pack deals them: sorted by signature and cut by tokens."""
+    held = Counter(t for d in docs for t in set(d.tolist()))
+    statistics = packing.Statistics(np.array([held[t] for t in range(max(held) + 1)]), len(docs), np.mean([len(d) for d in docs]))
+    sketches = [packing.sketch(np.unique(d)) for d in docs]
+    signatures = packing.Signatures(statistics, sketches[: packing.SAMPLE])
+    order = sorted(range(len(docs)), key=lambda k: (signatures.of(sketches[k]), k))
+    out, size = [[]], 0
+    for k in order:
+        out[-1].append(k)
+        size += len(docs[k])
+        if size >= limit:
+            out.append([])
+            size = 0
+    return [s for s in out if s], statistics
+
+
+def bm25(docs, statistics, seed, others):
+    idf, q = statistics.idf(), set(docs[seed].tolist())
+    out = []
+    for k in others:
+        tf = Counter(docs[k].tolist())
+        out.append(sum(idf[t] * tf[t] * 2.2 / (tf[t] + 1.2 * (0.25 + 0.75 * len(docs[k]) / statistics.mean)) for t in q if t in tf))
+    return np.array(out)
+
+
+def test_neighbours_of_the_whole_corpus_are_in_the_shard():
+    """Of the neighbours that BM25 over all documents ranks first, at least nine in ten share the seed's shard: its copies
+    and near copies, which are what ranks far above the rest."""
+    rng = np.random.default_rng(21)
+    docs, copies = [], []
+    for _ in range(300):
+        topic = rng.integers(0, 20)
+        base = np.where(rng.random(200) < 0.5, rng.integers(0, 300, 200), 300 + topic * 400 + rng.integers(0, 400, 200))
+        first = len(docs)
+        for _ in range(4):
+            words = base.copy()
+            at = rng.integers(0, 200, rng.integers(0, 8))
+            words[at] = rng.integers(9000, 12000, len(at))
+            docs.append(words)
+        copies.append(range(first, first + 4))
+    shards, statistics = shards_of(docs, 24_000)
+    assert 9 <= len(shards) <= 12
+    shard = {k: n for n, s in enumerate(shards) for k in s}
+    found = wanted = 0
+    for group in copies[::10]:
+        seed = group[0]
+        score = bm25(docs, statistics, seed, range(len(docs)))
+        score[seed] = -1
+        best = np.argsort(-score)[:3]
+        assert set(best.tolist()) == set(group) - {seed}
+        found += sum(shard[k] == shard[seed] for k in best)
+        wanted += 3
+    assert found / wanted >= 0.9, found / wanted
+
+
+def test_windows_come_near_those_of_one_index_over_all():
+    """Windows of five shards are three quarters as near to their seeds, by BM25 over all documents, as if one index held all."""
+    rng = np.random.default_rng(22)
+    docs = []
+    for k in range(800):
+        topic = k % 16
+        docs.append(np.where(rng.random(100) < 0.4, rng.integers(0, 200, 100), 200 + topic * 150 + rng.integers(0, 150, 100)))
+    shards, statistics = shards_of(docs, 16_000)
+
+    def nearness(groups):
+        total = []
+        for own in groups:
+            order = [own[k] for k in packing.chain([docs[k] for k in own], 1000, statistics)]
+            for at in range(0, len(order), 10):
+                if len(order[at + 1 : at + 10]):
+                    total += bm25(docs, statistics, order[at], order[at + 1 : at + 10]).tolist()
+        return np.mean(total)
+
+    whole = nearness([list(range(len(docs)))])
+    mine = nearness(shards)
+    random_ = nearness([s.tolist() for s in np.array_split(rng.permutation(len(docs)), len(shards))])
+    assert mine >= 0.75 * whole and mine >= 1.1 * random_, (whole, mine, random_)
+
+
+def test_recall_against_an_index_of_all_documents(own):
+    """On the given documents in shards of a ninth: near copies (0.8 of their tokens) that share a shard, and the sum of the ten
+    best scores in the seed's shard over that of the ten best of all documents."""
+    path = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test tables")
+    docs = [np.frombuffer(b, own.kind).astype(np.int64) for b in own.encode([t or "" for t in pq.read_table(path, columns=["text"]).column(0).to_pylist()])]
+    docs = [d for d in docs if len(d)]
+    shards, statistics = shards_of(docs, sum(map(len, docs)) // 9)
+    assert len(shards) >= 8
+    shard = {k: n for n, s in enumerate(shards) for k in s}
+    sets = [set(d.tolist()) for d in docs]
+    alike = [(a, b) for a in range(len(docs)) for b in range(a) if 0.8 <= len(sets[a]) / max(len(sets[b]), 1) <= 1.25 and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert len(alike) > 50
+    together = np.mean([shard[a] == shard[b] for a, b in alike])
+    index = packing.Index(docs, statistics)
+    share = []
+    for seed in range(0, len(docs), 50):
+        q = index.terms[seed]
+        score = np.zeros(len(docs))
+        for t in q:
+            own_ = slice(index.at[t], index.at[t + 1])
+            np.add.at(score, index.doc[own_], index.weight[own_])
+        score[seed] = 0
+        mine = np.sort(score[[k for k in shards[shard[seed]]]])[::-1][:10]
+        share.append(mine.sum() / np.sort(score)[::-1][:10].sum())
+    assert together >= 0.9 and np.mean(share) >= 0.85, (together, np.mean(share))  # of 1,000 documents; shards of 110 hold few of ten hubs
+
+
+def test_equal_rows_are_cut_into_shards(spark, monkeypatch, library):
+    monkeypatch.setattr(packing, "SHARD_TOKENS", 20_000)
+    rows = [(7, "the same words again " * 5)] * 20_000 + [(k, f"other text number {k}") for k in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = packing.pack(spark, docs, window=512)
+    tasks = Counter(r["sequence_id"] >> 40 for r in got.collect() if r["doc_id"] == 7)
+    assert sum(tasks.values()) >= 20_000 and len(tasks) > 3 and max(tasks.values()) < 12_000
+    assert got.agg(F.sum("length")).first()[0] == 20_000 * (len(library.encode(rows[0][1], add_special_tokens=False).ids) + 1) + sum(len(library.encode(t, add_special_tokens=False).ids) + 1 for _, t in rows[20_000:])
+
+
 def test_index_ranks_as_bm25_says():
     rng = np.random.default_rng(4)
     docs = [rng.integers(0, 30, rng.integers(5, 40)) for _ in range(25)]
