@@ -46,7 +46,7 @@ SKETCH = 64
 #: Sketches of documents that tokens are put in order by, and the directions in which these are told apart.
 SAMPLE, DIRECTIONS = 4096, 16
 #: Words and other stretches of text that a worker remembers, and bytes that are cut into words at a time.
-WORDS, OTHERS, PIECE = 500_000, 100_000, 1 << 20
+WORDS, OTHERS, PIECE = 1_000_000, 100_000, 1 << 20
 _LETTERS = bytes(c for c in range(256) if chr(c).isalpha())
 _LOWER = bytes(ord(low) if len(low := chr(c).lower()) == 1 and ord(low) < 256 else c for c in range(256))
 _SPACE = b" \t\n\x0b\x0c\r"
@@ -92,7 +92,7 @@ def pieces(raw: bytes) -> Iterator[bytes]:
 class Words:
     """A hash table of words of 16 bytes at most, as two numbers each, and of their ids; lookups are by the array."""
 
-    BITS = 21
+    BITS = 22
 
     def __init__(self, kind: np.dtype):
         self.kind = kind
@@ -103,8 +103,29 @@ class Words:
         self.keys = np.empty((2, 0), np.uint64)
         self.flat = np.empty(0, self.kind)
         self.at, self.count = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.used = np.empty(0, bool)
         self.longer: dict[bytes, int] = {}
 
+    def keep_used(self) -> None:
+        """Forget words that were never met again since they came or since the last time; of too many, all."""
+        kept = np.flatnonzero(self.used)
+        if len(kept) > len(self) // 2:
+            return self.clear()
+        longer = {n: w for n, w in self.longer.items() if self.used[w]}
+        short = np.setdiff1d(kept, list(longer.values()))
+        keys, order = self.keys[:, short], np.r_[short, np.array(list(longer.values()), np.int64)].astype(np.int64)
+        count, flat = self.count[order], self.flat[self._places(order)]
+        self.clear()
+        self.add(keys[0], keys[1], flat, count, list(longer))
+
+    def _places(self, word: np.ndarray) -> np.ndarray:
+        count = self.count[word]
+        done = np.cumsum(count)
+        return np.repeat(self.at[word] - (done - count), count) + np.arange(int(done[-1]) if len(done) else 0)
+
+    def ids(self, word: np.ndarray) -> np.ndarray:
+        return self.flat[self._places(word)]
+
     def __len__(self) -> int:
         return len(self.at)
 
@@ -125,14 +146,13 @@ class Words:
             off = off[(got >= 0) & ((self.keys[0][got] != a[off]) | (self.keys[1][got] != b[off]))]
         return out
 
-    def add(self, a: np.ndarray, b: np.ndarray, ids: list[bytes], longer: list[bytes]) -> None:
-        """New words by their numbers, then longer ones by their bytes, with the ids of both in this order."""
+    def add(self, a: np.ndarray, b: np.ndarray, ids: np.ndarray, count: np.ndarray, longer: list[bytes]) -> None:
+        """New words by their numbers, then longer ones by their bytes; ``ids`` and how many are each's, in this order."""
         first = len(self)
-        parts = [np.frombuffer(x, self.kind) for x in ids]
-        count = np.array([len(x) for x in parts], np.int64)
         self.at = np.r_[self.at, len(self.flat) + np.cumsum(count) - count]
         self.count = np.r_[self.count, count]
-        self.flat = np.concatenate([self.flat, *parts])
+        self.flat = np.r_[self.flat, ids]
+        self.used = np.r_[self.used, np.zeros(len(count), bool)]
         none = np.zeros(len(longer), np.uint64)
         self.keys = np.concatenate([self.keys, [np.r_[a, none], np.r_[b, none]]], axis=1)
         own, slot = np.arange(first, first + len(a), dtype=np.int32), self._slot(a, b)
@@ -172,18 +192,20 @@ class Tokens:
         encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, self.kind).tobytes() for e in encoded]
 
-    def _learned(self, new: list[bytes]) -> list[bytes]:
-        out: list[bytes] = []
+    def _learned(self, new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of new words, one after another, and how many each has."""
+        ids, count = [np.empty(0, self.kind)], [np.empty(0, np.int64)]
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
             (data,) = self._ids([b" ".join(part).decode("latin-1")])
-            width = self.kind.itemsize
-            last = ((np.flatnonzero(self.ends[np.frombuffer(data, self.kind)]) + 1) * width).tolist()
-            if len(last) == len(part):
-                out += [data[a:b] for a, b in zip([0, *last], last, strict=False)]
-            else:  # a tokenizer without such marks
-                out += self._ids([w.decode("latin-1") for w in part])
-        return out
+            own = np.frombuffer(data, self.kind)
+            last = np.flatnonzero(self.ends[own]) + 1
+            if len(last) != len(part):  # a tokenizer without such marks
+                each = [np.frombuffer(x, self.kind) for x in self._ids([w.decode("latin-1") for w in part])]
+                own, last = np.concatenate(each), np.cumsum([len(x) for x in each])
+            ids.append(own)
+            count.append(np.diff(np.r_[0, last]))
+        return np.concatenate(ids), np.concatenate(count)
 
     def _plain(self, texts: list[bytes]) -> list[bytes]:
         """Ids of plain texts, which are cut and looked up together."""
@@ -201,25 +223,25 @@ class Tokens:
         b[two] = eight[start[two] + 8] & _FIRST[np.minimum(size[two] - 8, 8)]
         long = np.flatnonzero(size > 16)
         names = [data[s:e] for s, e in zip(start[long].tolist(), end[long].tolist(), strict=True)]
-        for _ in range(2):
-            word = self.words.find(a, b)
-            word[long] = [self.words.longer.get(n, -1) for n in names]
-            lost = np.flatnonzero(word < 0)
-            if not len(lost):
-                break
+        word = self.words.find(a, b)
+        word[long] = [self.words.longer.get(n, -1) for n in names]
+        new = word < 0
+        if len(self.words):
+            self.words.used[word[~new]] = True
+        lost = np.flatnonzero(new)
+        if len(lost):
             unknown = sorted({n for n, w in zip(names, word[long].tolist(), strict=True) if w < 0})
-            lost = lost[size[lost] <= 16]
-            lost = lost[np.lexsort((b[lost], a[lost]))]
-            lost = lost[np.r_[True, (a[lost][1:] != a[lost][:-1]) | (b[lost][1:] != b[lost][:-1])]] if len(lost) else lost
-            if len(self.words) and len(self.words) + len(lost) + len(unknown) > WORDS:
-                self.words.clear()  # then all of these texts' words are new, and the next round learns them
+            short = lost[size[lost] <= 16]
+            one = short[np.lexsort((b[short], a[short]))]
+            one = one[np.r_[True, (a[one][1:] != a[one][:-1]) | (b[one][1:] != b[one][:-1])]] if len(one) else one
+            if len(self.words) and len(self.words) + len(one) + len(unknown) > WORDS:
+                self.words.keep_used()
                 return self._plain(texts)
-            new = [data[s:e] for s, e in zip(start[lost].tolist(), end[lost].tolist(), strict=True)]
-            self.words.add(a[lost], b[lost], self._learned(new + unknown), unknown)
-        count = self.words.count[word]
-        done = np.cumsum(count)
-        at = np.repeat(self.words.at[word] - (done - count), count) + np.arange(int(done[-1]) if len(done) else 0)
-        ids = self.words.flat[at]
+            learned = self._learned([data[s:e] for s, e in zip(start[one].tolist(), end[one].tolist(), strict=True)] + unknown)
+            self.words.add(a[one], b[one], *learned, unknown)
+            word[short] = self.words.find(a[short], b[short])
+            word[long] = [self.words.longer[n] for n in names]
+        ids, done = self.words.ids(word), np.cumsum(self.words.count[word])
         last = np.cumsum([len(t) + 1 for t in texts])
         cut = np.r_[0, done][np.searchsorted(start, last)].tolist()
         return [ids[x:y].tobytes() for x, y in zip([0, *cut], cut, strict=False)]
