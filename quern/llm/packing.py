@@ -541,9 +541,10 @@ def pack(spark: SparkSession, docs: DataFrame, path: str | None = None, window:
     rows = tokenised(spark, docs, path)
     statistics, total = statistics_of(rows)
     documents = rows.where("held is null")
-    # SAMPLE sketches of SKETCH tokens at most, whatever the number of documents.
-    sample = documents.select("number", "sketch").orderBy(F.xxhash64("number"), "number").limit(SAMPLE).collect()
-    signatures = Signatures(statistics, [np.frombuffer(r["sketch"], "<u4") for r in sample])
+    # About SAMPLE sketches of SKETCH tokens at most, whatever the number of documents.
+    drawn = F.pmod(F.xxhash64("number"), F.lit(max(1, statistics.docs))) < SAMPLE
+    sample = sorted((r["number"], r["sketch"]) for r in documents.where(drawn).select("number", "sketch").collect())
+    signatures = Signatures(statistics, [np.frombuffer(x, "<u4") for _, x in sample])
     held, signs = spark.sparkContext.broadcast(statistics), spark.sparkContext.broadcast(signatures)
     limit = SHARD_TOKENS
     shards = max(1, -(-total // limit))
