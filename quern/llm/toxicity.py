@@ -6,8 +6,8 @@ the second person, capitals, punctuation, repeated letters and letters mixed wit
 on logistic loss learn from those of the sample, and isotonic regression on rows kept aside maps their sums to
 shares of toxic rows. Scoring reads every whole text once.
 
-The sample: at most MAX_TRAIN labels, and at most MAX_TRAIN rows that they label, those with the smallest hash of their
-id; rows whose crc32 of the id as text is divisible by 5 are held out and never taken. Of it only feature vectors and
+The sample: at most MAX_TRAIN labels, those with the smallest hash of their id, each with one row that has this id (of
+several, the one whose text has the least hash); rows whose crc32 of the id as text is divisible by 5 are held out and never taken. Of it only feature vectors and
 the lexicons, LEXICON words and as many beginnings that MIN_DOCS toxic rows hold at least, reach the driver. Counts that
 grow with a text's length stop at MOST_HITS hits and MOST_WEIGHT of weight, so that long texts aren't toxic for their length.
 
@@ -226,8 +226,11 @@ def _lexicons(sample: DataFrame, toxic: int, clean: int) -> tuple[dict[str, floa
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model:
     taught = labels.where("toxic is not null and doc_id is not null").where(~held_out()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     taught = taught.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id", "toxic").limit(max_train)
-    # The ids are at most max_train, so this side is small enough to be sent to all. Rows that share an id are bounded as well.
-    sample = docs.select("doc_id", "text").join(F.broadcast(taught), "doc_id").orderBy("h", "doc_id", "toxic", F.xxhash64("text"), "text").limit(max_train)
+    # The ids are at most max_train, so this side is small enough to be sent to all. Of rows that share an id one teaches, which
+    # tasks choose among their own before anything is shuffled.
+    ids = F.broadcast(taught.select("doc_id").distinct())
+    rows = docs.select("doc_id", "text").join(ids, "doc_id").groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("at"), "text")).alias("row"))
+    sample = rows.select("doc_id", "row.text").join(F.broadcast(taught), "doc_id")
     sample = sample.select("text", "toxic", (F.pmod(F.shiftright("h", 7), F.lit(4))).alias("quarter"))
     sample = materialize(spark, sample, "toxic-sample")
     totals = {(r["quarter"] == 0, r["toxic"]): r["n"] for r in sample.groupBy("quarter", "toxic").agg(F.count("*").alias("n")).collect()}
