@@ -31,6 +31,9 @@ SPACES = "[\\x20\\x09-\\x0D]+"
 SYMBOLS = "#*$%&|<>"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 MARKS = "!?.,;:"
+#: Runs of characters that no count by character looks at.
+NOT_COUNTED = "[^A-Z" + "".join(f"\\{c}" for c in SYMBOLS + MARKS) + "]+"
+_PLACE = (1 << 32) - 1
 QUANTILES = 24
 BAD_CUTS = [0.02, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.98]
 GOOD_ENDS = [0.0, 0.005, 0.995, 1.0]
@@ -65,44 +68,52 @@ def measures(docs: DataFrame) -> DataFrame:
     nothing = F.array().cast("array<string>")
     step = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
-        text.alias("text"),
         F.when(bare == "", nothing).otherwise(F.split(bare, SPACES)).alias("words"),
         F.filter(F.split(text, "\n"), lambda line: F.btrim(line, F.lit(SPACE)) != "").alias("lines"),
+        # What is counted by character, and nothing else, so that each count goes over a short string.
+        F.regexp_replace(text, NOT_COUNTED, "").alias("signs"),
     )
 
     def kept_out(chars: str) -> Column:
-        return (F.char_length("text") - F.char_length(F.translate("text", chars, ""))).cast("long")
+        return (F.char_length("signs") - F.char_length(F.translate("signs", chars, ""))).cast("long")
 
-    n = F.size("words")
     step = step.select(
         "row",
         "row.doc_id",
-        n.cast("long").alias("n_words"),
-        F.char_length(F.translate("text", SPACE, "")).cast("long").alias("word_chars"),
+        F.size("words").cast("long").alias("n_words"),
+        F.char_length(F.array_join("words", "")).cast("long").alias("word_chars"),
         kept_out(SYMBOLS).alias("n_symbols"),
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         kept_out(UPPER).alias("n_upper"),
         kept_out(MARKS).alias("n_marks"),
         kept_out("!").alias("n_bangs"),
-        # Windows of three words, sorted by a hash of their words, so that equal ones are neighbours.
-        F.when(
-            n >= 3,
-            F.sort_array(
-                F.transform(
-                    F.sequence(F.lit(0), n - 3),
-                    lambda i: F.struct(
-                        F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2)).alias("h"), i.alias("i")
-                    ),
-                )
-            ),
-        ).alias("windows"),
+        F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"),
     )
-    hashes = F.col("windows")
+
+    def window(h: Column, i: Column) -> Column:
+        """The hash of the three words from ``i`` on, the first of which has the hash ``h``."""
+        return F.xxhash64(h, F.get("hashes", i + 1), F.get("hashes", i + 2))
+
+    # Half of a window's hash above its place: plain numbers, whose sorting brings equal windows together.
+    begins = F.slice("hashes", 1, F.greatest(F.size("hashes") - 2, F.lit(0)))
+    packed = F.transform(begins, lambda h, i: window(h, i).bitwiseAND(F.lit(~_PLACE)).bitwiseOR(i.cast("long")))
+    step = step.withColumn("packed", F.sort_array(packed))
+
+    def half(x: Column) -> Column:
+        return F.shiftright(x, 32)
+
+    packed = F.col("packed")
+    alike = F.filter(packed, lambda x, k: (half(x) == half(F.get(packed, k + 1))) | (half(x) == half(F.get(packed, k - 1))))
+    step = step.withColumn("alike", F.transform(alike, lambda x: x.bitwiseAND(F.lit(_PLACE)).cast("int"))).drop("packed")
+    # Only windows that share half of their hash with another can be equal; these are sorted by the whole hash.
+    windows = F.transform("alike", lambda i: F.struct(window(F.get("hashes", i), i).alias("h"), i.alias("i")))
+    step = step.withColumn("windows", F.sort_array(windows)).drop("alike", "hashes")
+    windows = F.col("windows")
     starts = F.filter(
         F.transform(
-            hashes,
-            lambda x, k: F.when((x["h"] == F.get(hashes, k - 1)["h"]) | (x["h"] == F.get(hashes, k + 1)["h"]), x["i"]),
+            windows,
+            lambda x, k: F.when((x["h"] == F.get(windows, k - 1)["h"]) | (x["h"] == F.get(windows, k + 1)["h"]), x["i"]),
         ),
         lambda i: i.isNotNull(),
     )
@@ -110,7 +121,7 @@ def measures(docs: DataFrame) -> DataFrame:
     covered = F.size(
         F.array_union(F.array_union("starts", F.transform("starts", lambda i: i + 1)), F.transform("starts", lambda i: i + 2))
     )
-    return step.withColumn("n_repeat_words", F.when(F.col("starts").isNull(), 0).otherwise(covered).cast("long")).drop("starts")
+    return step.withColumn("n_repeat_words", covered.cast("long")).drop("starts")
 
 
 def shares(counts: DataFrame) -> DataFrame:
