@@ -6,6 +6,7 @@ from quern.llm.bpe import op2_byte_bpe
 from quern.llm.jaccard import op3_ngram_jaccard
 from quern.llm.media import op6_netpbm_media
 from quern.llm.packing import op1_lexical_packing
+from quern.llm.periods import op11_periodic_runs
 from quern.llm.ring import op5_ring_sharding
 from quern.llm.rules import op7_decision_list
 from quern.llm.secrets import op8_random_secrets
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_random_secrets": op8_random_secrets,
     "op9_tool_links": op9_tool_links,
     "op10_toxic_gbdt": op10_toxic_gbdt,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 
 ORACLE_SQL: dict[str, str] = {
