@@ -5,6 +5,7 @@ from __future__ import annotations
 from quern.llm.bpe import op2_byte_bpe
 from quern.llm.jaccard import op3_ngram_jaccard
 from quern.llm.media import op6_netpbm_media
+from quern.llm.mixing import op12_sainte_lague
 from quern.llm.packing import op1_lexical_packing
 from quern.llm.periods import op11_periodic_runs
 from quern.llm.ring import op5_ring_sharding
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_tool_links": op9_tool_links,
     "op10_toxic_gbdt": op10_toxic_gbdt,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_sainte_lague": op12_sainte_lague,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -107,4 +109,36 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN n >= 1000 AND page_id < top THEN top END AS refers_to
         FROM g
     """,
+    "op12_sainte_lague": r"""
+        WITH d AS (
+            SELECT doc_id, source, substr(md5('mix ' || coalesce(doc_id::VARCHAR, '') || ' ' || coalesce(text, '')), 1, 16) AS key,
+                   len(list_filter(string_split_regex(coalesce(text, ''), '[\x{09}-\x{0d}\x{20}]+'), lambda x: x <> ''))::BIGINT AS size FROM documents),
+        s AS (SELECT source, sum(size)::BIGINT AS source_size, 3 * sum(size)::BIGINT AS most FROM d GROUP BY source),
+        w AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM s),
+        l AS (
+            SELECT *, (sum(source_size) OVER () - coalesce(sum(most) OVER (ORDER BY most / weight RANGE UNBOUNDED PRECEDING EXCLUDE GROUP), 0))
+                   / sum(weight) OVER (ORDER BY most / weight RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+        v AS (SELECT *, least(most::DOUBLE, weight * (SELECT min_by(level, most / weight) FROM l WHERE weight * level <= most)) AS target FROM w),
+        n AS (SELECT ((2 * sum(source_size) + 16) // 32)::BIGINT AS blocks, count(*) AS sources FROM v),
+        i AS (SELECT place, target, unnest(range(0, (target / 16)::BIGINT + sources + 3)) AS i FROM v, n WHERE target > 0),
+        won AS (SELECT place FROM i QUALIFY row_number() OVER (ORDER BY target / (2 * i + 1) DESC, place) <= (SELECT blocks FROM n)),
+        q AS (SELECT place, count(*) AS seats FROM won GROUP BY place),
+        p AS (
+            SELECT v.*, least(coalesce(seats, 0) * 16, most)::BIGINT AS words, (source_size + 15) // 16 AS n,
+                   CASE WHEN (source_size + 15) // 16 % 999983 <> 0 THEN 999983 WHEN (source_size + 15) // 16 % 999979 <> 0 THEN 999979 ELSE 999961 END AS stride,
+                   ('0x' || substr(md5('mix ' || coalesce(source, '')), 1, 8))::BIGINT AS drawn FROM v LEFT JOIN q USING (place)),
+        c AS (
+            SELECT *, words // source_size AS passes, words % source_size AS rest, drawn % n AS begin, source_size - (n - 1) * 16 AS tail,
+                   ((n - 1) * stride + drawn % n) % n AS tail_at FROM p WHERE n > 0),
+        o AS (
+            SELECT row_number() OVER () AS r, doc_id, source, size, (sum(size) OVER (PARTITION BY source ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS start
+            FROM d),
+        b AS (SELECT o.*, c.* EXCLUDE (source), unnest(range(start // 16, (start + size - 1) // 16 + 1)) AS b FROM o JOIN c ON o.source IS NOT DISTINCT FROM c.source WHERE size > 0),
+        m AS (SELECT *, (b * stride + begin) % n AS spot FROM b),
+        t AS (
+            SELECT r, sum(greatest(0, least(start + size - b * 16, CASE WHEN b = n - 1 THEN tail ELSE 16 END,
+                   rest - spot * 16 + CASE WHEN spot > tail_at THEN 16 - tail ELSE 0 END) - greatest(start - b * 16, 0))) AS last_pass FROM m GROUP BY r)
+        SELECT doc_id, size, v.source_size, v.target, (coalesce(c.passes, 0) * size + coalesce(last_pass, 0))::BIGINT AS taken
+        FROM o JOIN v ON o.source IS NOT DISTINCT FROM v.source LEFT JOIN c ON o.source IS NOT DISTINCT FROM c.source LEFT JOIN t USING (r)
+    """,
 }
