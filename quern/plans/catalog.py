@@ -11,9 +11,9 @@ from quern.config import NO_ANSWER
 from quern.functions import html as H
 from quern.functions import text as T
 from quern.functions import urls as U
-from quern.operators import answering, chunking, citations, discovery, embedding, evaluation, ordering, retrieval
+from quern.operators import answering, chunking, citations, discovery, embedding, evaluation, lsh, ordering, pruning, retrieval
 from quern.plans import fixtures as X
-from quern.shared import materialize, spread
+from quern.shared import fresh_path, materialize, spread
 from quern.shipping import ship
 from quern.sources.tables import table
 
@@ -178,6 +178,33 @@ def vector_topk(spark, folder):
     return retrieval.nearest(asked, rows, 10, ("vec_id",)).select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"))
 
 
+_topk = SQL["vector_topk"]
+
+
+def _vectors(spark, folder):
+    rows = table(spark, folder, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    return rows, rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+@query(_topk)
+def vector_topk_pruned(spark, folder):
+    """The same questions against a clustered index, which is built here; what cannot count is skipped, so the result is the same."""
+    rows, asked = _vectors(spark, folder)
+    index = pruning.build(spark, rows, ("vec_id",), fresh_path(spark, "clustered"))
+    return pruning.search(asked, index, 10)[0].select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"))
+
+
+def vector_topk_lsh(spark, folder):
+    """The same questions by bands of hyperplanes, an explicit option: at least 0.9 of the exact hits, which tests measure; so it has no SQL."""
+    ship(spark)
+    rows, asked = _vectors(spark, folder)
+    buckets = lsh.build(spark, rows, ("vec_id",), fresh_path(spark, "buckets"))
+    return lsh.search(asked, buckets, 10).withColumn("score", F.round("score", 6))
+
+
+QUERIES["vector_topk_lsh"] = vector_topk_lsh
+
+
 # --- retrieval ---
 
 _hits = f"WITH {X.PAGES}, {X.chunk_ctes()}, {X.hit_ctes()}"
@@ -193,6 +220,14 @@ def retrieve_only_passing(spark, folder):
     return X.hits(spark, folder, only_passing=True).select("query_id", "rank", "page_no", "chunk_no", "score", "passes_threshold")
 
 
+@query(SQL["retrieve_only_passing"])
+def retrieve_pruned(spark, folder):
+    """The gated hits from a clustered index of the same chunks: the gate's distance bounds what is met."""
+    held = X.index(spark, folder)
+    index = pruning.build(spark, held, retrieval.PLACE, fresh_path(spark, "clustered"))
+    return pruning.retrieve(X.questions(spark, folder), index, held, X.K, X.THRESHOLD).select("query_id", "rank", "page_no", "chunk_no", "score", "passes_threshold")
+
+
 @query(f"{_hits} SELECT query_id, rank, score, score <= 0.9 AS passes FROM hits_")
 def threshold_pass(spark, folder):
     return X.hits(spark, folder).select("query_id", "rank", "score", retrieval.passes(F.col("score"), 0.9).alias("passes"))
