@@ -1,12 +1,12 @@
-"""A collection from the web: what its pages are, their landing one after another, and their records as a DataFrame.
+"""A collection from the web: what its pages are, their landing, and their records as a DataFrame.
 
-Fetching is polite and so not parallel; it happens on the driver, a page at a time, apart from Spark. What was
-fetched becomes a table, and everything after that is a plan over it.
+Fetching is polite, so a host is asked one page at a time. Discovery follows links, so the driver asks for its pages; the collection's
+pages are landed by a source that asks hosts side by side. All of it goes through a frontier, a written table, and
+everything after that is a plan over it.
 """
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable
 from urllib.parse import urlsplit
 
@@ -19,12 +19,10 @@ from quern.functions import urls as U
 from quern.operators import discovery
 from quern.shared import fresh_path, materialize
 from quern.shipping import ship
-from quern.sources import landing
+from quern.sources import frontier, landing, web
 
 Fetch = Callable[[str], landing.Reply]
-PAGES = "page_no long, url string, status int, html string"
-#: Pages that the driver holds before they are written.
-BATCH = 50
+BATCH = frontier.BATCH
 
 
 def _origin(url: str) -> str:
@@ -79,54 +77,44 @@ def discover(spark: SparkSession, url: str, fetch: Fetch, title: str = SETTINGS.
     return root, urls
 
 
-def land(spark: SparkSession, urls: list[str], fetch: Fetch, where: str | None = None) -> DataFrame:
-    """page_no, url (the final one), status (null if fetching failed) and html of each URL.
+def landed(spark: SparkSession, urls: list[str], fetch: Fetch | None = None, where: str | None = None) -> DataFrame:
+    """page_no, asked, url (the final one), status (null if fetching failed) and html of each URL.
 
-    Pages are written below ``where`` in batches of BATCH, so the driver holds one batch. A crawl that starts anew with the
-    same folder fetches only what no finished batch holds; pages that could not be fetched are tried again.
+    The URLs are a frontier below ``where``, advanced in rounds of BATCH: with ``fetch`` by the driver, else by the source of web pages, hosts
+    side by side. Begun again with the same folder, it fetches only what has not landed; pages that could not be fetched are tried again.
     """
-    where = where or fresh_path(spark, "landed")
-    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
-    fs = fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def landed() -> DataFrame:
-        """Of a page that was landed twice, the later reply."""
-        every = spark.read.schema(f"asked string, batch_at long, {PAGES}").parquet(where)
-        last = every.groupBy("asked").agg(F.max("batch_at").alias("batch_at"))
-        return every.join(last, ["asked", "batch_at"])
-
-    held = {r["asked"] for r in landed().where("status is not null").select("asked").collect()} if fs.exists(fs_path) else set()
-    left = [u for u in urls if u not in held]
-    for lo in range(0, len(left), BATCH):
-        rows, at = [], time.time_ns()
-        for url in left[lo : lo + BATCH]:
-            try:
-                final, html, status = fetch(url)
-            except RuntimeError:
-                final, html, status = url, None, None
-            rows.append((url, at, 0, final, status, html))
-        spark.createDataFrame(rows, f"asked string, batch_at long, {PAGES}").coalesce(1).write.mode("append").parquet(where)
+    held = frontier.Frontier(spark, where or fresh_path(spark, "frontier"))
+    held.add(urls, "contents")
+    held.advance(frontier.by_driver(spark, fetch) if fetch else lambda some: web.pages(spark, some).select("asked", "url", "status", "html"), BATCH, urls)
     # The list of URLs is what was asked for one by one, so it is small; page numbers are places in it.
-    places = spark.createDataFrame(list(dict((u, k + 1) for k, u in reversed(list(enumerate(urls)))).items()), "asked string, place long")
-    return landed().join(F.broadcast(places), "asked").select(F.col("place").alias("page_no"), "url", "status", "html")
+    places = spark.createDataFrame(list(dict((u, k + 1) for k, u in reversed(list(enumerate(urls)))).items()), "asked string, page_no long")
+    return held.states().join(F.broadcast(places), "asked").select("page_no", "asked", "url", "status", "html")
+
+
+def land(spark: SparkSession, urls: list[str], fetch: Fetch | None = None, where: str | None = None) -> DataFrame:
+    """``landed`` without what was asked for."""
+    return landed(spark, urls, fetch, where).drop("asked")
 
 
 def judged(pages: DataFrame, root: str) -> DataFrame:
-    """Landed pages with their outcome, title and text."""
+    """Landed pages with their outcome, title and text. A final URL that names no title leaves the page the title that was asked for."""
     ship(pages.sparkSession)
-    rows = pages.select("page_no", "url", "status", H.content(F.col("html")).alias("page"), U.title_from_url(F.col("url")).alias("title"), F.lit(root).alias("root"))
+    title = F.coalesce(U.title_from_url(F.col("url")), U.title_from_url(F.col("asked")))
+    rows = pages.select("page_no", "url", "status", H.content(F.col("html")).alias("page"), title.alias("title"), F.lit(root).alias("root"))
     return discovery.outcomes(rows.select("page_no", "url", "status", "page.missing", "title", "page.text", "root"))
 
 
 def crawl(
     spark: SparkSession, url: str = SETTINGS.book_url, fetch: Fetch | None = None, book: str = SETTINGS.book_title, where: str | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """Page records of a collection, and pages by outcome; ``where`` keeps what was landed for a later run."""
-    if fetch is None:
+    """Page records of a collection, and pages by outcome. ``where`` keeps the frontier: a later run with it goes on where this one ended."""
+    where = where or fresh_path(spark, "frontier")
+    held = frontier.Frontier(spark, where)
+    with landing.Session() as session:
         pace = landing.Pace()
-        fetch = lambda u: landing.fetch(u, pace, allow_error=True)
-    _, urls = discover(spark, url, fetch, book)
+        one = fetch or (lambda u: landing.fetch(u, pace, allow_error=True, get=session.get))
+        _, urls = discover(spark, url, lambda u: held.ask(u, one), book)
     # The root of the first page's title: below a root with a slash, that is its first step.
     root = (U.page_title(urls[0]) or book).partition("/")[0]
-    pages = materialize(spark, judged(land(spark, urls, fetch, where), root), "judged")
+    pages = materialize(spark, judged(landed(spark, urls, fetch, where), root), "judged")
     return discovery.records(pages, book), pages.groupBy("outcome").agg(F.count("*").alias("pages"))
