@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.operators.ordering import positions
@@ -69,7 +69,12 @@ def write_json(rows: DataFrame, path: str, order: list[str]) -> None:
 
 
 def _read_array(spark: SparkSession, path: str, schema: str, what: str) -> DataFrame:
-    """Rows with position of a JSON array: a file, or a folder as ``write_json`` writes it, which is read line by line."""
+    """Rows with position of a JSON array: a file, or a folder whose files together are one, or are one each, or hold an object a line.
+
+    A folder is read line by line where every line is whole objects between brackets and commas, as ``write_json`` writes it, and as
+    JSON lines and arrays on one line are; else file by file, each an array. What is neither is a ValueError, so no row is lost in silence.
+    Files count in the order of their names.
+    """
     fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(fs_path):
@@ -79,10 +84,29 @@ def _read_array(spark: SparkSession, path: str, schema: str, what: str) -> DataF
         if not whole.where(F.ltrim("value").startswith("[")).count():
             raise ValueError(f"{path} must hold a list of {what}")
         return _listed(spark, path, schema, what)
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
-    bare = F.regexp_replace(F.regexp_replace("value", r"^\s*[\[,]", ""), r"\]\s*$", "")
-    parsed = F.from_json(bare, schema, {"mode": "PERMISSIVE"})
-    rows = materialize(spark, lines.where(F.trim(bare) != "").select(F.lit(0).alias("all"), "file", "block", "at", F.trim(bare).startswith("{").alias("object"), parsed.alias("row")), "lines")
-    if not rows.agg(F.bool_and("object")).first()[0]:
-        raise ValueError(f"{path} must hold a list of {what}" if rows.count() else f"no {what} in {path}")
-    return positions(spark, rows, "all", ["file", "block", "at"]).select("position", "row.*")
+    place = [F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")]
+    lines = spark.read.text(path).select(F.btrim("value", F.lit(_BLANK)).alias("value"), *place).where("value <> ''")
+    bare = F.btrim(F.regexp_replace(F.regexp_replace("value", r"^[\[,]", ""), r"[\],]$", ""), F.lit(_BLANK))
+    rows = _parsed(spark, lines.withColumn("value", F.when(bare == "", "[]").otherwise(F.concat(F.lit("["), bare, F.lit("]")))), schema, (bare == "") | bare.startswith("{"))
+    if rows is None:
+        whole = spark.read.text(path, wholetext=True).select(F.btrim("value", F.lit(_BLANK)).alias("value"), *place).where("value <> ''")
+        rows = _parsed(spark, whole, schema, F.col("value").startswith("["))
+    if rows is None:
+        raise ValueError(f"{path} must hold a list of {what}")
+    if rows.isEmpty():
+        raise ValueError(f"no {what} in {path}")
+    return positions(spark, rows, "all", ["file", "block", "at", "pos"]).select("position", "row.*")
+
+
+_BLANK = " \t\r\n\ufeff"
+
+
+def _parsed(spark: SparkSession, texts: DataFrame, schema: str, begins: Column) -> DataFrame | None:
+    """A row for each object of the arrays in ``value``, written; none at all if a text is not just an array of objects."""
+    parsed = F.from_json("value", f"array<struct<{schema}>>", {"mode": "PERMISSIVE"})
+    # Syntax alone decides, so that a field of another type is a null and not the end of its row.
+    sound = begins & F.try_parse_json("value").isNotNull() & parsed.isNotNull()
+    told = materialize(spark, texts.select("file", "block", "at", F.coalesce(sound, F.lit(False)).alias("sound"), parsed.alias("rows")), "lines")
+    if told.where(~F.col("sound")).limit(1).count():
+        return None
+    return told.select(F.lit(0).alias("all"), "file", "block", "at", F.posexplode("rows").alias("pos", "row"))

@@ -172,3 +172,34 @@ def test_queries_against_sql(spark, engine, name):
     want = engine.sql(f"SELECT {', '.join(cols)} FROM ({catalog.SQL[name]})").fetchall()
     rows = [tuple(map(_plain, r)) for r in got.select(*cols).collect()]
     assert sorted(map(repr, rows)) == sorted(repr(tuple(map(_plain, r))) for r in want)
+
+
+FOREIGN = [{"book": "b", "chapter": f"c{k}", "text": f'say "{{[,]}}" {k}'} for k in range(7)]
+
+
+@pytest.mark.parametrize("kind", ["one line", "pretty", "lines", "lines with commas", "tight", "pretty in two files", "empty file beside"])
+def test_folders_of_other_tools_give_all_rows(spark, tmp_path, kind):
+    folder = tmp_path / "pages"
+    folder.mkdir()
+    dumped = [json.dumps(r) for r in FOREIGN]
+    files = {
+        "one line": [json.dumps(FOREIGN[:3]), json.dumps(FOREIGN[3:])],
+        "pretty": [json.dumps(FOREIGN, indent=2)],
+        "lines": ["\n".join(dumped)],
+        "lines with commas": ["[\n" + ",\n".join(dumped) + "\n]\n"],
+        "tight": ["[" + dumped[0] + "," + dumped[1] + ",\n" + ",".join(dumped[2:]) + "]"],
+        "pretty in two files": [json.dumps(FOREIGN[:5], indent=1), json.dumps(FOREIGN[5:], indent=4)],
+        "empty file beside": ["", json.dumps(FOREIGN), " \n"],
+    }[kind]
+    for k, text in enumerate(files):
+        (folder / f"part-{k}.json").write_text(text)
+    got = tables.read_pages(spark, str(folder)).orderBy("position").collect()
+    assert [(r["position"], r["book"], r["chapter"], r["text"], r["section"]) for r in got] == [(k, "b", r["chapter"], r["text"], None) for k, r in enumerate(FOREIGN)]
+
+
+@pytest.mark.parametrize("text", ['{"book": "b"', '[{"book": "b"} {"book": "c"}]', '"text"', '[1, 2]', '{"a": 1} {"b": 2}', '[1, {"book": "b"}]', '[{"book": "b"},\n{"book": ]'])
+def test_folders_that_are_no_list_raise(spark, tmp_path, text):
+    (tmp_path / "pages").mkdir()
+    (tmp_path / "pages/a.json").write_text(text)
+    with pytest.raises(ValueError):
+        tables.read_chunks(spark, str(tmp_path / "pages"))
