@@ -109,10 +109,15 @@ def generate(column: Column, make: Callable[..., Generator] = Extractive, *args)
 
 def answers(questions: DataFrame, hits: DataFrame, limit: int = SETTINGS.generation_k, make: Callable[..., Generator] = Extractive, *args) -> DataFrame:
     """query_id, answer, found, sources of every question; the generator sees only what passed the gate."""
-    from quern.operators.citations import source_records
-
     found = contexts(hits, limit)
     said = prompts(found, questions).select("query_id", generate(F.col("prompt"), make, *args).alias("said"))
+    return answered(questions, found, said)
+
+
+def answered(questions: DataFrame, found: DataFrame, said: DataFrame, *more: str) -> DataFrame:
+    """query_id, answer, found and sources of every question from what was ``said`` of the contexts ``found``, with ``more`` of its columns."""
+    from quern.operators.citations import source_records
+
     records = source_records(found.drop("rank").withColumnRenamed("context_no", "rank"))
     fields = F.struct("position", "book", "chapter", "section", "source_url")
     listed = records.groupBy("query_id").agg(F.array_sort(F.collect_list(fields)).alias("records"))
@@ -124,6 +129,7 @@ def answers(questions: DataFrame, hits: DataFrame, limit: int = SETTINGS.generat
         F.when(ok, T.strip(F.col("said"))).otherwise(NO_ANSWER).alias("answer"),
         ok.alias("found"),
         F.when(ok, bare).otherwise(F.array().cast("array<struct<book:string,chapter:string,section:string,source_url:string>>")).alias("sources"),
+        *more,
     )
 
 
