@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quern.config import NO_ANSWER
 from quern.functions import html as H
+from quern.functions import sql as S
 from quern.functions import text as T
 from quern.functions import urls as U
 from quern.operators import answering, chunking, citations, discovery, embedding, evaluation, lsh, ordering, pruning, retrieval
@@ -16,6 +17,7 @@ from quern.plans import fixtures as X
 from quern.shared import fresh_path, materialize, spread
 from quern.shipping import ship
 from quern.sources.tables import table
+from quern.streaming import sessions
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -147,6 +149,18 @@ def embed_hash(spark, folder):
     return cells.where("weight <> 0").select("item_id", F.col("bucket").cast("long").alias("bucket"), F.round("weight", 9).alias("weight"))
 
 
+@query(SQL["chunk_windows"])
+def sql_windows(spark, folder):
+    """The windows by the functions of SQL text."""
+    S.register(spark)
+    return spark.sql(
+        """SELECT page_no, chunk_no, start_word, chunk_id(page_no, chunk_no) AS chunk_id, book, chapter, section, source_url, text FROM (
+            SELECT page_no, book, chapter, section, source_url, word_windows(text, 500, 100) AS ws FROM {pages}) LATERAL VIEW OUTER inline(ws) w
+        WHERE chunk_no IS NOT NULL""",
+        pages=X.pages(spark, folder),
+    )
+
+
 @query(
     f"""WITH {X.PAGES}, {X.chunk_ctes()}, t AS (SELECT page_no, chunk_no, ('0x' || substr(md5(t), 1, 8))::BIGINT % 256 AS b, count(*) AS c
     FROM (SELECT page_no, chunk_no, unnest({X.words('text')}) AS t FROM chunks_) GROUP BY ALL)
@@ -543,6 +557,13 @@ def page_links(spark, folder):
     return discovery.page_links(spread(table(spark, folder, "pages")))
 
 
+@query(SQL["page_links"])
+def sql_page_links(spark, folder):
+    """The links by the table function that takes a whole table."""
+    S.register(spark)
+    return spark.sql("SELECT * FROM page_links(TABLE(SELECT page_id, url, html FROM {pages}))", pages=spread(table(spark, folder, "pages")))
+
+
 _host_of = "regexp_extract(url, '^([^:/?#]+://[^/?#]*)', 1)"
 _links = f"""links_ AS (SELECT page_id, url, unnest(range(0, len({_href}))) AS link_no, unnest({_href}) AS href FROM pages),
     titled_ AS (SELECT *, nullif(trim(replace(regexp_replace(ltrim(href, '/'), '[?#].*$', ''), '_', ' ')), '') AS t,
@@ -668,6 +689,22 @@ def chat_turns(spark, folder):
     return answering.chat_turns(table(spark, folder, "conversations"))
 
 
+@query(
+    """WITH e AS (SELECT *, turn % 9 = 8 AS reset FROM conversations),
+    n AS (SELECT *, (count(*) FILTER (reset) OVER (PARTITION BY conv_id ORDER BY turn))::BIGINT AS epoch FROM e)
+    SELECT conv_id::VARCHAR AS session, epoch, row_number() OVER (PARTITION BY conv_id, epoch ORDER BY turn, role, text) - 1 AS position, turn AS at, role, text AS content
+    FROM n WHERE NOT reset"""
+)
+def chat_sessions(spark, folder):
+    """Conversations as a stream of events, every ninth turn a reset, followed into a new folder and read back."""
+    base = fresh_path(spark, "sessions")
+    rows = sessions.stream(spark, f"{folder}/conversations.parquet", table(spark, folder, "conversations").schema)
+    kind = F.when(F.col("turn") % 9 == 8, sessions.RESET).otherwise("message")
+    events = rows.select(F.col("conv_id").cast("string").alias("session"), F.col("turn").cast("long").alias("at"), kind.alias("kind"), "role", F.col("text").alias("content"))
+    sessions.follow(events, f"{base}/messages", f"{base}/checkpoint").awaitTermination()
+    return sessions.transcript(spark, f"{base}/messages")
+
+
 _errors = ["Index not found at x", "model 'm' not found", "qwen2.5:3b NOT FOUND", "try pulling it first", "Connection refused", "Max retries exceeded", "odd"]
 _class = ["index_missing", "model_missing", "model_missing", "model_missing", "server_down", "server_down", "other"]
 

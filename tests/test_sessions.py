@@ -1,0 +1,59 @@
+"""Sessions from a stream: order, resets, and going on after a restart."""
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+from quern.plans import catalog
+from quern.streaming import sessions
+
+
+def land(spark, folder, rows):
+    spark.createDataFrame(rows, sessions.EVENT).coalesce(1).write.mode("append").parquet(folder)
+
+
+def run(spark, folder, out, checkpoint):
+    query = sessions.follow(sessions.stream(spark, folder, sessions.EVENT), out, checkpoint)
+    query.awaitTermination()
+    return sorted(map(tuple, sessions.transcript(spark, out).collect()), key=str)
+
+
+FIRST = [("a", 2, "message", "assistant", "hi"), ("a", 1, "message", "user", "hello"), ("b", 5, "message", "user", "x"), (None, 1, "message", "user", None), ("a", 3, "reset", None, None), ("a", 3, "message", "user", "again")]
+SECOND = [("a", 2**62 + 1, "message", "assistant", "yes"), ("a", None, "message", "user", "no time"), ("b", 6, "odd", "user", "y"), ("c", 1, "reset", None, None), (None, 2, "reset", None, None), (None, 3, "message", "user", "z")]
+
+
+@pytest.fixture
+def places(tmp_path):
+    return [f"file://{tmp_path}/{n}" for n in ("events", "messages", "checkpoint")]
+
+
+def test_messages_are_in_order_after_a_restart(spark, places):
+    land(spark, places[0], FIRST)
+    first = [("a", 0, 0, 1, "user", "hello"), ("a", 0, 1, 2, "assistant", "hi"), ("a", 1, 0, 3, "user", "again"), ("b", 0, 0, 5, "user", "x"), (None, 0, 0, 1, "user", None)]
+    assert run(spark, *places) == sorted(first, key=str)
+    assert run(spark, *places) == sorted(first, key=str)  # nothing new, nothing twice
+    land(spark, places[0], SECOND)
+    more = [("a", 1, 1, None, "user", "no time"), ("a", 1, 2, 2**62 + 1, "assistant", "yes"), ("b", 0, 1, 6, "user", "y"), (None, 1, 0, 3, "user", "z")]
+    assert run(spark, *places) == sorted(first + more, key=str)
+    last = sessions.transcript(spark, places[1], last=True).collect()
+    assert sorted((r["session"] or "-", r["content"]) for r in last) == [("-", "z"), ("a", "again"), ("a", "no time"), ("a", "yes"), ("b", "x"), ("b", "y")]
+
+
+def test_a_stream_that_fails_goes_on_with_the_same_numbers(spark, places):
+    land(spark, places[0], FIRST)
+    run(spark, *places)
+    land(spark, places[0], SECOND)
+    events = sessions.stream(spark, places[0], sessions.EVENT)
+    broken = events.withColumn("at", F.when(F.col("at") == 2**62 + 1, F.raise_error(F.lit("lost")).cast("long")).otherwise(F.col("at")))
+    with pytest.raises(Exception, match="lost"):
+        sessions.follow(broken, *places[1:]).awaitTermination()
+    got = run(spark, *places)
+    assert [r[2] for r in sorted((r for r in got if r[0] == "a"), key=lambda r: r[1:3])] == [0, 1, 0, 1, 2] and len(got) == 9
+
+
+def test_query_against_sql(spark):
+    folder = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from '{folder}/conversations.parquet'")
+    expected = con.execute(catalog.SQL["chat_sessions"]).fetchall()
+    assert sorted(map(tuple, catalog.QUERIES["chat_sessions"](spark, folder).collect())) == sorted(expected)
