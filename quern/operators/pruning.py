@@ -1,7 +1,7 @@
 """Exact nearest neighbours that skip what cannot be near, by clusters and the triangle inequality.
 
-The index: centroids are fitted on a bounded sample of the vectors (SAMPLE rows; they change the work, never a result), and every vector goes
-to its nearest one. Vectors lie in a folder a cluster, in the order of their distance from the centroid (``away``), so a batch of
+The index: centroids are fitted on a bounded sample of the vectors (SAMPLE rows of SAMPLE_NUMBERS numbers at most; they change the work, never a
+result), and every vector goes to its nearest one. Vectors lie in a folder a cluster, in the order of their distance from the centroid (``away``), so a batch of
 them is a ring. Beside them stands a row for each cluster: centroid, least and greatest ``away``, count.
 
 The search, for a block of questions: first each question meets the clusters nearest to it that together hold k vectors.
@@ -34,7 +34,7 @@ from quern.operators.retrieval import BLOCK, DIGITS, PLACE
 from quern.shared import materialize
 from quern.shipping import ship
 
-SAMPLE = 20_000
+SAMPLE, SAMPLE_NUMBERS = 20_000, 1 << 21
 MOST_CLUSTERS = 2048
 ROUNDS = 8
 #: Distances are compared with so much room for what sums of doubles lose, times the greatest length of a vector.
@@ -59,6 +59,13 @@ def _matrix(rows: list, width: int | None = None) -> np.ndarray:
     return np.array(rows, dtype=np.float64).reshape(len(rows), -1 if len(rows) else width or 0)
 
 
+def _gathered(rows: DataFrame, width: int) -> tuple[np.ndarray, pa.Table]:
+    """The vectors of a bounded frame on the driver, as plain numbers, and its rows."""
+    held = rows.toArrow()
+    flat = held.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(held.num_rows, -1 if held.num_rows else width), held
+
+
 def _nearest_centroid(vectors: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     return ((centroids**2).sum(1)[None, :] - 2 * (vectors @ centroids.T)).argmin(1)
 
@@ -86,10 +93,14 @@ def build(spark: SparkSession, vectors: DataFrame, place: tuple[str, ...], path:
     ship(spark)
     rows = vectors.select(*place, F.col("embedding").cast("array<double>").alias("embedding")).where("embedding is not null")
     n = rows.count()
+    first = rows.select(F.size("embedding").alias("width")).first()
+    width = first["width"] if first else 0
+    most = min(SAMPLE, max(1, SAMPLE_NUMBERS // max(1, width)))
     drawn = F.xxhash64(*place)
-    sample = rows.where(F.pmod(drawn, F.lit(max(1, n // SAMPLE))) == 0).orderBy(drawn).limit(SAMPLE).select("embedding").collect()
+    sample, _ = _gathered(rows.where(F.pmod(drawn, F.lit(max(1, n // most))) == 0).orderBy(drawn).limit(most).select("embedding"), width)
     clusters = min(clusters or max(1, math.isqrt(n)), MOST_CLUSTERS)
-    centroids = fitted(_matrix([r["embedding"] for r in sample]), clusters)
+    centroids = fitted(sample, clusters)
+    del sample
     held = spark.sparkContext.broadcast(centroids)
     names = list(place)
 
@@ -180,9 +191,9 @@ def _ranked(near: DataFrame, place: tuple[str, ...], k: int) -> DataFrame:
 
 def _block(questions: DataFrame, index: Clustered, k: int, max_score: float | None) -> tuple[DataFrame, list[tuple]]:
     spark = index.vectors.sparkSession
-    rows = questions.select("query_id", F.col("embedding").cast("array<double>").alias("embedding")).where("embedding is not null").toPandas()
-    ids = rows["query_id"].to_numpy(np.int64)
-    matrix = _matrix(rows["embedding"].tolist(), index.centroids.shape[1])
+    asked = questions.select(F.col("query_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    matrix, rows = _gathered(asked.where("embedding is not null"), index.centroids.shape[1])
+    ids = rows.column("query_id").to_numpy()
     if not len(ids) or not len(index.clusters):
         return spark.createDataFrame([], f"query_id long, score double, {', '.join(f'{c} long' for c in index.place)}"), []
     far = np.sqrt(np.maximum((matrix**2).sum(1)[:, None] + (index.centroids**2).sum(1)[None, :] - 2 * matrix @ index.centroids.T, 0))
