@@ -7,7 +7,8 @@ p-value under random draws refuses a run that isn't random. Its likelihood ratio
 what the test looks at (symbol counts, how kinds of characters follow in runs, neighbours) is the evidence that the run
 isn't text. The ratios are factors of one likelihood, so their product bounds the run's chance under text: that is its
 p-value. Benjamini and Hochberg's step-up over all candidates of the document, with weights that favour long runs, keeps
-those whose chance is low.
+those whose chance is low. So the three tests refuse, and what they look at, as ratios, decides. Candidates of fewer than
+MIN_LENGTH characters are not tested.
 
 Offsets are code points, ends exclusive. Defined results: a null or empty text has no spans and the digest of
 empty input; equal texts give equal spans; an added span that overlaps a base span is left out; other columns are
@@ -33,6 +34,9 @@ _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]+")
 _FIELD = re.compile(r"[^=]+(?:=+\Z)?")
 #: Runs without the signs that one of the two alphabets of 64 lacks, and without any sign.
 _PARTS = tuple(map(re.compile, (r"[^+/]+", r"[^_-]+", r"[^+/_-]+")))
+#: A number of 32 hexadecimal digits in groups; its dashes are no draws, and go before it is tested.
+_GROUPED = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}(?![0-9A-Fa-f])")
+#: Characters that a run, its padding not counted, has at least: under that, three tests tell little.
 MIN_LENGTH = 20
 PASS = 0.001
 FDR = 0.01
@@ -47,7 +51,8 @@ BASE64 = ALNUM + "+/"
 BASE64_URL = ALNUM + "-_"
 DIGITS = "0123456789"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
-ENCODINGS = (("digits", DIGITS), ("hex", HEX_LOWER), ("hex", HEX_LOWER.upper()), ("letters", LOWER), ("letters", LOWER.upper()), ("base32", BASE32), ("alnum", ALNUM_UPPER), ("alnum", ALNUM_LOWER), ("letters", LOWER.upper() + LOWER), ("alnum", ALNUM), ("base64", BASE64), ("base64url", BASE64_URL))
+HEX_MIXED = DIGITS + "ABCDEFabcdef"
+ENCODINGS = (("digits", DIGITS), ("hex", HEX_LOWER), ("hex", HEX_LOWER.upper()), ("hex", HEX_MIXED), ("letters", LOWER), ("letters", LOWER.upper()), ("base32", BASE32), ("alnum", ALNUM_UPPER), ("alnum", ALNUM_LOWER), ("letters", LOWER.upper() + LOWER), ("alnum", ALNUM), ("base64", BASE64), ("base64url", BASE64_URL))
 _SETS = tuple((name, alphabet, frozenset(alphabet)) for name, alphabet in ENCODINGS)
 
 
@@ -193,16 +198,19 @@ def tested(run: str) -> list[tuple[int, int, float | None]]:
     """(start, end, chance or None) of what is tested in a run of key characters: each field between inner '='.
 
     A field that no encoding holds, or that a test refuses, is cut at the signs of either alphabet of 64, and at both: a key
-    may stand in a path or after a name. Parts that overlap are tests of their own; a part as long as the field isn't."""
+    may stand in a path or after a name. Parts that overlap are tests of their own; a part as long as the field isn't. Hexadecimal digits
+    in groups, as the whole field or in it, are tested without their dashes."""
     out: list[tuple[int, int, float | None]] = []
     for m in _FIELD.finditer(run):
         if len(m[0]) < MIN_LENGTH:
             continue
-        chance = battery(m[0])
+        grouped = [(m.start() + x.start(), m.start() + x.end()) for x in _GROUPED.finditer(m[0])] if m[0].count("-") >= 4 else []
+        chance = None if grouped else battery(m[0])
         if chance is None:
             parts = {(m.start() + x.start(), m.start() + x.end()) for p in _PARTS for x in p.finditer(m[0]) if MIN_LENGTH <= len(x[0]) < len(m[0])}
-            if parts:
-                out += [(a, b, battery(run[a:b])) for a, b in sorted(parts)]
+            parts -= {(a, b) for a, b in parts if any(a < d and c < b for c, d in grouped)}
+            if grouped or parts:
+                out += sorted([(a, b, battery(run[a:b].replace("-", ""))) for a, b in grouped] + [(a, b, battery(run[a:b])) for a, b in parts])
                 continue
         out.append((m.start(), m.end(), chance))
     return out

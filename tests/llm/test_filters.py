@@ -104,6 +104,47 @@ def test_random_strings_of_every_encoding_are_found(name, alphabet):
         assert (secrets.battery(w) or 1.0) > 0.05, w
 
 
+def test_hexadecimal_of_either_case_and_in_groups_is_found():
+    rng = np.random.default_rng(12)
+
+    def drawn(kind, n=32):
+        digits = "".join(rng.choice(list("0123456789abcdef"), n))
+        if kind == "cases":
+            return "".join(c.upper() if k else c for c, k in zip(digits, rng.integers(0, 2, n), strict=True))
+        if kind == "any":
+            return "".join(rng.choice(list(secrets.HEX_MIXED), n))
+        if kind == "token":
+            return "ghp_" + drawn("any", 36)
+        groups = "-".join((digits[:8], digits[8:12], "4" + digits[13:16], rng.choice(list("89ab")) + digits[17:20], digits[20:32]))
+        return {"grouped": groups, "upper": groups.upper(), "named": f"id_{groups}", "path": f"/users/{groups}/profile", "field": f"request={groups}"}[kind]
+
+    for kind in ("cases", "any", "token", "grouped", "upper", "named", "path", "field"):
+        hits = 0
+        for _ in range(100):
+            text = f"see {drawn(kind)} there"
+            spans = [(a, b) for a, k, b in secrets.all_spans(text)[1] if k == 3]
+            hits += len(spans) == 1 and 32 <= spans[0][1] - spans[0][0] <= 40
+        assert hits >= 90, (kind, hits)
+    for n in (20, 24, 40, 64):
+        assert sum((secrets.battery(drawn("any", n)) or 1) <= secrets.FDR for _ in range(100)) >= 90, n
+    # What only looks like it: numbers of one digit, dates in groups, words, and groups of other lengths.
+    for text in ("00000000-0000-0000-0000-000000000000", "11111111-1111-1111-1111-111111111111", "12345678-1234-1234-1234-123456789012", "deadbeef-dead-beef-dead-beefdeadbeef", "a-b-c-d-e-f-g-h-i-j-k-l", "state-of-the-art-face-cafe-decade-facade"):
+        assert not [s for s in secrets.all_spans(f"see {text} there")[1] if s[1] == 3], text
+
+
+def test_names_in_code_are_not_taken_for_random():
+    words = "user account service handler request response buffer index table column query result parser stream session token cache worker thread config value number string".split()
+    rng = np.random.default_rng(3)
+    found = total = 0
+    for _ in range(300):
+        w = list(rng.choice(words, rng.integers(3, 7)))
+        names = ["".join(x.title() for x in w), w[0] + "".join(x.title() for x in w[1:]), "_".join(w), "-".join(w), "/".join(w), "_".join(w).upper(), f"{'-'.join(w)}-{rng.integers(1, 2000)}", f"src/{'/'.join(w)}.py"]
+        text = " ".join(names)
+        total += len(names)
+        found += sum(k == 3 for _, k, _ in secrets.all_spans(text)[1])
+    assert found <= total // 400, (found, total)
+
+
 def test_nothing_in_written_documents_is_taken_for_random():
     import pyarrow.parquet as pq
 
