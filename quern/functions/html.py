@@ -157,7 +157,8 @@ def content(column: Column, roots: tuple[Root, ...] = ROOTS, unwanted: tuple[str
             read = [read_page(h, roots, unwanted) for h in s]
             yield pd.DataFrame({"text": [text_of(p, roots) for p in read], "missing": [p.missing for p in read]})
 
-    return run(column)
+    # Else a filter on what it tells would be pushed down, with a reading of every page for itself, before the pages are spread.
+    return run.asNondeterministic()(column)
 
 
 def is_missing(column: Column) -> Column:
