@@ -2,40 +2,26 @@
 
 from __future__ import annotations
 
-import contextlib
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobs import judge_retrieval, keep_index
 from quern.plans import fixtures as X
 from quern.shared import fresh_path
-from quern.shipping import BATCH
-
-
-@contextlib.contextmanager
-def _settings_as_before(spark: SparkSession):
-    before = spark.conf.get(BATCH)
-    try:
-        yield
-    finally:
-        spark.conf.set(BATCH, before)
 
 
 def job1_keep_index(spark: SparkSession, folder: str) -> DataFrame:
     base = fresh_path(spark, "keep-index")
-    with _settings_as_before(spark):
-        for _ in range(2):
-            keep_index.keep_index(spark, f"{folder}/documents.parquet", f"{base}/out", f"{base}/checkpoint")
+    for _ in range(2):
+        keep_index.keep_index(spark, f"{folder}/documents.parquet", f"{base}/out", f"{base}/checkpoint")
     used = F.size(F.filter("embedding", lambda x: x != 0)).cast("long").alias("used")
     return keep_index.current(spark, f"{base}/out").select("page_no", "chunk_no", "chunk_id", "book", "chapter", "section", "source_url", "text", used)
 
 
 def job2_judge_retrieval(spark: SparkSession, folder: str) -> DataFrame:
     out = fresh_path(spark, "judge-retrieval")
-    with _settings_as_before(spark):
-        for _ in range(2):
-            run = judge_retrieval.judge_retrieval(spark, f"{folder}/benchmark.parquet", f"{folder}/documents.parquet", out)
+    for _ in range(2):
+        run = judge_retrieval.judge_retrieval(spark, f"{folder}/benchmark.parquet", f"{folder}/documents.parquet", out)
     rows, summary, thresholds = (judge_retrieval.read(spark, out, t, run).drop("run") for t in judge_retrieval.TABLES)
     rows = rows.withColumn("retrieved_chapters", F.array_join("retrieved_chapters", ","))
     rates = {c: F.round(c, 9) for c in ("hit_rate", "threshold_pass_rate")}

@@ -28,10 +28,10 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from jobs.settings import shipped
 from quern.operators import chunking, embedding, evaluation, retrieval
 from quern.plans.fixtures import occurrences
 from quern.shared import materialize, spread
-from quern.shipping import ship
 from quern.sources import index
 
 log = logging.getLogger("jobs.judge_retrieval")
@@ -111,7 +111,13 @@ def read(spark: SparkSession, out: str, table: str, run: str) -> DataFrame:
 def judge_retrieval(spark: SparkSession, questions: str, pages: str, out: str, config: Config | None = None) -> str:
     """Judge all strategies of the config, and give the run's name."""
     config = config or Config.load()
-    ship(spark)
+    with shipped(spark):
+        _judge(spark, questions, pages, out, config)
+    log.info("wrote run %s below %s", config.run, out)
+    return config.run
+
+
+def _judge(spark: SparkSession, questions: str, pages: str, out: str, config: Config) -> None:
     asked = _mapped(spark.read.parquet(questions), config.questions)
     texts = _mapped(spread(spark.read.parquet(pages)), config.pages)
     gold = asked if "type" in config.questions else with_gold(asked, texts)
@@ -131,8 +137,6 @@ def judge_retrieval(spark: SparkSession, questions: str, pages: str, out: str, c
         _put(swept(rows, config.thresholds or [config.threshold]), f"{out}/thresholds", config.run, s["id"])
         lines = evaluation.summary_lines(read(spark, out, "summary", config.run).where(F.col("strategy") == s["id"])).orderBy("line_no")
         log.info("strategy %s: wrote %d chunks and %d rows; %s", s["id"], held.count(), rows.count(), "; ".join(r["line"] for r in lines.collect()))
-    log.info("wrote run %s below %s", config.run, out)
-    return config.run
 
 
 def main(args: list[str] | None = None) -> None:

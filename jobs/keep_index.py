@@ -34,9 +34,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from jobs.settings import shipped
 from quern.operators import chunking
 from quern.shared import materialize, spread
-from quern.shipping import ship
 from quern.sources import index
 
 log = logging.getLogger("jobs.keep_index")
@@ -125,7 +125,6 @@ def take_batch(rows: DataFrame, number: int, out: str, config: Config) -> None:
 def keep_index(spark: SparkSession, pages: str, out: str, checkpoint: str, config: Config | None = None) -> int:
     """Take all files of ``pages`` that ``checkpoint`` does not know, and say how many batches that took."""
     config = config or Config.load()
-    ship(spark)
     schema = spark.read.parquet(pages).schema
     if _held(spark, f"{out}/pages", MARKS) is not None and _held(spark, f"{checkpoint}/metadata", "value string", "text") is None:
         raise ValueError(f"{out} was kept with another checkpoint than {checkpoint}; its batches have numbers of their own")
@@ -141,11 +140,12 @@ def keep_index(spark: SparkSession, pages: str, out: str, checkpoint: str, confi
         take_batch(df, number, out, config)
         done.append(number)
 
-    query = rows.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    try:
-        query.awaitTermination()
-    finally:
-        query.stop()
+    with shipped(spark):
+        query = rows.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        try:
+            query.awaitTermination()
+        finally:
+            query.stop()
     log.info("took %d batches of %s", len(done), pages)
     return len(done)
 
