@@ -92,7 +92,7 @@ def test_letters_that_urls_cannot_hold_and_charsets(site):
 def test_two_hosts_land_side_by_side_each_at_its_pace(spark, site):
     one, two = site({f"/{k}": f"one {k}" for k in range(5)}), site({f"/{k}": f"two {k}" for k in range(5)})
     urls = [s.at + f"/{k}" for k in range(5) for s in (one, two)] + [one.at + "/0", one.at + "/none", "nonsense"]
-    df = web.pages(spark, urls, delay=0.4, attempts=1)
+    df = web.pages(spark, urls, delay=0.8, attempts=1)
     assert df.rdd.getNumPartitions() == 3
     one.asked.clear()
     rows = sorted(df.collect())
@@ -100,10 +100,10 @@ def test_two_hosts_land_side_by_side_each_at_its_pace(spark, site):
     assert [r["html"] for r in rows[:4]] == ["one 0", "two 0", "one 1", "two 1"] and [r["status"] for r in rows[-2:]] == [404, None]
     for s, n in ((one, 6), (two, 5)):
         times = [t for _, t in s.asked]
-        assert len(times) == n and all(b - a >= 0.38 for a, b in zip(times, times[1:]))
+        assert len(times) == n and all(b - a >= 0.78 for a, b in zip(times, times[1:]))
         assert s.connections == 1
-    first, last = min(t for _, t in one.asked + two.asked), max(t for _, t in one.asked + two.asked)
-    assert last - first < 0.4 * 9  # less than one after the other would take
+    spans = [(s.asked[0][1], s.asked[-1][1]) for s in (one, two)]
+    assert max(a for a, _ in spans) < min(b for _, b in spans)  # neither waits for the other to end
 
 
 def test_a_host_that_is_busy_or_breaks_is_asked_again(spark, site):
