@@ -126,5 +126,5 @@ def test_stages_of_an_empty_table(spark, labels, tmp_path):
 
 
 def test_names():
-    assert sorted(catalog.QUERIES, key=lambda n: int(n[2:].split("_")[0])) and {int(n[2:].split("_")[0]) for n in catalog.QUERIES} == set(range(1, 11))
+    assert sorted(catalog.QUERIES, key=lambda n: int(n[2:].split("_")[0])) and {int(n[2:].split("_")[0]) for n in catalog.QUERIES} == set(range(1, 13))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "toxicity", "ngram_jaccard", "secret_scans", "packing"]
