@@ -87,17 +87,24 @@ def compare(parts: dict[str, tuple[DataFrame, DataFrame]]) -> DataFrame:
     return out.orderBy(F.desc_nulls_last("hit_rate"), "id")
 
 
+def _fixed(number: Column, digits: int) -> Column:
+    """A number from 0 on with so many decimals, as printf writes it: the double's own value is rounded, not its shortest decimal half up."""
+    least = F.lit(float(f"1e-{digits}"))
+    # Below the last decimal, the pattern would write a half as nothing.
+    number = F.when((number >= float(f"5e-{digits + 1}")) & (number < least), least).otherwise(number)
+    return F.call_function("format_number", number, F.lit("0." + "0" * digits))
+
+
 def report(rows: DataFrame) -> DataFrame:
     """query_id and a line of text for each question."""
-    best = F.coalesce(F.format_string("%.4f", "best_score"), F.lit("n/a"))
-    best = F.when(F.col("best_score").isNull(), "n/a").otherwise(best)
+    best = F.coalesce(_fixed(F.col("best_score"), 4), F.lit("n/a"))
     mark = F.when(F.col("type") != "answerable", "-").when(F.col("hit"), "HIT").otherwise("MISS")
     gate = F.when(F.col("passes_threshold"), "PASS").otherwise("FAIL")
     return rows.select("query_id", F.concat(F.lit("["), "type", F.lit("] best "), best, F.lit(" gate "), gate, F.lit(" chapter "), mark).alias("line"))
 
 
 def percent(rate: Column) -> Column:
-    return F.when(rate.isNull(), "n/a").otherwise(F.format_string("%.2f%%", rate * 100))
+    return F.coalesce(F.concat(_fixed(rate * 100, 2), F.lit("%")), F.lit("n/a"))
 
 
 def _of(part: Column, whole: Column) -> Column:

@@ -142,6 +142,16 @@ def test_evaluation(spark):
     assert [(r["id"], r["hit_rate"]) for r in order] == [("B", 0.5), ("A", None)]
 
 
+def test_reported_numbers_are_rounded_as_printf_does(spark):
+    numbers = [round(i * 1e-6, 6) for i in range(0, 1_300_000, 1237)] + [0.61515, 0.00005, 0.00004, 0.000049, 0.12345, 1.00005, 0.0, 2.0]
+    rows = spark.createDataFrame([(i, "unanswerable", s, True, None) for i, s in enumerate(numbers)], "query_id long, type string, best_score double, passes_threshold boolean, hit boolean")
+    got = {r["query_id"]: r["line"] for r in evaluation.report(rows).collect()}
+    assert got == {i: f"[unanswerable] best {s:.4f} gate PASS chapter -" for i, s in enumerate(numbers)}
+    rates = [h / a for a in (7, 16, 800, 20_000) for h in range(0, a + 1, 1 + a // 900)] + [0.00005]
+    shown = spark.createDataFrame([(r,) for r in rates] + [(None,)], "rate double").select(evaluation.percent(F.col("rate"))).toPandas().iloc[:, 0].tolist()
+    assert shown == [f"{r * 100:.2f}%" for r in rates] + ["n/a"]
+
+
 def test_settings():
     assert Settings.load({}) == Settings()
     got = Settings.load({"TOP_K": " 7 ", "BOOK_TITLE": " ", "RETRIEVAL_THRESHOLD": "0.5"})
