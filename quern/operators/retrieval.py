@@ -1,9 +1,10 @@
 """Exact nearest neighbours for batches of questions, with a distance gate.
 
 Scores are squared distances of unit vectors: lower is better, and a score passes at the threshold or under it.
-The index is read once for each block of questions: each batch of vectors is multiplied with the block's matrix
-and keeps its best k a question, by score and then by place, so what is shuffled are k rows a batch and question.
-A block holds BLOCK questions at most, which bounds what is broadcast; more questions are more blocks.
+The index is read once for each block of questions: tiles of vectors are multiplied with the block's matrix, and a
+task keeps its best k a question, by score and then by place, so what is shuffled are k rows a task and question.
+A block holds BLOCK questions at most, which bounds what is broadcast; more questions are more blocks. A tile has CELLS
+scores about, so what a task holds grows with neither questions nor vectors.
 """
 
 from __future__ import annotations
@@ -19,6 +20,10 @@ from quern.shared import materialize
 from quern.shipping import ship
 
 BLOCK = 4096
+#: Scores that a task holds at once, about: a batch of vectors meets the block tile by tile.
+CELLS = 1 << 20
+#: Stands for the place of a hit that is not found yet.
+NOWHERE = np.iinfo(np.int64).max
 #: Hits that are broadcast to the index's texts at most; with more, the join shuffles both sides.
 BROADCAST_ROWS = 1 << 20
 DIGITS = 9
@@ -65,26 +70,41 @@ def _search(block: DataFrame, k: int, place: tuple[str, ...], max_score: float |
 
     def run(batches):
         ids, matrix, norms = held.value
+        # The k best of each question so far, of the whole task. NaN is worse than any score, so it fills what is not found yet.
+        best = np.full((len(ids), k), np.nan)
+        at = [np.full((len(ids), k), NOWHERE) for _ in place]
         for batch in batches:
-            n = batch.num_rows
-            if not n or not len(ids):
+            if not batch.num_rows or not len(ids):
                 continue
-            flat = batch.column(len(place)).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            vectors = flat.reshape(n, -1)
+            flat = batch.column(len(place)).flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+            vectors = flat.reshape(batch.num_rows, -1)
+            spots = [batch.column(c).to_numpy() for c in range(len(place))]
             # Places in order, so that a stable sort by score breaks ties by place.
-            by = np.lexsort([batch.column(c).to_numpy() for c in reversed(range(len(place)))])
-            vectors = vectors[by]
-            score = np.round(norms[:, None] + (vectors**2).sum(1)[None, :] - 2 * (matrix @ vectors.T), DIGITS)
-            at = np.argsort(score, axis=1, kind="stable")[:, :k]
-            q = np.repeat(np.arange(len(ids)), at.shape[1])
-            at = at.ravel()
-            best = score[q, at]
-            if max_score is not None:
-                kept = best <= max_score
-                q, at, best = q[kept], at[kept], best[kept]
-            out = {"query_id": ids[q], "score": np.maximum(best, 0.0)}
-            out |= {c: batch.column(j).to_numpy()[by[at]] for j, c in enumerate(place)}
-            yield pa.RecordBatch.from_pydict(out)
+            by = np.lexsort(spots[::-1])
+            step = max(1, CELLS // len(ids))
+            for a in range(0, batch.num_rows, step):
+                own = by[a : a + step]
+                tile = vectors[own]
+                score = norms[:, None] + (tile**2).sum(1)[None, :]
+                dots = matrix @ tile.T
+                dots *= 2
+                score -= dots
+                np.maximum(np.round(score, DIGITS, out=score), 0.0, out=score)
+                bound = best[:, -1] if max_score is None else np.fmin(best[:, -1], max_score)
+                met = np.flatnonzero(~(score > bound[:, None]).all(1))
+                for m in (met[c : c + len(ids) // 8 + 1] for c in range(0, len(met), len(ids) // 8 + 1)):
+                    near = np.argsort(score[m], axis=1, kind="stable")[:, :k]
+                    scores = np.hstack([best[m], np.take_along_axis(score[m], near, 1)])
+                    places = [np.hstack([x[m], y[own][near]]) for x, y in zip(at, spots, strict=True)]
+                    first = np.lexsort((*places[::-1], scores), axis=-1)[:, :k]
+                    best[m] = np.take_along_axis(scores, first, 1)
+                    for x, y in zip(at, places, strict=True):
+                        x[m] = np.take_along_axis(y, first, 1)
+        kept = at[0] != NOWHERE
+        if max_score is not None:
+            kept &= best <= max_score
+        out = {"query_id": np.repeat(ids, k)[kept.ravel()], "score": best[kept]}
+        yield pa.RecordBatch.from_pydict(out | {c: x[kept] for c, x in zip(place, at, strict=True)})
 
     return run, held
 

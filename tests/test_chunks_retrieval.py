@@ -1,4 +1,7 @@
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -142,6 +145,32 @@ def test_evaluation(spark):
     assert [(r["id"], r["hit_rate"]) for r in order] == [("B", 0.5), ("A", None)]
 
 
+@pytest.mark.parametrize("gate", [None, 0.6])
+def test_a_task_holds_a_tile_of_scores_and_gives_k_rows_a_question(spark, gate):
+    """However many questions and batches: full scores of these would take four times 48 MB, and each batch gave k rows a question."""
+    rng = np.random.default_rng(3)
+    asked, k = 3000, 5
+    questions = rng.integers(-2, 3, (asked, 3)).astype(float)
+    block = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(questions)], "query_id long, embedding array<double>")
+    vectors = rng.integers(-2, 3, (4007, 3)).astype(float)
+    place = rng.permutation(len(vectors))
+    columns = [pa.array(place // 10), pa.array(place % 10), pa.array(vectors.tolist(), pa.list_(pa.float64()))]
+    batches = pa.table(columns, names=["page_no", "chunk_no", "embedding"]).to_batches(max_chunksize=2000)
+    run, _ = retrieval._search(block, k, retrieval.PLACE, gate)
+    tracemalloc.start()
+    out = list(run(iter(batches)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6 and sum(b.num_rows for b in out) <= asked * k
+    got = sorted(zip(*(c.to_pylist() for c in pa.Table.from_batches(out).select(["query_id", "score", "page_no", "chunk_no"]).columns), strict=True))
+    want = []
+    for q in range(asked):
+        score = ((vectors - questions[q]) ** 2).sum(1)
+        near = np.lexsort((place, score))[:k]
+        want += [(q, score[j], place[j] // 10, place[j] % 10) for j in near if gate is None or score[j] <= gate]
+    assert got == sorted(want)
+
+
 def test_reported_numbers_are_rounded_as_printf_does(spark):
     numbers = [round(i * 1e-6, 6) for i in range(0, 1_300_000, 1237)] + [0.61515, 0.00005, 0.00004, 0.000049, 0.12345, 1.00005, 0.0, 2.0]
     rows = spark.createDataFrame([(i, "unanswerable", s, True, None) for i, s in enumerate(numbers)], "query_id long, type string, best_score double, passes_threshold boolean, hit boolean")
