@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from jobs.settings import shipped
 from quern.operators import chunking, embedding, evaluation, retrieval
-from quern.plans.fixtures import occurrences
+from quern.plans.fixtures import first_occurrences
 from quern.shared import materialize, spread
 from quern.sources import index
 
@@ -76,7 +76,7 @@ def _mapped(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
 def with_gold(asked: DataFrame, pages: DataFrame) -> DataFrame:
     """query_id, question, type and expected_chapter: the chapter of the first page that holds the question's text."""
     items = asked.select(F.col("query_id").alias("item_id"), F.col("question").alias("text"))
-    found = occurrences(pages.select(F.col("page_no").alias("doc_id"), "text"), items).groupBy("item_id").agg(F.min("doc_id").alias("page_no"))
+    found = first_occurrences(pages.select(F.col("page_no").alias("doc_id"), "text"), items).withColumnRenamed("doc_id", "page_no")
     found = found.join(pages.select("page_no", "chapter"), "page_no").groupBy("item_id").agg(F.min("chapter").alias("expected_chapter"))
     rows = asked.join(found, asked["query_id"] == found["item_id"], "left").drop("item_id")
     return rows.withColumn("type", F.when(F.col("expected_chapter").isNull(), "unanswerable").otherwise("answerable"))

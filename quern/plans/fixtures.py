@@ -53,50 +53,53 @@ def hits(spark: SparkSession, folder: str, only_passing: bool = False) -> DataFr
     return retrieval.retrieve(questions(spark, folder), index(spark, folder), K, THRESHOLD, only_passing)
 
 
-def occurrences(documents: DataFrame, items: DataFrame, block: int = retrieval.BLOCK) -> DataFrame:
-    """item_id, doc_id of each item's text in a document's: one pass over the documents for each block of items."""
+def first_occurrences(documents: DataFrame, items: DataFrame, block: int = retrieval.BLOCK) -> DataFrame:
+    """item_id, doc_id: the least document that holds an item's text, one pass over the documents for each block of different texts.
+
+    A task gives one row a text at most, however many items share it and however many documents hold it.
+    """
     spark = documents.sparkSession
     ship(spark)
-    parts = max(1, -(-items.count() // block))
+    items = items.select("item_id", F.col("text").alias("sought")).where("sought <> ''")
+    sought = items.select("sought").distinct()
+    parts = max(1, -(-sought.count() // block))
     out = None
     for b in range(parts):
-        # Half a block by count at most, up to the hash's evenness.
-        own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == b) if parts > 1 else items
-        held = spark.sparkContext.broadcast([(r["item_id"], r["text"]) for r in own.select("item_id", "text").collect()])
+        # A block by count at most, up to the hash's evenness.
+        own = sought.where(F.pmod(F.xxhash64("sought"), F.lit(parts)) == b) if parts > 1 else sought
+        held = spark.sparkContext.broadcast([r["sought"] for r in own.collect()])
 
         def run(batches, held=held):
             import ahocorasick
 
-            found = ahocorasick.Automaton()
-            by_text: dict[str, list[int]] = {}
-            for item, text in held.value:
-                if text:
-                    by_text.setdefault(text, []).append(item)
-            for text, ids in by_text.items():
-                found.add_word(text, ids)
-            if not by_text:
+            if not held.value:
                 return
+            found = ahocorasick.Automaton()
+            for number, text in enumerate(held.value):
+                found.add_word(text, number)
             found.make_automaton()
+            least: dict[int, int] = {}
             for batch in batches:
-                a, d = [], []
                 for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    seen = {i for _, ids in found.iter(text or "") for i in ids}
-                    a += seen
-                    d += [doc] * len(seen)
-                yield pa.RecordBatch.from_pydict({"item_id": pa.array(a, pa.int64()), "doc_id": pa.array(d, pa.int64())})
-
-        one = documents.select("doc_id", "text").mapInArrow(run, "item_id long, doc_id long")
-        if parts > 1:  # one block's items at a time in memory
+                    for _, number in found.iter(text or ""):
+                        if least.get(number, doc) >= doc:
+                            least[number] = doc
+            texts = [held.value[number] for number in least]
+            yield pa.RecordBatch.from_pydict({"sought": pa.array(texts, pa.string()), "doc_id": pa.array(list(least.values()), pa.int64())})
+
+        one = documents.select("doc_id", "text").where("doc_id IS NOT NULL").mapInArrow(run, "sought string, doc_id long")
+        if parts > 1:  # one block's texts at a time in memory
             one = materialize(spark, one, "occurrences")
             held.destroy()
         out = one if out is None else out.unionByName(one)
-    return out
+    least = out.groupBy("sought").agg(F.min("doc_id").alias("doc_id"))
+    return items.join(least, "sought").groupBy("item_id").agg(F.min("doc_id").alias("doc_id"))
 
 
 def gold(spark: SparkSession, folder: str) -> DataFrame:
     """query_id, question, type, expected_chapter: an item is answerable if a document holds its text; the first is the gold."""
     items = table(spark, folder, "benchmark")
-    found = occurrences(spread(table(spark, folder, "documents")), items).groupBy("item_id").agg(F.min("doc_id").cast("string").alias("expected_chapter"))
+    found = first_occurrences(spread(table(spark, folder, "documents")), items).select("item_id", F.col("doc_id").cast("string").alias("expected_chapter"))
     rows = items.join(found, "item_id", "left")
     kind = F.when(F.col("expected_chapter").isNull(), "unanswerable").otherwise("answerable")
     return rows.select(F.col("item_id").alias("query_id"), F.col("text").alias("question"), kind.alias("type"), "expected_chapter")

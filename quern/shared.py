@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -66,7 +67,26 @@ def written_once(spark: SparkSession, tag: str, sources: DataFrame, key: tuple,
     return spark.read.parquet(path)
 
 
+#: Bytes of its files that a task should get at most, about.
+TASK_BYTES = 16 << 20
+
+
+def _file_bytes(df: DataFrame) -> int:
+    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    paths = [jvm.org.apache.hadoop.fs.Path(file) for file in df.inputFiles()]
+    return sum(p.getFileSystem(conf).getFileStatus(p).getLen() for p in paths)
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Input of fewer partitions than cores is dealt out to all; larger input stays as it is, without a shuffle."""
+    """Input is dealt out where it has fewer partitions than cores, or one of them has more than twice its share of the rows.
+
+    A share is what TASK_BYTES of the files hold, or one core's part if that is less. Spark's splits may be eight times as large, and those of a file with
+    few row groups may be one large and many empty ones; a task would grow with the input. Other input stays as it is, without a shuffle.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    parts = max(cores, -(-_file_bytes(df) // TASK_BYTES))
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(parts)
+    # Of Parquet this reads no column, only what files say of their row groups.
+    held = df.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).agg(F.sum("n").alias("all"), F.max("n").alias("most")).first()
+    return df.repartition(parts) if held["all"] and held["most"] > 2 * -(-held["all"] // parts) else df
