@@ -7,15 +7,16 @@ from collections.abc import Iterator
 
 from pyspark.sql import SparkSession
 
-from quern.shipping import BATCH, ship
+from quern.shipping import SMALL, ship
 
 
 @contextlib.contextmanager
 def shipped(spark: SparkSession) -> Iterator[None]:
     """The library's code on the executors, and small batches for Python as long as this holds."""
-    before = spark.conf.get(BATCH)
+    before = {name: spark.conf.get(name) for name, *_ in SMALL}
     ship(spark)
     try:
         yield
     finally:
-        spark.conf.set(BATCH, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)

@@ -1,10 +1,12 @@
 """What a task or a worker holds stays the same as inputs grow."""
 
+import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
-from quern import shared
+from jobs.settings import shipped
+from quern import shared, shipping
 from quern.plans import fixtures
 
 
@@ -56,3 +58,18 @@ def test_first_occurrences_give_a_text_once_a_task_however_many_items_share_it(s
     assert made[0].count() == 3
     again = items.union(spark.createDataFrame([(0, "c"), (0, "a b")], items.schema))
     assert {tuple(r) for r in fixtures.first_occurrences(documents, again).collect()} == want
+
+
+def test_batches_for_python_are_bounded_in_bytes_and_jobs_restore_that(spark):
+    before = {name: spark.conf.get(name) for name, *_ in shipping.SMALL}
+    try:
+        for name, default, _ in shipping.SMALL:
+            spark.conf.set(name, default)
+        with shipped(spark):
+            size = F.pandas_udf(lambda s: pd.Series([len(s)] * len(s)), "long")
+            rows = spark.range(400, numPartitions=1).select(size(F.concat(F.repeat(F.lit("x"), 100_000), "id")).alias("n"))
+            assert rows.agg(F.max("n")).first()[0] <= 90
+        assert {name: spark.conf.get(name) for name in before} == {name: default for name, default, _ in shipping.SMALL}
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
