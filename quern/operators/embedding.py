@@ -20,6 +20,8 @@ from quern.config import PASSAGE_PREFIX, QUERY_PREFIX, SETTINGS
 from quern.functions import text as T
 
 BUCKETS = 256
+#: Words whose bucket a worker remembers at most; frequent ones come early, and the others are hashed again.
+REMEMBERED = 1 << 17
 
 
 class Embedder(Protocol):
@@ -40,9 +42,9 @@ class HashEmbedder:
     def _bucket(self, word: str) -> int:
         got = self.memory.get(word)
         if got is None:
-            if len(self.memory) > 500_000:
-                self.memory.clear()
-            got = self.memory[word] = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % self.buckets
+            got = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % self.buckets
+            if len(self.memory) < REMEMBERED:
+                self.memory[word] = got
         return got
 
     def __call__(self, texts: list[str]) -> np.ndarray:

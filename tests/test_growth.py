@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from jobs.settings import shipped
 from quern import shared, shipping
+from quern.operators import embedding
 from quern.plans import fixtures
 
 
@@ -73,3 +74,11 @@ def test_batches_for_python_are_bounded_in_bytes_and_jobs_restore_that(spark):
     finally:
         for name, value in before.items():
             spark.conf.set(name, value)
+
+
+def test_an_embedder_remembers_so_many_words(monkeypatch):
+    texts = [" ".join(f"w{i % 7} v{i}{j}" for j in range(9)) for i in range(50)]
+    want = embedding.HashEmbedder()(texts)
+    monkeypatch.setattr(embedding, "REMEMBERED", 20)
+    few = embedding.HashEmbedder()
+    assert (few(texts) == want).all() and len(few.memory) == 20
