@@ -2,8 +2,8 @@
 
     python -m jobs.judge_retrieval QUESTIONS PAGES OUT [--config FILE]
 
-QUESTIONS and PAGES are Parquet tables. For each strategy (window size and overlap) of the config, the pages are cut, embedded and
-written as an index, every question is asked against all of it, and OUT gets, partitioned by run and strategy:
+QUESTIONS and PAGES are Parquet tables. The pages are cleaned and their words hashed once. For each strategy (window size and overlap) of
+the config, they are cut, embedded and written as an index, every question is asked against all of it, and OUT gets, partitioned by run and strategy:
 
 - ``rows``: each question's expected chapter, the chapters found, its best score, and whether it was a hit and passed the gate;
 - ``summary``: hits and gate results with their rates;
@@ -13,7 +13,8 @@ written as an index, every question is asked against all of it, and OUT gets, pa
 A question without a given type is answerable if a page holds its text, and its chapter is the first such page's.
 
 Rerun: a run's name holds a digest of its config, so a run writes over its own partitions and no other's, and the same tables give the
-same result. The index lies below OUT too, by the same name.
+same result. The index lies below OUT too, by the same name. Prepared pages lie in the application's part of the shared folder: a run of
+another application, or over other files, prepares its own.
 """
 
 from __future__ import annotations
@@ -29,9 +30,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobs.settings import shipped
+from quern import __version__
 from quern.operators import chunking, embedding, evaluation, retrieval
 from quern.plans.fixtures import first_occurrences
-from quern.shared import materialize, spread
+from quern.shared import materialize, spread, written_once
 from quern.sources import index
 
 log = logging.getLogger("jobs.judge_retrieval")
@@ -98,9 +100,13 @@ def swept(rows: DataFrame, thresholds: list[float]) -> DataFrame:
     return rates.join(F.broadcast(best)).withColumn("best", F.col("threshold") == F.col("best_threshold")).drop("best_threshold")
 
 
-def _put(rows: DataFrame, path: str, run: str, strategy: str) -> None:
+#: Numbers of vectors and texts are written as they are: looking each up in a dictionary takes longer, and files get no smaller by it.
+PLAIN = {f"parquet.enable.dictionary#{c}": "false" for c in ("embedding.list.element", "text")}
+
+
+def _put(rows: DataFrame, path: str, run: str, strategy: str, **options: str) -> None:
     told = rows.withColumns({"run": F.lit(run), "strategy": F.lit(strategy)})
-    told.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("run", "strategy").parquet(path)
+    told.write.mode("overwrite").options(partitionOverwriteMode="dynamic", compression="zstd", **options).partitionBy("run", "strategy").parquet(path)
 
 
 def read(spark: SparkSession, out: str, table: str, run: str) -> DataFrame:
@@ -119,14 +125,17 @@ def judge_retrieval(spark: SparkSession, questions: str, pages: str, out: str, c
 
 def _judge(spark: SparkSession, questions: str, pages: str, out: str, config: Config) -> None:
     asked = _mapped(spark.read.parquet(questions), config.questions)
-    texts = _mapped(spread(spark.read.parquet(pages)), config.pages)
+    source = spark.read.parquet(pages)
+    texts = _mapped(spread(source), config.pages)
     gold = asked if "type" in config.questions else with_gold(asked, texts)
     gold = materialize(spark, gold.select("query_id", "question", "type", "expected_chapter"), "gold")
-    log.info("read %d questions of %s and %d pages of %s", gold.count(), questions, texts.count(), pages)
+    log.info("read %d questions of %s and %d pages of %s", gold.count(), questions, source.count(), pages)
     vectors = materialize(spark, gold.select("query_id", "question").withColumn("embedding", embedding.questions(F.col("question"))), "asked")
+    # Once for windows of all sizes, and for all runs of an application over the same files.
+    key = ("prepared", sorted(config.pages.items()), __version__)
+    prepared = written_once(spark, "prepared", source, key, lambda: chunking.prepared(texts))
     for s in config.strategies:
-        chunks = chunking.nonempty(chunking.chunk_pages(texts, s["chunk_size"], s["overlap"]))
-        _put(index.vectors(chunks), f"{out}/index", config.run, s["id"])
+        _put(index.windows(prepared, s["chunk_size"], s["overlap"]), f"{out}/index", config.run, s["id"], **PLAIN)
         held = read(spark, out, "index", config.run).where(F.col("strategy") == s["id"]).drop("run", "strategy")
         hits = retrieval.retrieve(vectors, held, config.top_k, config.threshold)
         _put(evaluation.eval_rows(gold, hits).drop("scores"), f"{out}/rows", config.run, s["id"])

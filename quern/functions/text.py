@@ -14,7 +14,8 @@ from pyspark.sql.types import StringType
 WS = "[\\x09-\\x0d\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
 _FIRST_LINE = re.compile("[^\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]*")
 WS_CHARACTERS = "".join(map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
-SPACES = "[ \\t\\xa0\\u1680\\u2000-\\u200a\\u202f\\u205f\\u3000]+"
+#: What cleaning takes for a space, beside U+0020.
+SPACES = "".join(map(chr, (0x09, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000)))
 #: Characters that cleaning removes; U+200C and U+200D stay, spelling needs them (fixed values).
 REMOVED = "\ufeff\u200b\u2060\u00ad\u180e\ufffd"
 
@@ -35,13 +36,19 @@ def strip(column: Column) -> Column:
     return F.btrim(column, F.lit(WS_CHARACTERS))
 
 
+def _spaced(text: Column, spaces: str, removed: str = "") -> Column:
+    """With one plain space for each run of ``spaces`` and plain ones, and without ``removed``.
+
+    Characters are looked up first, so that the pattern is of plain spaces alone: one of many characters is tried slowly at every place."""
+    return F.regexp_replace(F.translate(text, spaces + removed, " " * len(spaces)), "\\x20{2,}", " ")
+
+
 def clean(column: Column) -> Column:
     """NFC, one kind of line break, no invisible characters, single spaces, at most one blank line, stripped.
 
     Each step names the one before once, so nothing is evaluated twice."""
     text = F.replace(F.replace(nfc(column), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
-    text = F.translate(text, REMOVED, "")
-    text = F.regexp_replace(text, SPACES, " ")
+    text = _spaced(text, SPACES, REMOVED)
     # Runs of spaces are single by now.
     text = F.replace(F.replace(text, F.lit(" \n"), F.lit("\n")), F.lit("\n "), F.lit("\n"))
     return strip(F.regexp_replace(text, "\\n{3,}", "\n\n"))
@@ -70,9 +77,18 @@ def strip_headings(text: Column, *headings: Column) -> Column:
     return _strip_headings(F.coalesce(text, F.lit("")), F.array(*headings))
 
 
+def single_spaced(column: Column) -> Column:
+    """The words with one plain space between two of them."""
+    return _spaced(strip(F.coalesce(column, F.lit(""))), WS_CHARACTERS)
+
+
+def words_of(spaced: Column) -> Column:
+    """The words of a text that is ``single_spaced``; Java splits at one character without a pattern."""
+    return F.filter(F.split(spaced, " "), lambda w: w != "")
+
+
 def words(column: Column) -> Column:
-    bare = strip(F.coalesce(column, F.lit("")))
-    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, f"{WS}+"))
+    return words_of(single_spaced(column))
 
 
 def or_default(column: Column, default: str = "") -> Column:

@@ -7,11 +7,13 @@ needs no model; a sentence model can be plugged in, loaded once a worker.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
@@ -42,19 +44,24 @@ class HashEmbedder:
     def _bucket(self, word: str) -> int:
         got = self.memory.get(word)
         if got is None:
-            got = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % self.buckets
+            got = int.from_bytes(hashlib.md5(word.encode()).digest()[:4]) % self.buckets
             if len(self.memory) < REMEMBERED:
                 self.memory[word] = got
         return got
 
+    def at(self, words: list[str]) -> np.ndarray:
+        """The bucket of each word."""
+        return np.array([self._bucket(w) if b is None else b for w, b in zip(words, map(self.memory.get, words), strict=True)], np.int64)
+
+    def counted(self, at: np.ndarray, n: Sequence[int]) -> np.ndarray:
+        """The vectors of texts of ``n`` words each, whose buckets follow each other in ``at``."""
+        cells = np.repeat(np.arange(len(n)) * self.buckets, n) + at
+        out = np.bincount(cells, minlength=len(n) * self.buckets).reshape(len(n), self.buckets).astype(float)
+        return out / np.sqrt(np.maximum((out**2).sum(1, keepdims=True), 1))
+
     def __call__(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), self.buckets))
-        for row, text in zip(out, texts, strict=True):
-            at = [self._bucket(w) for w in text.split()]
-            if at:
-                row += np.bincount(at, minlength=self.buckets)
-                row /= np.sqrt(row @ row)
-        return out
+        parts = [t.split() for t in texts]
+        return self.counted(self.at([w for p in parts for w in p]), np.array([len(p) for p in parts], np.int64))
 
 
 class SentenceModel:
@@ -101,3 +108,26 @@ def passages(column: Column, make: Callable[..., Embedder] = HashEmbedder, *args
 
 def questions(column: Column, make: Callable[..., Embedder] = HashEmbedder, *args) -> Column:
     return _embed(column, QUERY_PREFIX, make, args)
+
+
+#: How a word's bucket is written where a page holds those of all its words: any windows of them are then embedded without hashing words again.
+CODE = np.dtype(np.min_scalar_type(BUCKETS - 1)).newbyteorder("<")
+
+
+def word_buckets(words: list[str]) -> bytes:
+    return loaded(HashEmbedder).at(words).astype(CODE).tobytes()
+
+
+def buckets_slice(column: Column, start: Column, size: int) -> Column:
+    """The buckets of the words from ``start`` on, ``size`` of them at most."""
+    return F.substring(column, start * CODE.itemsize + 1, F.lit(size * CODE.itemsize))
+
+
+@F.arrow_udf(ArrayType(DoubleType()))
+def of_buckets(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """What ``passages`` gives for a text, from its words' buckets."""
+    model = loaded(HashEmbedder)
+    for s in parts:
+        n = pc.fill_null(pc.binary_length(s), 0).to_numpy() // CODE.itemsize
+        out = model.counted(np.frombuffer(b"".join(s.drop_null().to_pylist()), CODE), n)
+        yield pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * model.buckets, pa.int32()), pa.array(out.ravel()))

@@ -19,6 +19,13 @@ def vectors(chunks: DataFrame, make=embedding.HashEmbedder, *args) -> DataFrame:
     return chunks.withColumn("embedding", embedding.passages(F.col("text"), make, *args))
 
 
+def windows(prepared: DataFrame, size: int, overlap: int) -> DataFrame:
+    """What ``vectors`` gives for the chunks with text of pages that are ``chunking.prepared``."""
+    ship(prepared.sparkSession)
+    chunks = chunking.nonempty(chunking.windows(prepared, size, overlap, prepared=True))
+    return chunks.withColumn("embedding", embedding.of_buckets("buckets")).drop("buckets")
+
+
 def build(chunks: DataFrame, path: str, make=embedding.HashEmbedder, *args) -> DataFrame:
     """Write the index of all chunks with text; none is a ValueError."""
     kept = chunking.nonempty(chunks)

@@ -12,6 +12,7 @@ from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from jobs import catalog, judge_retrieval, keep_index
+from quern.functions import text
 from quern.shipping import BATCH
 
 ROOT = Path(__file__).resolve().parents[2]
@@ -233,3 +234,20 @@ def test_jobs_use_nothing_of_the_training_operators():
     for f in [*(ROOT / "jobs").glob("*.py"), Path(__file__)]:
         lines = [line for line in f.read_text().splitlines() if line.startswith(("import ", "from "))]
         assert not any("llm" in line or "corpus_pipeline" in line for line in lines)
+
+
+def test_pages_are_prepared_once_for_all_strategies_and_runs(spark, judged, monkeypatch):
+    q, p, out = judged
+    made = []
+    own = text.clean
+    monkeypatch.setattr(text, "clean", lambda column: made.append(column) or own(column))
+    run = judge_retrieval.judge_retrieval(spark, q, p, out, judge_config())
+    assert len(made) == 1
+    first = tables(spark, out, run)
+    assert judge_retrieval.judge_retrieval(spark, q, p, out, judge_config()) == run and len(made) == 1 and tables(spark, out, run) == first
+    # Pages that are others by then are prepared anew.
+    page = spark.read.parquet(p).where("page_no = 1").withColumns({"page_no": F.lit(99).cast("long"), "chapter": F.lit("late")})
+    page.write.mode("append").parquet(p)
+    assert judge_retrieval.judge_retrieval(spark, q, p, out, judge_config()) == run and len(made) == 2
+    index = judge_retrieval.read(spark, out, "index", run)
+    assert index.where("page_no = 99 AND chapter = 'late'").count() == index.where("page_no = 1").count() > 0

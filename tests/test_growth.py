@@ -82,3 +82,37 @@ def test_an_embedder_remembers_so_many_words(monkeypatch):
     monkeypatch.setattr(embedding, "REMEMBERED", 20)
     few = embedding.HashEmbedder()
     assert (few(texts) == want).all() and len(few.memory) == 20
+
+
+ODD_PAGES = [
+    (1, "b", "One", "Sec", "One\nSec\n a  b\tc　d   e\u001cf​ g­\r\n\r\n\r\nh ﻿   i"),
+    (2, None, "c", None, " ".join(f"w{i % 37}" for i in range(1, 200))),
+    (3, "b", "c", "s", "é é o‌p\n\n\n\n\x0b\x0c\x85q  r"),
+    (4, "b", "c", "s", "c"),
+    (5, "b", "c", "s", " \n "),
+    (6, "b", "c", "s", None),
+]
+
+
+def prepared_windows(spark, size, overlap):
+    from quern.operators import chunking
+    from quern.sources import index
+
+    pages = spark.createDataFrame([(*r[:4], "u", r[4]) for r in ODD_PAGES], "page_no long, book string, chapter string, section string, source_url string, text string")
+    return index.windows(chunking.prepared(pages), size, overlap), index.vectors(chunking.nonempty(chunking.chunk_pages(pages, size, overlap)))
+
+
+def test_windows_of_prepared_pages_are_those_of_their_texts(spark):
+    for size, overlap in ((3, 1), (50, 10), (1000, 0)):
+        got, want = prepared_windows(spark, size, overlap)
+        assert got.columns == want.columns and got.count() == want.count() > 2
+        assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    assert [r["text"] for r in got.where("page_no IN (1, 3)").orderBy("page_no").collect()] == ["a b c d e f g h i", "é é o‌p q r"]
+
+
+def test_a_window_is_handed_to_python_without_its_page(spark):
+    for df in prepared_windows(spark, 50, 10):
+        lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+        below = [line for line in lines[next(i for i, line in enumerate(lines) if "Generate posexplode" in line) :]]
+        kept = below[0].rsplit("[", 2)[-2]
+        assert "page_no" in kept and "words_" not in kept and "buckets" not in kept
